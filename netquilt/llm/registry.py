@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, secrets, simhash
 from .common import table
 
 
@@ -12,10 +12,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
+QUERIES = {"op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
 
 ORACLES: dict[str, str] = {}
