@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, simhash
+from . import bpe, decontaminate, secrets, simhash, urls
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +28,6 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE}
