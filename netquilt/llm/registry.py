@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, simhash, urls
+from . import bpe, decontaminate, secrets, shards, simhash, urls
 from .common import table
 
 
@@ -24,10 +24,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
 
 ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE}
