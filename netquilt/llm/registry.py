@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, shards, simhash, urls
+from . import bpe, decontaminate, quality, secrets, shards, simhash, urls
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE}
