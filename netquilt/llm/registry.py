@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secrets, shards, simhash, urls
+from . import bpe, decontaminate, quality, secrets, shards, simhash, topk, urls
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op10_quality": op10_quality}
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE}
