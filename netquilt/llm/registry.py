@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secrets, shards, simhash, topk, urls, warc
+from . import bpe, decontaminate, html_text, quality, secrets, shards, simhash, topk, urls, warc
 from .common import table
 
 
@@ -40,10 +40,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op10_quality": op10_quality}
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality}
 
 ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE}
