@@ -1,6 +1,520 @@
-"""The registered queries over traffic tables, each with its SQL oracle."""
+"""The registered queries over traffic tables, each with its SQL oracle.
+
+The tables stand for traffic: ``lineitem`` rows are packets from supplier to
+part, ``events`` a stream of packets from user to the key in ``props``, and
+``orders`` with ``lineitem`` bidirectional flows between supplier and customer.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netquilt.functions import ip, naming
+from netquilt.operators import anonymize, drill, filters, matrix, stats, timeseries, windows, zones
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SUBWINDOW, PER_FILE = 500, 4  # packets in a window of the small test tables
+ZONES = [(1, 0, 19), (2, 20, 59)]
+KEY = "netquilt"
+
+
+def query(sql: str) -> Callable:
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- inputs ---------------------------------------------------------------
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.from_packets(packets(spark, sf_dir))
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return matrix.build(rows.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("packets")))
+
+
+def flagged(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    return matrix.from_packets(rows.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, ts, src, dst, packets`` of the event stream."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("src"), k.alias("dst"), k.alias("packets"), "event_type")
+
+
+def zone_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ZONES, "zone int, lo long, hi long")
+
+
+def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.from_packets(stream(spark, sf_dir))
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.count_windows(stream(spark, sf_dir), "seq", SUBWINDOW, PER_FILE)
+
+
+def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long statistics table: the nine quantities of each pair of zones in each window."""
+    links = matrix.from_packets(windowed(spark, sf_dir), ("subwindow",))
+    found = zones.pair_quantities(links, zone_table(spark), by=("subwindow",))
+    return stats.unpivot(found.withColumnRenamed("subwindow", "window"), ("window", "zone_src", "zone_dst"))
+
+
+# SQL of the same inputs
+E_SQL = "e AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS packets FROM lineitem GROUP BY ALL)"
+W_SQL = "e AS (SELECT l_suppkey AS src, l_partkey AS dst, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS packets FROM lineitem GROUP BY ALL)"
+S_SQL = "s AS (SELECT event_id AS seq, ts, user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst, CAST(json_extract_string(props, '$.k') AS BIGINT) AS packets, event_type FROM events)"
+SE_SQL = f"{S_SQL}, e AS (SELECT src, dst, count(*) AS packets FROM s GROUP BY ALL)"
+WIN_SQL = f"{S_SQL}, w AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // {SUBWINDOW} AS subwindow FROM s)"
+
+
+def _zone(c: str) -> str:
+    return f"CASE WHEN {c} BETWEEN 0 AND 19 THEN 1 WHEN {c} BETWEEN 20 AND 59 THEN 2 ELSE 3 END"
+
+
+def _nine(source: str, by: str = "") -> str:
+    """The nine quantities of ``source(src, dst, packets)``, for each group of ``by``."""
+    g, sel = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
+    on = f"USING ({by})" if by else "ON true"
+    return f"""SELECT {sel}CAST(n_packets AS BIGINT) AS n_packets, n_links, n_sources, n_destinations, CAST(max_packets AS BIGINT) AS max_packets,
+  CAST(max_source_packets AS BIGINT) AS max_source_packets, CAST(max_destination_packets AS BIGINT) AS max_destination_packets, max_fan_out, max_fan_in
+FROM (SELECT {sel}sum(packets) AS n_packets, count(*) AS n_links, max(packets) AS max_packets FROM {source} {g}) a
+JOIN (SELECT {sel}count(*) AS n_sources, max(v) AS max_source_packets, max(n) AS max_fan_out FROM (SELECT {sel}src, sum(packets) AS v, count(*) AS n FROM {source} GROUP BY {sel}src) {g}) b {on}
+JOIN (SELECT {sel}count(*) AS n_destinations, max(v) AS max_destination_packets, max(n) AS max_fan_in FROM (SELECT {sel}dst, sum(packets) AS v, count(*) AS n FROM {source} GROUP BY {sel}dst) {g}) c {on}"""
+
+
+_NINE = ", ".join(stats.QUANTITIES)
+L_SQL = f"""{WIN_SQL}, z AS (SELECT subwindow AS "window", {_zone("src")} AS zone_src, {_zone("dst")} AS zone_dst, src, dst, count(*) AS packets FROM w GROUP BY ALL),
+q AS ({_nine("z", '"window", zone_src, zone_dst')}),
+l AS (UNPIVOT q ON {_NINE} INTO NAME metric VALUE value),
+d AS (SELECT g.zone_src, g.zone_dst, g.metric, ws."window", coalesce(l.value, 0) AS value FROM (SELECT DISTINCT zone_src, zone_dst, metric FROM l) g CROSS JOIN (SELECT DISTINCT "window" FROM l) ws LEFT JOIN l USING (zone_src, zone_dst, metric, "window"))"""
+U_SQL = f"""{L_SQL}, u AS (SELECT zone_src, zone_dst, metric, arg_max(value, "window") AS "current", median(value) AS median, max(value) AS max FROM d GROUP BY ALL),
+a AS (SELECT zone_src, zone_dst, metric, min("window") AS argmax_window FROM d JOIN u USING (zone_src, zone_dst, metric) WHERE value = max GROUP BY ALL)"""
+
+
+# ---- matrices -------------------------------------------------------------
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e")
+def matrix_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir)
+
+
+@query(f"WITH {E_SQL} {_nine('e')}")
+def network_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quantities(edges(spark, sf_dir))
+
+
+@query(f"WITH {W_SQL} {_nine('e')}")
+def network_quantities_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quantities(weighted(spark, sf_dir))
+
+
+@query(f"""WITH {W_SQL}, r AS (SELECT src, sum(packets) AS v, count(*) AS n FROM e GROUP BY 1), c AS (SELECT dst, sum(packets) AS v, count(*) AS n FROM e GROUP BY 1)
+SELECT (SELECT count(*) FROM e WHERE packets = (SELECT max(packets) FROM e)) AS max_packets_links,
+(SELECT count(*) FROM r WHERE v = (SELECT max(v) FROM r)) AS max_source_packets_sources,
+(SELECT count(*) FROM c WHERE v = (SELECT max(v) FROM c)) AS max_destination_packets_destinations,
+(SELECT count(*) FROM r WHERE n = (SELECT max(n) FROM r)) AS max_fan_out_sources,
+(SELECT count(*) FROM c WHERE n = (SELECT max(n) FROM c)) AS max_fan_in_destinations""")
+def multiplicities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.multiplicities(weighted(spark, sf_dir))
+
+
+def _reduce(name: str, axis: str, op: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return matrix.reduce(weighted(spark, sf_dir), axis, op)
+
+    f.__name__ = name
+    query(f"WITH {W_SQL} SELECT {axis}, CAST({op}(packets) AS BIGINT) AS v FROM e GROUP BY 1")(f)
+
+
+for _axis, _side in (("src", "row"), ("dst", "col")):
+    for _op in ("sum", "count", "max", "min"):
+        _reduce(f"{_side}_reduce_{_op}", _axis, _op)
+
+
+@query("""WITH f AS (SELECT l_suppkey AS src, o_custkey AS dst, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) - 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+l AS (SELECT src, dst, a AS packets FROM f UNION ALL SELECT dst, src, b FROM f)
+SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets FROM l WHERE packets > 0 GROUP BY ALL""")
+def flow_to_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    flows = flows.select(F.col("l_suppkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("l_quantity").cast("long").alias("to_server"), (F.col("l_linenumber").cast("long") - 1).alias("to_client"))
+    return matrix.build(filters.flows_to_links(flows))
+
+
+_AB = "a AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS packets FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS packets FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)"
+
+
+@query(f"WITH {_AB} SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL")
+def matrix_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.add(flagged(spark, sf_dir, "A"), flagged(spark, sf_dir, "N"))
+
+
+@query(f"WITH {_AB} SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets FROM (SELECT * FROM a UNION ALL SELECT src, dst, -packets FROM b) GROUP BY ALL HAVING sum(packets) <> 0")
+def matrix_subtract_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.subtract(flagged(spark, sf_dir, "A"), flagged(spark, sf_dir, "N"))
+
+
+@query(f"WITH {_AB} SELECT * FROM a ANTI JOIN b USING (src, dst)")
+def matrix_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.difference(flagged(spark, sf_dir, "A"), flagged(spark, sf_dir, "N"))
+
+
+@query(f"WITH {_AB} SELECT src, dst, a.packets, b.packets AS other_packets FROM a JOIN b USING (src, dst)")
+def matrix_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.intersect(flagged(spark, sf_dir, "A"), flagged(spark, sf_dir, "N"))
+
+
+@query(f"WITH {_AB} SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) = 0 AS equal")
+def matrix_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.equal(flagged(spark, sf_dir, "A"), flagged(spark, sf_dir, "N"))
+
+
+@query(f"WITH {E_SQL} SELECT dst AS src, src AS dst, packets FROM e")
+def matrix_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.transpose(edges(spark, sf_dir))
+
+
+@query(f"WITH {W_SQL} SELECT src, dst, CAST(1 AS BIGINT) AS packets FROM e")
+def matrix_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.pattern(weighted(spark, sf_dir))
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e WHERE packets = 2")
+def select_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.select_value(edges(spark, sf_dir), 2)
+
+
+@query("SELECT DISTINCT l_suppkey AS src FROM lineitem")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.labels(packets(spark, sf_dir), "src")
+
+
+@query("SELECT l_returnflag AS member, count(*) AS total FROM lineitem GROUP BY 1")
+def member_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("member")).agg(F.count("*").alias("total"))
+
+
+# ---- zones ----------------------------------------------------------------
+
+_Z = f"{SE_SQL}, z AS (SELECT {_zone('src')} AS zone_src, {_zone('dst')} AS zone_dst, src, dst, packets FROM e)"
+
+
+@query(f"WITH {_Z}, q AS ({_nine('z', 'zone_src, zone_dst')}) SELECT * FROM q WHERE zone_src < 3 AND zone_dst < 3")
+def zone_pairs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark), complement=False)
+
+
+@query(f"WITH {_Z} {_nine('z', 'zone_src, zone_dst')}")
+def zone_pairs_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark))
+
+
+@query(f"WITH {_Z}, q AS (SELECT zone_src, zone_dst, sum(packets) AS n FROM z GROUP BY ALL) SELECT zone_src, CAST(sum(n) FILTER (zone_dst = 1) AS BIGINT) AS z1, CAST(sum(n) FILTER (zone_dst = 2) AS BIGINT) AS z2, CAST(sum(n) FILTER (zone_dst = 3) AS BIGINT) AS z3 FROM q GROUP BY 1")
+def zone_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.zone_matrix(zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark)), "n_packets", 3)
+
+
+_TEN = 10 << 24
+
+
+@query(f"WITH {E_SQL} SELECT src + {_TEN} AS src, dst + {_TEN} AS dst, packets, CASE WHEN src < 32 THEN 1 WHEN src BETWEEN 64 AND 90 THEN 2 ELSE 3 END AS zone_src, CASE WHEN dst < 32 THEN 1 WHEN dst BETWEEN 64 AND 90 THEN 2 ELSE 3 END AS zone_dst FROM e")
+def zone_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([(1, "10.0.0.0/27"), (2, "10.0.0.64:10.0.0.90")], "zone int, line string")
+    lo, hi = ip.bounds(F.col("line"))
+    named = lines.select("zone", lo.alias("lo"), hi.alias("hi"))
+    links = edges(spark, sf_dir).select((F.col("src") + _TEN).alias("src"), (F.col("dst") + _TEN).alias("dst"), "packets")
+    return zones.label(links, named)
+
+
+@query(f"WITH {E_SQL} SELECT src, dst, packets, CASE WHEN dst % 2 = 0 AND dst < 400 THEN CAST(dst // 40 + 1 AS INTEGER) ELSE 11 END AS zone_dst FROM e")
+def zone_many_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred intervals, labelled by the join on address blocks."""
+    many = spark.createDataFrame([(i // 20 + 1, 2 * i, 2 * i) for i in range(200)], "zone int, lo long, hi long")
+    return zones.label(edges(spark, sf_dir), many).select("src", "dst", "packets", "zone_dst")
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e WHERE src BETWEEN 0 AND 19 OR src BETWEEN 20 AND 59")
+def range_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.inside(edges(spark, sf_dir), zone_table(spark), "src")
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e WHERE NOT (dst BETWEEN 0 AND 19 OR dst BETWEEN 20 AND 59)")
+def range_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.outside(edges(spark, sf_dir), zone_table(spark), "dst")
+
+
+@query("SELECT l_suppkey % 7 AS zone, min(l_suppkey) AS lo, max(l_suppkey) + 7 AS hi FROM lineitem GROUP BY 1")
+def zone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("zone"), F.col("l_suppkey").alias("lo"), (F.col("l_suppkey") + 7).alias("hi"))
+    return zones.merge(one.distinct())
+
+
+# ---- anonymization --------------------------------------------------------
+
+_MAP = "m AS (SELECT ip, (ip * 7919 + 13) % 1000003 AS anon_ip FROM (SELECT DISTINCT l_suppkey AS ip FROM lineitem UNION SELECT DISTINCT l_partkey FROM lineitem))"
+
+
+@query(f"WITH {E_SQL}, {_MAP} SELECT a.anon_ip AS src, b.anon_ip AS dst, packets FROM e JOIN m a ON a.ip = src JOIN m b ON b.ip = dst")
+def anon_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = edges(spark, sf_dir)
+    ids = links.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
+    return anonymize.apply_table(links, ids.withColumn("anon_ip", (F.col("ip") * 7919 + 13) % 1000003))
+
+
+_FLIPS = " + ".join(f"(((x ^ CAST(instr('0123456789abcdef', substr(sha256('{KEY}:{b}:' || CAST(ip >> {32 - b} AS VARCHAR)), 1, 1)) - 1 AS BIGINT) & 1) << {31 - b})" for b in range(16, 32)).replace("(((x ^ ", "((")
+
+
+@query(f"WITH i AS (SELECT DISTINCT l_partkey AS ip FROM lineitem UNION SELECT DISTINCT l_suppkey FROM lineitem) SELECT ip, xor(ip, {_FLIPS}) AS anon_ip FROM i")
+def anonymize_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.table_for(packets(spark, sf_dir), KEY)
+
+
+# ---- windows --------------------------------------------------------------
+
+
+@query(f"WITH {WIN_SQL} SELECT seq, subwindow FROM w")
+def count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed(spark, sf_dir).select("seq", "subwindow")
+
+
+@query(f'WITH {WIN_SQL} SELECT subwindow // {PER_FILE} AS "window", count(DISTINCT subwindow) AS subwindows, count(*) AS packets FROM w GROUP BY 1')
+def count_windows_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed(spark, sf_dir).groupBy("window").agg(F.count_distinct("subwindow").alias("subwindows"), F.count("*").alias("packets"))
+
+
+@query(f"WITH {S_SQL}, w AS (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 300 AS subwindow FROM s) SELECT seq, subwindow FROM w WHERE subwindow IN (SELECT subwindow FROM w GROUP BY 1 HAVING count(*) >= 300)")
+def count_windows_drop_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = windows.count_windows(stream(spark, sf_dir), "seq", 300)
+    return windows.drop_tail(cut, 300).select("seq", "subwindow")
+
+
+@query(f"WITH {S_SQL} SELECT event_type, seq, (row_number() OVER (PARTITION BY event_type ORDER BY seq) - 1) // {SUBWINDOW} AS subwindow FROM s")
+def per_queue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.count_windows(stream(spark, sf_dir), "seq", SUBWINDOW, by=("event_type",)).select("event_type", "seq", "subwindow")
+
+
+@query(f"""WITH {S_SQL}, r AS (SELECT *, CAST(sum(packets) OVER (ORDER BY seq) AS BIGINT) AS hi FROM s WHERE packets > 0),
+x AS (SELECT *, unnest(range((hi - packets) // 1000, (hi - 1) // 1000 + 1)) AS subwindow FROM r)
+SELECT seq, src, dst, subwindow, least(hi, (subwindow + 1) * 1000) - greatest(hi - packets, subwindow * 1000) AS packets FROM x""")
+def weighted_window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.weighted_windows(stream(spark, sf_dir), "seq", 1000).select("seq", "src", "dst", "subwindow", "packets")
+
+
+@query(f"WITH {S_SQL} SELECT seq, CAST(sum(packets) OVER (ORDER BY seq) AS BIGINT) AS total FROM s")
+def running_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.running_total(stream(spark, sf_dir), "seq", F.col("packets"), "total").select("seq", "total")
+
+
+@query(f"WITH {WIN_SQL}, z AS (SELECT subwindow, src, dst, count(*) AS packets FROM w GROUP BY ALL) {_nine('z', 'subwindow')}")
+def window_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quantities(matrix.from_packets(windowed(spark, sf_dir), ("subwindow",)), ("subwindow",))
+
+
+@query(f"WITH {WIN_SQL} SELECT subwindow, arg_min(ts, seq) AS start_ts FROM w GROUP BY 1")
+def window_start_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.starts(windowed(spark, sf_dir), "ts", "seq")
+
+
+@query(f"WITH {WIN_SQL} SELECT subwindow, strftime(arg_min(ts, seq), '%Y%m%d-%H%M%S') || '-' || CAST(epoch_us(arg_min(ts, seq)) % 1000000 AS VARCHAR) || '.' || CAST(count(*) AS VARCHAR) AS name FROM w GROUP BY 1")
+def window_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = windowed(spark, sf_dir).groupBy("subwindow").agg(F.min_by("ts", "seq").alias("t"), F.count("*").alias("n"))
+    return named.select("subwindow", naming.window_name(F.col("t"), F.col("n")).alias("name"))
+
+
+# ---- time series ----------------------------------------------------------
+
+
+@query(f"WITH {L_SQL} SELECT * FROM l")
+def stats_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_stats(spark, sf_dir).withColumn("metric", F.col("metric"))
+
+
+@query(f'WITH {U_SQL} SELECT zone_src, zone_dst, metric, "current", median, max, argmax_window FROM u JOIN a USING (zone_src, zone_dst, metric)')
+def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.summary(window_stats(spark, sf_dir))
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+
+@query(f"WITH {U_SQL}, p AS (SELECT zone_src, zone_dst, max(max) FILTER (metric = 'n_packets') AS x, max(max) FILTER (metric = 'n_links') AS y FROM u GROUP BY ALL) SELECT zone_src, zone_dst, {_ratio('x', 'y')} AS ratio FROM p")
+def ratio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.metric_ratio(timeseries.summary(window_stats(spark, sf_dir)), "max", "n_packets", "n_links")
+
+
+@query(f"""WITH {L_SQL}, p AS (SELECT zone_src, zone_dst, coalesce(max(value) FILTER ("window" = 1), 0) AS x, coalesce(max(value) FILTER ("window" = 0), 0) AS y FROM l WHERE metric = 'max_fan_out' GROUP BY ALL) SELECT zone_src, zone_dst, {_ratio("x", "y")} AS ratio FROM p""")
+def ratio_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.window_ratio(window_stats(spark, sf_dir), "max_fan_out", 1, 0)
+
+
+@query(f"""WITH {U_SQL} SELECT zone_src, zone_dst, {_ratio('"current"', "median")} AS ratio FROM u WHERE metric = 'n_sources'""")
+def ratio_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.context_ratio(timeseries.summary(window_stats(spark, sf_dir)), "n_sources", "current", "median")
+
+
+_ZS = f"""{L_SQL}, m AS (SELECT zone_src, zone_dst, metric, median(value) AS m FROM d GROUP BY ALL), v AS (SELECT d.*, m, abs(value - m) AS dev FROM d JOIN m USING (zone_src, zone_dst, metric)),
+k AS (SELECT zone_src, zone_dst, metric, median(dev) AS mad FROM v GROUP BY ALL),
+zs AS (SELECT zone_src, zone_dst, metric, "window", CASE WHEN mad = 0 THEN 0.0 ELSE CAST(0.6745 AS DOUBLE) * (value - m) / mad END AS z FROM v JOIN k USING (zone_src, zone_dst, metric))"""
+
+
+@query(f'WITH {_ZS} SELECT zone_src, zone_dst, metric, round(CAST(arg_max(z, "window") AS DOUBLE), 9) AS z FROM zs GROUP BY ALL')
+def zscore_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.last_z_scores(window_stats(spark, sf_dir)).withColumn("z", F.round("z", 9))
+
+
+@query(f"""WITH {_ZS} SELECT zone_src, zone_dst, "window", CASE WHEN abs(z) >= 3 THEN 'alert' WHEN abs(z) >= 1.5 THEN 'warning' ELSE 'normal' END AS severity FROM zs WHERE metric = 'n_packets'""")
+def anomaly_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = timeseries.z_scores(window_stats(spark, sf_dir).where("metric = 'n_packets'"))
+    return z.select("zone_src", "zone_dst", "window", naming.severity(F.col("z")).alias("severity"))
+
+
+@query(f"""WITH {L_SQL} SELECT "window", value FROM l WHERE metric = 'n_links' AND zone_src = 1 AND zone_dst = 2""")
+def time_series_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.series(window_stats(spark, sf_dir), "n_links", 1, 2)
+
+
+@query(f"""WITH {L_SQL}, n AS (SELECT DISTINCT "window" FROM l) SELECT "window", CAST(row_number() OVER (ORDER BY "window") AS INTEGER) AS position FROM n""")
+def window_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.windows(window_stats(spark, sf_dir))
+
+
+@query(f"""WITH {L_SQL}, n AS (SELECT 'sub_' || metric || '_' || zone_src || '_' || zone_dst AS name, value, "window" FROM l)
+SELECT regexp_extract(name, '^sub_(.+)_([0-9]+)_([0-9]+)$', 1) AS metric, CAST(regexp_extract(name, '_([0-9]+)_([0-9]+)$', 1) AS INTEGER) AS zone_src, CAST(regexp_extract(name, '_([0-9]+)_([0-9]+)$', 2) AS INTEGER) AS zone_dst, name, "window", value FROM n""")
+def stats_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = window_stats(spark, sf_dir).select(naming.zone_column(F.col("metric"), F.col("zone_src"), F.col("zone_dst")).alias("name"), "window", "value")
+    metric, i, j = naming.parse_zone_column(F.col("name"))
+    return named.select(metric.alias("metric"), i.alias("zone_src"), j.alias("zone_dst"), "name", "window", "value")
+
+
+# ---- drill-down -----------------------------------------------------------
+
+
+def _drill(metric: str, sql: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return drill.behind(weighted(spark, sf_dir), metric)
+
+    f.__name__ = "drill_" + metric
+    query(f"WITH {W_SQL} {sql}")(f)
+
+
+_drill("max_packets", "SELECT * FROM e WHERE packets = (SELECT max(packets) FROM e)")
+for _metric, (_axis, _op) in drill.SOURCES.items():
+    _drill(_metric, f", r AS (SELECT {_axis}, {_op}(packets) AS v FROM e GROUP BY 1) SELECT e.* FROM e SEMI JOIN (SELECT {_axis} FROM r WHERE v = (SELECT max(v) FROM r)) h USING ({_axis})")
+
+
+@query(f"""WITH {WIN_SQL}, z AS (SELECT subwindow, {_zone("src")} AS zone_src, {_zone("dst")} AS zone_dst, src, dst, count(*) AS packets FROM w GROUP BY ALL),
+t AS (SELECT subwindow, sum(packets) AS v FROM z WHERE zone_src = 1 AND zone_dst = 2 GROUP BY 1), b AS (SELECT subwindow FROM t ORDER BY v DESC, subwindow LIMIT 1)
+SELECT src, dst, packets FROM z WHERE zone_src = 1 AND zone_dst = 2 AND subwindow = (SELECT subwindow FROM b)""")
+def drill_argmax_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of a cell in the window where it had the most packets."""
+    cell = zones.label(matrix.from_packets(windowed(spark, sf_dir), ("subwindow",)), zone_table(spark)).where("zone_src = 1 and zone_dst = 2")
+    best = cell.groupBy("subwindow").agg(F.sum("packets").alias("v")).orderBy(F.desc("v"), "subwindow").limit(1)
+    return cell.join(best, "subwindow", "left_semi").select("src", "dst", "packets")
+
+
+# ---- scalar functions -----------------------------------------------------
+
+_IP = "concat_ws('.', (ip >> 24) & 255, (ip >> 16) & 255, (ip >> 8) & 255, ip & 255)"
+_IDS = "i AS (SELECT DISTINCT (l_partkey * 2147483 + l_suppkey) % 4294967296 AS ip FROM lineitem)"
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 2147483 + F.col("l_suppkey")) % 4294967296).alias("ip")).distinct()
+
+
+@query(f"WITH {_IDS} SELECT ip, {_IP} AS dotted, ip AS back FROM i")
+def ip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids(spark, sf_dir).withColumn("dotted", ip.int_to_ip(F.col("ip"))).withColumn("back", ip.ip_to_int(F.col("dotted")))
+
+
+@query(f"WITH {_IDS} SELECT ip, concat_ws('.', lpad(CAST((ip >> 24) & 255 AS VARCHAR), 3, '0'), lpad(CAST((ip >> 16) & 255 AS VARCHAR), 3, '0'), lpad(CAST((ip >> 8) & 255 AS VARCHAR), 3, '0'), lpad(CAST(ip & 255 AS VARCHAR), 3, '0')) AS padded, {_IP} AS unpadded FROM i")
+def ip_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids(spark, sf_dir).withColumn("padded", ip.pad_ip(ip.int_to_ip(F.col("ip")))).withColumn("unpadded", ip.unpad_ip(F.col("padded")))
+
+
+@query(f"WITH {_IDS} SELECT ip, (ip & 255) * 16777216 + ((ip >> 8) & 255) * 65536 + ((ip >> 16) & 255) * 256 + ((ip >> 24) & 255) AS swapped FROM i")
+def byteswap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids(spark, sf_dir).withColumn("swapped", ip.byteswap32(F.col("ip")))
+
+
+@query(f"WITH {_IDS} SELECT ip, xor(ip, CAST(2863311530 AS BIGINT)) AS masked FROM i")
+def xor_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids(spark, sf_dir).withColumn("masked", ip.xor_mask(F.col("ip")))
+
+
+@query(f"WITH {_IDS} SELECT ip, ip % 33 AS bits, CASE WHEN ip % 33 = 0 THEN 0 ELSE (ip >> (32 - ip % 33)) << (32 - ip % 33) END AS lo, CASE WHEN ip % 33 = 0 THEN 4294967295 ELSE ((ip >> (32 - ip % 33)) << (32 - ip % 33)) + (CAST(1 AS BIGINT) << (32 - ip % 33)) - 1 END AS hi FROM i")
+def cidr_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = ids(spark, sf_dir).withColumn("bits", F.col("ip") % 33)
+    lo, hi = ip.bounds(F.concat(ip.int_to_ip(F.col("ip")), F.lit("/"), F.col("bits").cast("string")))
+    return named.select("ip", "bits", lo.alias("lo"), hi.alias("hi"))
+
+
+# ---- sources, sinks and the rest ------------------------------------------
+
+
+@query(f"""WITH {E_SQL}, t AS (SELECT src, dst, packets, coalesce(CAST(sum(packets) OVER (ORDER BY src, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM e WHERE src < 10),
+x AS (SELECT src, dst, before + unnest(range(0, packets)) AS seq FROM t) SELECT src, dst, seq, 1000000 + (2000000 - 1000000) * seq // (SELECT sum(packets) FROM t)::BIGINT AS ts FROM x""")
+def export_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each packet of each link, in matrix order, with times spread evenly."""
+    from netquilt.sources import sinks
+
+    return sinks.expand_packets(edges(spark, sf_dir).where("src < 10"), 1_000_000, 2_000_000).select("src", "dst", "seq", "ts")
+
+
+@query(f"WITH {S_SQL} SELECT seq, dst AS k FROM s")
+def json_flow_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k bigint")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), parsed["k"].alias("k")).where("k is not null")
+
+
+@query("SELECT DISTINCT 'part-' || p_partkey || '.grb' AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def manifest_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string"), F.lit(".grb")).alias("path")
+    return filters.not_processed(table(spark, sf_dir, "part").select(name("p_partkey")), table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(name("l_partkey")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 4 = 1")
+def task_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.task_slice(table(spark, sf_dir, "nation"), "n_nationkey", 1, 4).select("n_nationkey", "n_name")
+
+
+@query(f"WITH {S_SQL} SELECT count(*) AS total, count(*) FILTER (packets % 10 = 0) AS invalid FROM s")
+def packet_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = stream(spark, sf_dir).select(F.lit(2048).alias("ethertype"), F.when(F.col("packets") % 10 == 0, 6).otherwise(4).alias("ip_version"))
+    return filters.counters(marked)
+
+
+@query(f"WITH {S_SQL} SELECT seq, src, dst FROM s WHERE event_type = 'click' AND packets > 50")
+def user_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.matching(stream(spark, sf_dir), "event_type = 'click' AND packets > 50").select("seq", "src", "dst")
+
+
+@query(f"WITH {E_SQL} SELECT src * 43383508 AS src, dst, packets FROM e WHERE src * 43383508 < 4294967295")
+def broadcast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.no_broadcast(edges(spark, sf_dir).withColumn("src", F.col("src") * 43383508))
