@@ -224,17 +224,24 @@ def member_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Z = f"{SE_SQL}, z AS (SELECT {_zone('src')} AS zone_src, {_zone('dst')} AS zone_dst, src, dst, packets FROM e)"
 
 
-@query(f"WITH {_Z}, q AS ({_nine('z', 'zone_src, zone_dst')}) SELECT * FROM q WHERE zone_src < 3 AND zone_dst < 3")
+def _grid(n: int) -> str:
+    """All pairs of ``n`` zones, with zeros where there are no links."""
+    cells = ", ".join(f"coalesce({q}, 0) AS {q}" for q in stats.QUANTITIES)
+    pairs = ", ".join(f"({i}, {j})" for i in range(1, n + 1) for j in range(1, n + 1))
+    return f"WITH {_Z}, q AS ({_nine('z', 'zone_src, zone_dst')}) SELECT zone_src, zone_dst, {cells} FROM (VALUES {pairs}) g(zone_src, zone_dst) LEFT JOIN q USING (zone_src, zone_dst)"
+
+
+@query(_grid(2))
 def zone_pairs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark), complement=False)
 
 
-@query(f"WITH {_Z} {_nine('z', 'zone_src, zone_dst')}")
+@query(_grid(3))
 def zone_pairs_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark))
 
 
-@query(f"WITH {_Z}, q AS (SELECT zone_src, zone_dst, sum(packets) AS n FROM z GROUP BY ALL) SELECT zone_src, CAST(sum(n) FILTER (zone_dst = 1) AS BIGINT) AS z1, CAST(sum(n) FILTER (zone_dst = 2) AS BIGINT) AS z2, CAST(sum(n) FILTER (zone_dst = 3) AS BIGINT) AS z3 FROM q GROUP BY 1")
+@query(f"SELECT zone_src, max(n_packets) FILTER (zone_dst = 1) AS z1, max(n_packets) FILTER (zone_dst = 2) AS z2, max(n_packets) FILTER (zone_dst = 3) AS z3 FROM ({_grid(3)}) GROUP BY 1")
 def zone_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.zone_matrix(zones.pair_quantities(stream_edges(spark, sf_dir), zone_table(spark)), "n_packets", 3)
 
