@@ -193,9 +193,9 @@ class Automaton:
             rows.append(row)
         table = np.array(rows, np.int64)
         flags = np.array([sum(1 << k for k, e in enumerate(ends) if s >> e & 1) for s in order], np.uint16)
-        part = np.unique(flags, return_inverse=True)[1]
-        while True:  # states are equal until a step tells them apart
-            finer = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].ravel()
+        part = np.zeros(len(table), np.int64)
+        while True:  # states are equal until a step, or what it accepts, tells them apart
+            finer = np.unique(np.column_stack([part, part[table], flags[table]]), axis=0, return_inverse=True)[1].ravel()
             if finer.max() == part.max():
                 break
             part = finer
@@ -203,7 +203,7 @@ class Automaton:
         small = part[table[pick]]
         self.size, self.width = small.shape
         self.next = (small * width).astype(np.int32).ravel()
-        self.flag = flags[pick][small].ravel()
+        self.flag = flags[table[pick]].ravel()  # what a step accepts
         self.root = int(part[0]) * width
         home = small.reshape(self.size, width)
         #: pairs of classes after which every state is the first one
