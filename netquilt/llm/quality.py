@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Labelled documents to fit and calibrate on; the first by a hash of their id.
-LABELLED = 20_000
+LABELLED = 10_000
 #: Unlabelled documents to exchange labels on, drawn by a hash of their id.
-POOL = 20_000
+POOL = 10_000
 ROUNDS = 4
 #: How sure a calibrated view must be to hand on a label.
 SURE = 0.95
@@ -37,7 +37,8 @@ THRESHOLD = 0.5
 SLOTS = 16
 _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
 
-Doc = tuple[str | None, str | None, str | None, int | None]
+#: Content features, language, source and stated length.
+Doc = tuple[list[float], str | None, str | None, int | None]
 
 
 def content(text: str | None) -> list[float]:
@@ -75,8 +76,8 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[
 
 
 def views(docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
-    """Both feature matrices of ``(text, lang, source, n_chars)`` rows."""
-    return np.array([content(d[0]) for d in docs], float), np.array([metadata(*d[1:]) for d in docs], float)
+    """Both feature matrices."""
+    return np.array([d[0] for d in docs], float), np.array([metadata(*d[1:]) for d in docs], float)
 
 
 @dataclass
@@ -171,19 +172,27 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     A document with several labels counts by their mean; null labels and labels
     without a document don't count.
     """
-    fields = ["text", "lang", "source", "n_chars"]
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
-    own = docs.select("doc_id", *fields)
-    rows = own.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = [(r.doc_id, tuple(r[f] for f in fields), float(r.good >= 0.5)) for r in rows.toLocalIterator()]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+    def drawn(rows: DataFrame, most: int) -> list[tuple[int, float, Doc]]:
+        """The features of at most ``most`` rows; texts stay in the tasks."""
+        small = map_rows(
+            rows,
+            ["doc_id", "good", "text", "lang", "source", "n_chars"],
+            "doc_id long, good double, content array<double>, lang string, source string, n_chars long",
+            lambda rows: [(i, good, content(text), *rest) for i, good, text, *rest in rows],
+        )
+        return [(r[0], r[1], (r[2], *r[3:])) for r in small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toLocalIterator()]
+
+    known = drawn(own.join(F.broadcast(chosen), "doc_id"), LABELLED)
     if not known:
         return None
     every = max(1, docs.count() // POOL)
-    drawn = own.where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * POOL)
+    pool = drawn(own.where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(every)) == 0).withColumn("good", F.lit(None).cast("double")), 2 * POOL)
     ids = {i for i, *_ in known}
-    pool = [tuple(r[f] for f in fields) for r in drawn.toLocalIterator() if r.doc_id not in ids]
-    return co_train([d for _, d, _ in known], [g for *_, g in known], pool)
+    return co_train([d for *_, d in known], [float(g >= 0.5) for _, g, _ in known], [d for i, _, d in pool if i not in ids])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def work(rows: list[tuple]) -> list[tuple]:
         if model is None:
             return [(r[0], None, None, None, True) for r in rows]
-        return [(r[0], float(t), float(m), float(p), bool(p >= THRESHOLD)) for r, t, m, p in zip(rows, *model.score([r[1:] for r in rows]), strict=True)]
+        return [(r[0], float(t), float(m), float(p), bool(p >= THRESHOLD)) for r, t, m, p in zip(rows, *model.score([(content(r[1]), *r[2:]) for r in rows]), strict=True)]
 
     return map_rows(docs, ["doc_id", "text", "lang", "source", "n_chars"], "doc_id long, content_score double, metadata_score double, score double, keep boolean", work)
 
@@ -215,6 +224,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(rows: list[tuple]) -> list[tuple]:
-        return [r for r, p in zip(rows, model.score([tuple(r[i] for i in at) for r in rows])[2], strict=True) if p >= THRESHOLD]
+        return [r for r, p in zip(rows, model.score([(content(r[at[0]]), *(r[i] for i in at[1:])) for r in rows])[2], strict=True) if p >= THRESHOLD]
 
     return map_rows(docs, names, schema, work)
