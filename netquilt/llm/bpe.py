@@ -36,9 +36,9 @@ SIMPLE = re.compile(r"[^\x00-\x7f\u00c0-\u024f]")
 SIMPLE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 #: Pieces whose ids a worker remembers; the store starts anew when full.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Pairs of tokens whose compatibility a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 500_000
 #: Bytes read between two emissions of a long run.
 STRIDE = 4_096
 
