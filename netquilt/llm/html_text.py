@@ -25,7 +25,7 @@ from .common import map_rows
 SAMPLE_PAGES = 4_000
 #: Bounds of a learnt weight.
 MOST = 4.0
-WORD, TAG = 1.0, -1.0  # weights of what no labelled page had
+WORD, TAG = 1.0, -0.2  # weights of what no labelled page had
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: Elements whose content is not text of the page.
@@ -44,9 +44,12 @@ _ASIDE_LABELS = frozenset(
 _WHOLE = frozenset(("html", "body", "main"))
 
 
+SPACE = "#space"
+
+
 @dataclass
 class Token:
-    """A tag (``words`` 0) or a stretch of text; ``kind`` names the tag or the element around the text."""
+    """A tag (``words`` 0) or a stretch of text; ``kind`` names the tag or the element around the text, ``SPACE`` bare white space."""
 
     kind: str
     words: int = 0
@@ -70,7 +73,11 @@ def tokens(page: str) -> Iterator[Token]:
     at = 0
 
     def text(upto: int) -> Iterator[Token]:
-        if upto > at and (n := len((part := page[at:upto]).split())):
+        if upto <= at:
+            return
+        if not (n := len((part := page[at:upto]).split())):
+            yield Token(SPACE)
+        else:
             name, aside, article = next(((e, a, b) for e, a, b in reversed(open_) if e in _BLOCK or e == "a"), ("", False, False))
             yield Token(name, n, part, open_[-1][1] if open_ else False, open_[-1][2] if open_ else False)
 
@@ -112,7 +119,7 @@ def count_labels(pages: list[str | None]) -> list[tuple[str, int, int]]:
         found = list(tokens(page or ""))
         if any(t.article for t in found):
             for t in found:
-                if not t.aside:
+                if not t.aside and t.kind != SPACE:
                     (inside if t.article else outside)[("w:" if t.words else "t:") + t.kind] += max(1, t.words)
     return [(k, inside[k], outside[k]) for k in sorted({*inside, *outside})]
 
@@ -145,7 +152,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the page's main text, joined by line ends."""
     found = list(tokens(page or ""))
-    scores = [0.0 if t.aside else weights.get("w:" + t.kind, WORD) * t.words if t.words else weights.get("t:" + t.kind, TAG) for t in found]
+    scores = [0.0 if t.aside or t.kind == SPACE else weights.get("w:" + t.kind, WORD) * t.words if t.words else weights.get("t:" + t.kind, TAG) for t in found]
     lo, hi = best_run(scores)
     blocks, now = [], []
     for t in found[lo:hi]:
@@ -155,7 +162,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif t.kind in _BLOCK:
             blocks.append(now)
             now = []
-        elif t.kind == "br":
+        elif t.kind in ("br", SPACE):
             now.append(" ")
     blocks.append(now)
     return "\n".join(x for b in blocks if (x := " ".join("".join(b).split())))
