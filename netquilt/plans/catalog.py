@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquilt.functions import ip, naming
-from netquilt.operators import anonymize, drill, filters, matrix, stats, timeseries, windows, zones
+from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -525,3 +525,35 @@ def user_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {E_SQL} SELECT src * 43383508 AS src, dst, packets FROM e WHERE src * 43383508 < 4294967295")
 def broadcast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.no_broadcast(edges(spark, sf_dir).withColumn("src", F.col("src") * 43383508))
+
+
+@query("WITH i AS (SELECT DISTINCT l_partkey AS dst FROM lineitem), r AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS n, count(*) OVER () AS c FROM i) SELECT dst FROM r WHERE n % greatest(1, (c + 49) // 50) = 0")
+def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.every(packets(spark, sf_dir).select("dst").distinct(), "dst", 50)
+
+
+@query("""WITH RECURSIVE i AS (SELECT DISTINCT l_partkey AS dst FROM lineitem), g AS (SELECT 40 * (max(dst) - min(dst)) / 480 AS gap FROM i),
+t AS (SELECT min(dst) AS dst FROM i UNION ALL SELECT (SELECT min(i.dst) FROM i, g WHERE i.dst - t.dst >= g.gap) FROM t WHERE t.dst IS NOT NULL) SELECT dst FROM t WHERE dst IS NOT NULL""")
+def axis_ticks_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.spaced(packets(spark, sf_dir).select("dst").distinct(), "dst")
+
+
+@query(f"""WITH {L_SQL}, n AS (SELECT DISTINCT "window" FROM l) SELECT "window" FROM n ORDER BY "window" LIMIT 7 OFFSET 7""")
+def window_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.page(window_stats(spark, sf_dir).select("window").distinct(), "window", 1, 7)
+
+
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.METRIC_NAMES.items())
+
+
+@query(f"""WITH {L_SQL} SELECT "window", CASE metric {_NAMES} END AS shown, CASE zone_src WHEN 1 THEN 'nonroute' WHEN 2 THEN 'bogon' ELSE 'assigned' END AS zone, value FROM l WHERE zone_dst = 3""")
+def named_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = window_stats(spark, sf_dir).where("zone_dst = 3")
+    return rows.select("window", display.metric_name(F.col("metric")).alias("shown"), display.zone_name(F.col("zone_src")).alias("zone"), "value")
+
+
+@query(f"""WITH {WIN_SQL} SELECT subwindow AS "window", src, dst, count(*) AS packets FROM w WHERE subwindow = 1 AND {_zone("src")} = 1 AND {_zone("dst")} = 3 GROUP BY ALL""")
+def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a cell of the statistics to its links, by window and zones."""
+    links = matrix.from_packets(windowed(spark, sf_dir), ("subwindow",)).withColumnRenamed("subwindow", "window")
+    return display.links_of_cell(zones.label(links, zone_table(spark)), 1, 1, 3).select("window", "src", "dst", "packets")

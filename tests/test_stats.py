@@ -97,3 +97,16 @@ CLIQUE = [(i, j, 1) for i in range(6) for j in range(6) if i != j]
 def test_topologies(spark, links, want):
     got = stats.quantities(spark.createDataFrame(links, "src long, dst long, packets long")).first()
     assert tuple(got[n] for n in NAMES) == want
+
+
+def test_display_rows(spark):
+    from pyspark.sql import functions as F
+
+    from netquilt.operators import display
+
+    ids = spark.createDataFrame([(i,) for i in [0, 10, 39, 40, 79, 85, 480]], "id long")
+    assert [r[0] for r in display.spaced(ids, "id").collect()] == [0, 40, 85, 480]
+    assert [r[0] for r in display.every(ids, "id", 3).collect()] == [0, 40, 480]
+    assert [r[0] for r in display.page(ids, "id", 1, 3).collect()] == [40, 79, 85]
+    row = ids.limit(1).select(display.metric_name(F.lit("n_links")), display.zone_name(F.lit(5)), display.zone_name(F.lit(9)), *display.cell_zones(F.lit(0), F.lit(2), 5)).first()
+    assert tuple(row) == ("Unique links", "other", None, 5, 3)
