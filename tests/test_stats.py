@@ -109,4 +109,4 @@ def test_display_rows(spark):
     assert [r[0] for r in display.every(ids, "id", 3).collect()] == [0, 40, 480]
     assert [r[0] for r in display.page(ids, "id", 1, 3).collect()] == [40, 79, 85]
     row = ids.limit(1).select(display.metric_name(F.lit("n_links")), display.zone_name(F.lit(5)), display.zone_name(F.lit(9)), *display.cell_zones(F.lit(0), F.lit(2), 5)).first()
-    assert tuple(row) == ("Unique links", "other", None, 5, 3)
+    assert tuple(row) == ("Links", "other", None, 5, 3)
