@@ -50,4 +50,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality}
 
-ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE, "op8_warc": warc.ORACLE}

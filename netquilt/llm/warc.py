@@ -217,3 +217,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     folder = f"{shared_dir(pages.sparkSession)}/netquilt/warc-{uuid.uuid4().hex}"
     return read(write(pages, folder, least_bytes), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What the round trip gives, in SQL: base32 is spelt out of the hexadecimal SHA-1, four letters for five digits.
+ORACLE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (x)
+"""
