@@ -277,7 +277,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = materialise(near_duplicates(docs).select("doc_id", "fp", stays.alias("stays")), "kept")
     ids = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("stays").alias("k")).where("k > 0"), "kept")
     plain, again = ids.where("n = 1"), ids.where("n > 1")
-    single = docs.join(plain, docs["doc_id"].eqNullSafe(plain["doc_id"]), "left_semi")
+    # ids are never broadcast: their number grows with the documents, and so the join is the same at every size
+    single = docs.join(plain.hint("merge"), docs["doc_id"].eqNullSafe(plain["doc_id"]), "left_semi")
     if again.isEmpty():
         return single
     wanted = found.where("stays").join(again, found["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
