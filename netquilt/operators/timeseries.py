@@ -8,33 +8,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Windows that meet the cells at once.
+BLOCK = 5_000
 CELL = ("zone_src", "zone_dst", "metric")
 
 
 def densify(stats: DataFrame) -> DataFrame:
     """Every cell in every window, absent ones as 0.
 
-    Each cell carries the list of windows, whose number is that of the time
-    series' points, so rows grow with cells times windows and nothing more.
+    Windows are dealt into blocks by hash, and cells meet a block at a time, so
+    neither side is gathered; the rows made are those of the result.
     """
-    windows = stats.agg(F.array_sort(F.collect_set("window")).alias("ws"))
-    grid = stats.select(*CELL).distinct().withColumn("k", F.lit(1)).join(F.broadcast(windows.withColumn("k", F.lit(1))), "k")
-    grid = grid.select(*CELL, F.explode("ws").alias("window"), F.lit(0).cast("long").alias("value"))
+    blocks = max(1, stats.select("window").distinct().count() // BLOCK)
+    windows = stats.select("window").distinct().groupBy(F.pmod(F.hash("window"), F.lit(blocks)).alias("__b")).agg(F.collect_list("window").alias("__ws"))
+    grid = stats.select(*CELL).distinct().withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(windows, "__b")
+    grid = grid.select("*", F.explode("__ws").alias("window"), F.lit(0).cast("long").alias("value")).select("window", *CELL, "value")
     # absent cells are rows of 0, so the two sides need no join
-    both = stats.select(*CELL, "window", "value").unionByName(grid)
-    return both.groupBy("window", *CELL).agg(F.sum("value").alias("value"))
+    return stats.select("window", *CELL, "value").unionByName(grid).groupBy("window", *CELL).agg(F.sum("value").alias("value"))
 
 
 def summary(stats: DataFrame) -> DataFrame:
-    """``current, median, max, argmax_window`` of each cell; of equal maxima the first window counts."""
-    w = densify(stats)
-    first = F.max_by("window", F.struct("value", F.struct((-F.col("__i")).alias("i"))))
-    order = w.select("window").distinct().withColumn("__i", F.dense_rank().over(Window.orderBy("window")))  # as many rows as windows
-    return (
-        w.join(F.broadcast(order), "window")
-        .groupBy(*CELL)
-        .agg(F.max_by("value", "window").alias("current"), F.median("value").alias("median"), F.max("value").alias("max"), first.alias("argmax_window"))
+    """``current, median, max, argmax_window`` of each cell; of equal maxima the first window counts.
+
+    Values are at least 0. Absent windows enter as one row of 0 a cell with
+    their number as its weight, so nothing is spelt out.
+    """
+    n, first, last = stats.agg(F.count_distinct("window"), F.min("window"), F.max("window")).first()
+    zeros = stats.groupBy(*CELL).agg((F.lit(n) - F.count("*")).alias("__f")).where("__f > 0")
+    rows = stats.select(*CELL, "window", "value", F.lit(1).cast("long").alias("__f")).unionByName(zeros.withColumn("value", F.lit(0).cast("long")), allowMissingColumns=True)
+    best = F.min(F.when(F.col("window").isNotNull(), F.struct((-F.col("value")).alias("v"), F.col("window"))))
+    found = rows.groupBy(*CELL).agg(
+        F.coalesce(F.max(F.when(F.col("window") == last, F.col("value"))), F.lit(0)).alias("current"),
+        F.percentile("value", F.lit(0.5), F.col("__f")).alias("median"),
+        F.max("value").alias("max"),
+        best["window"].alias("argmax_window"),
     )
+    return found.withColumn("argmax_window", F.when(F.col("max") == 0, F.lit(first)).otherwise(F.col("argmax_window")))
 
 
 def zone_matrix(cells: DataFrame, value: str, n: int) -> DataFrame:
