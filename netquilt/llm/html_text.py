@@ -70,15 +70,21 @@ def _side_matter(name: str, tag: str, inside_article: bool) -> bool:
 def tokens(page: str) -> Iterator[Token]:
     """The tags and texts of a page in order; comments, scripts and the like are left out."""
     open_: list[tuple[str, bool, bool]] = []  # element, whether it is in side matter, in an article
+    depth: Counter = Counter()  # open elements by name, so that no tag searches a deep stack in vain
     at = 0
 
+    def close() -> str:
+        name = open_.pop()[0]
+        depth[name] -= 1
+        return name
+
     def text(upto: int) -> Iterator[Token]:
         if upto <= at:
             return
         if not (n := len((part := page[at:upto]).split())):
             yield Token(SPACE)
         else:
-            name, aside, article = next(((e, a, b) for e, a, b in reversed(open_) if e in _BLOCK or e == "a"), ("", False, False))
+            name = next((e for e, *_ in reversed(open_[-32:]) if e in _BLOCK or e == "a"), "")
             yield Token(name, n, part, open_[-1][1] if open_ else False, open_[-1][2] if open_ else False)
 
     for m in _TOKEN.finditer(page):
@@ -89,25 +95,26 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         name = found.group(1).lower()
         if tag[1] == "/":
-            if any(e[0] == name for e in open_):
+            if depth[name]:
                 aside, article = open_[-1][1:]
-                while open_.pop()[0] != name:
+                while close() != name:
                     pass
                 yield Token(name, aside=aside, article=article)
             elif name == "p":
                 yield Token(name)
             continue
         if name in _BLOCK:
-            while open_ and open_[-1][0] not in _BLOCK and any(e[0] == "p" for e in open_):
-                open_.pop()  # an inline element left open ends with its paragraph
+            while depth["p"] and open_[-1][0] not in _BLOCK:
+                close()  # an inline element left open ends with its paragraph
             if open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li":
-                open_.pop()
+                close()
         up = open_[-1][1:] if open_ else (False, False)
         article = up[1] or name in ("article", "main")
         aside = up[0] or _side_matter(name, tag, up[1])
         yield Token(name, aside=aside, article=article)
         if name not in _VOID and not tag.endswith("/>"):
             open_.append((name, aside, article))
+            depth[name] += 1
     yield from text(len(page))
 
 

@@ -50,5 +50,9 @@ def test_learnt_weights_find_the_article_without_its_mark(spark, prose):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_deep_pages_take_linear_time():
+    assert h.main_text("<div>" * 60_000 + "x" + "</span>" * 60_000 + "<i>" * 60_000 + "y" + "</p>" * 1_000, {}).startswith("x")
+
+
 def test_long_page():
     assert h.main_text("<p>" + "word " * 200_000, {}).count("word") == 200_000
