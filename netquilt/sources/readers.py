@@ -77,11 +77,14 @@ def read_packets(stream: io.RawIOBase) -> Iterator[tuple]:
         seq += 1
 
 
-def read_pcap(spark: SparkSession, where: str | list[str], glob: str | None = None) -> DataFrame:
-    """Packets of capture files. A capture can be read only from its start, so each file is a task; memory is flat."""
+def packets_of_files(files: DataFrame) -> DataFrame:
+    """Packets of the capture files of a column ``path``, batch or stream.
+
+    A capture can be read only from its start, so a file is a unit of work;
+    memory is flat whatever its size.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    files = paths(spark, where, glob)
     schema = to_arrow_schema(T.StructType.fromDDL(PACKETS))
 
     def batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -103,7 +106,13 @@ def read_pcap(spark: SparkSession, where: str | list[str], glob: str | None = No
                 if held:
                     yield batch(path, held)
 
-    return files.repartition(max(1, files.count())).mapInArrow(run, PACKETS)
+    return files.select("path").mapInArrow(run, PACKETS)
+
+
+def read_pcap(spark: SparkSession, where: str | list[str], glob: str | None = None) -> DataFrame:
+    """Packets of capture files, a task for each file."""
+    files = paths(spark, where, glob)
+    return packets_of_files(files.repartition(max(1, files.count())))
 
 
 def read_flows(spark: SparkSession, where: str | list[str]) -> DataFrame:

@@ -37,3 +37,35 @@ def test_running_matrix(spark, tmp_path):
     query = streams.running_matrix(source).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("running").selectExpr("sum(packets)").first()[0] == sum(r[5] for r in rows)
+
+
+def test_flows_are_accumulated_once(spark, tmp_path):
+    import json
+
+    from netquilt.operators import filters
+    from netquilt.streaming import sources
+
+    folder, out, cp = (str(tmp_path / x) for x in ("flows", "matrix", "cp"))
+    (tmp_path / "flows").mkdir()
+    line = json.dumps({"src_ip": "0.0.0.1", "dest_ip": "0.0.0.2", "flow": {"pkts_toserver": 3, "pkts_toclient": 1}})
+    for k in range(3):
+        (tmp_path / "flows" / f"{k}.json").write_text((line + "\n") * (k + 1) + "{bad\n")
+        query = sources.accumulate(filters.flows_to_links(sources.flows_from_files(spark, folder, 1)), out, cp)
+        query.awaitTermination(120)
+    assert {tuple(r) for r in sources.accumulated(spark, out).collect()} == {(1, 2, 18), (2, 1, 6)}
+
+
+def test_captures_as_stream_and_as_data_source(spark, tmp_path, twelve):
+    from netquilt.sources import datasource, sinks
+    from netquilt.streaming import sources
+
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        sinks.write_pcap(sinks.expand_packets(twelve, 0, 1_000_000), str(tmp_path / "in" / f"{k}.pcap"))
+    query = sources.accumulate(sources.valid_links(sources.packets_from_captures(spark, str(tmp_path / "in"), 1)), str(tmp_path / "m"), str(tmp_path / "cp"))
+    query.awaitTermination(120)
+    twice = matrix.add(twelve, twelve)
+    assert matrix.equal(sources.accumulated(spark, str(tmp_path / "m")), twice).first()["equal"]
+    datasource.register(spark)
+    packets = spark.read.format(datasource.NAME).load(str(tmp_path / "in"))
+    assert matrix.equal(matrix.from_packets(packets.select("src", "dst")), twice).first()["equal"]
