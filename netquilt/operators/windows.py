@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 #: Packets in a matrix, and matrices in a window file.
 SUBWINDOW, SUBWINDOWS = 1 << 17, 64
 #: Slices of the order in which running totals are taken side by side.
-SLICES = 64
+SLICES = 256
+
+
+def bucket(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``: a tree of comparisons, a few for each row."""
+
+    def node(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > cuts[mid], node(mid + 1, hi)).otherwise(node(lo, mid))
+
+    return node(0, len(cuts))
 
 
 def running_total(rows: DataFrame, order: str, weight: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -25,8 +37,7 @@ def running_total(rows: DataFrame, order: str, weight: Column, name: str, by: tu
         return rows.withColumn(name, F.sum("__w").over(w)).drop("__w")
     shares = [i / SLICES for i in range(1, SLICES)]
     cuts = rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
-    edges = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    sliced = rows.withColumn("__s", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    sliced = rows.withColumn("__s", bucket(F.col(order), sorted(set(cuts))))
     totals = sliced.groupBy("__s").agg(F.sum("__w").alias("__t"))
     before = totals.select("__s", (F.sum("__t").over(Window.orderBy("__s")) - F.col("__t")).alias("__b"))  # as many rows as slices
     w = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquilt.functions import ip, naming
+from netquilt.operators import windows
 
 
 def write_windows(edges: DataFrame, path: str) -> None:
@@ -58,15 +62,13 @@ def describe(edges: DataFrame) -> DataFrame:
 def expand_packets(edges: DataFrame, start: int, end: int) -> DataFrame:
     """``src, dst, seq, ts``: each link as that many packets, in matrix order, spread evenly over the time.
 
-    Sources are summed on their own and put one after the other, so the order
-    over the whole matrix needs no single task.
+    Source and destination make one number that sorts like the pair, so the
+    running total is taken in even slices however many links a source has.
     """
-    rows = edges.groupBy("src").agg(F.sum("packets").alias("n"))
-    heads = rows.select("src", (F.sum("n").over(Window.orderBy("src")) - F.col("n")).alias("head"))  # a row for each source
-    own = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = edges.agg(F.sum("packets")).first()[0] or 0
-    placed = edges.withColumn("before", F.sum("packets").over(own) - F.col("packets")).join(heads, "src")
-    one = placed.select("src", "dst", F.explode(F.expr("sequence(head + before, head + before + packets - 1)")).alias("seq"))
+    keyed = edges.withColumn("__o", (F.col("src") - (1 << 31)) * (1 << 32) + F.col("dst"))
+    placed = windows.running_total(keyed, "__o", F.col("packets"), "upto")
+    one = placed.select("src", "dst", F.explode(F.expr("sequence(upto - packets, upto - 1)")).alias("seq"))
     return one.withColumn("ts", naming.time_at(F.lit(start).cast("long"), F.lit(end).cast("long"), F.col("seq"), F.lit(total).cast("long")))
 
 
@@ -107,9 +109,29 @@ def pcap_records(packets: DataFrame, **fields: int) -> DataFrame:
 PCAP_HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101)
 
 
-def write_pcap(packets: DataFrame, path: str, **fields: int) -> None:
-    """Write one capture file, record by record, as they arrive in order."""
-    with open(path, "wb") as out:
-        out.write(PCAP_HEAD)
-        for row in pcap_records(packets, **fields).orderBy("seq").toLocalIterator():
-            out.write(row["content"])
+def write_pcap(packets: DataFrame, folder: str, files: int = 1, prefix: str = "capture", **fields: int) -> int:
+    """Write capture files of consecutive packets, each by a task of its own; returns how many.
+
+    A file is moved into place when it is whole, so a task that runs again
+    replaces it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(base, recursive=True)
+        part = TaskContext.get().partitionId()
+        temp, final, some = f"{base}/.{uuid.uuid4().hex}", f"{base}/{prefix}-{part:05d}.pcap", False
+        with where.open_output_stream(temp) as out:
+            out.write(PCAP_HEAD)
+            for b in batches:
+                for record in b.column(1).to_pylist():
+                    out.write(record)
+                    some = True
+        if some:
+            where.move(temp, final)
+            yield pa.RecordBatch.from_arrays([pa.array([final])], names=["path"])
+        else:
+            where.delete_file(temp)
+
+    records = pcap_records(packets, **fields)
+    return records.repartitionByRange(files, "seq").sortWithinPartitions("seq").mapInArrow(run, "path string").count()

@@ -33,8 +33,8 @@ def test_capture(spark, tmp_path):
 def test_capture_round_trip(spark, tmp_path, twelve):
     packets = sinks.expand_packets(twelve, 1_000_000, 3_000_000)
     assert packets.count() == 21
-    path = str(tmp_path / "out.pcap")
-    sinks.write_pcap(packets, path, ip_id=5, sport=1, dport=80, window=64, seq=9)
+    path = str(tmp_path / "out")
+    assert sinks.write_pcap(packets, path, 3, ip_id=5, sport=1, dport=80, window=64, seq=9) == 3
     back = readers.read_pcap(spark, path)
     assert matrix.equal(matrix.from_packets(back.select("src", "dst")), twelve).first()["equal"]
     assert back.agg(F.min("ts").cast("long"), F.max("ts").cast("long")).first()[0] == 1

@@ -61,7 +61,7 @@ def test_captures_as_stream_and_as_data_source(spark, tmp_path, twelve):
 
     (tmp_path / "in").mkdir()
     for k in range(2):
-        sinks.write_pcap(sinks.expand_packets(twelve, 0, 1_000_000), str(tmp_path / "in" / f"{k}.pcap"))
+        sinks.write_pcap(sinks.expand_packets(twelve, 0, 1_000_000), str(tmp_path / "in"), prefix=str(k))
     query = sources.accumulate(sources.valid_links(sources.packets_from_captures(spark, str(tmp_path / "in"), 1)), str(tmp_path / "m"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     twice = matrix.add(twelve, twelve)
