@@ -293,7 +293,7 @@ def anon_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize.apply_table(links, ids.withColumn("anon_ip", (F.col("ip") * 7919 + 13) % 1000003))
 
 
-_FLIPS = " + ".join(f"(((x ^ CAST(instr('0123456789abcdef', substr(sha256('{KEY}:{b}:' || CAST(ip >> {32 - b} AS VARCHAR)), 1, 1)) - 1 AS BIGINT) & 1) << {31 - b})" for b in range(16, 32)).replace("(((x ^ ", "((")
+_FLIPS = " + ".join(f"((CAST(instr('0123456789abcdef', substr(sha256('{KEY}:{b}:' || CAST(ip >> {32 - b} AS VARCHAR)), 1, 1)) - 1 AS BIGINT) & 1) << {31 - b})" for b in range(16, 32))
 
 
 @query(f"WITH i AS (SELECT DISTINCT l_partkey AS ip FROM lineitem UNION SELECT DISTINCT l_suppkey FROM lineitem) SELECT ip, xor(ip, {_FLIPS}) AS anon_ip FROM i")
@@ -358,7 +358,7 @@ def window_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {L_SQL} SELECT * FROM l")
 def stats_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_stats(spark, sf_dir).withColumn("metric", F.col("metric"))
+    return window_stats(spark, sf_dir)
 
 
 @query(f'WITH {U_SQL} SELECT zone_src, zone_dst, metric, "current", median, max, argmax_window FROM u JOIN a USING (zone_src, zone_dst, metric)')
