@@ -129,14 +129,16 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[Record]:
 def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to, revisit``: which pages repeat the payload of which.
 
-    Only payloads that occur more than once are joined back, so the pages
-    themselves move only where those are too many to send round.
+    Only payloads that occur more than once are joined back. Their table is
+    written first, so Spark knows its size when it plans the join: the pages
+    themselves move only where it is too large to send round.
     """
     text = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", text.alias("html"), F.sha1(text.cast("binary")).alias("sum"))
     again = rows.where(F.octet_length("html") >= least_bytes).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = materialise(again.select("sum", "first"), "repeats")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(again.select("sum", "first"), "sum", "left").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    return rows.join(again, "sum", "left").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
