@@ -102,7 +102,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = int(min(MOST_RANGES, max(LEAST_RANGES, n // ROWS_A_RANGE)))
     cuts = splitters(sampled(rows, total, parts * SAMPLES), parts)
-    for _ in range(4):
+    # a row beyond a range's share gets a range of its own: there are at most as many as ranges
+    for r in rows.where(F.col("size") > total / parts).select("h", "id", "nth").toLocalIterator():
+        cuts += [(r[0], r[1], r[2]), (r[0], r[1], r[2] + 1)]
+    cuts = sorted({*cuts})
+    while True:  # each round has new cuts, so it ends; the totals are always those of the last cuts
         ranged = placed(rows, cuts)
         stats = {r[0]: (r[1], r[2]) for r in ranged.groupBy("range").agg(F.count("*"), F.sum("size")).collect()}
         full = [r for r, (count, size) in stats.items() if count > 1 and size > OVERFULL * total / parts]
@@ -129,7 +133,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .select("doc_id", "size", "text_crc32", (F.col("row") + F.col("rows_before")).alias("row"), F.expr(f"cast((start + bytes_before) * {shards} div {max(1, total)} as int)").alias("shard"))
     )
     found = materialise(found, "placed")
-    first = {r[0]: r[1] for r in found.groupBy("shard").agg(F.min("row")).collect()}
+    counted = found.groupBy("shard").agg(F.min("row"), F.count("*")).collect()
+    if sum(r[2] for r in counted) != n:
+        raise RuntimeError("rows without a range")
+    first = {r[0]: r[1] for r in counted}
     starts = F.array(*(F.lit(first.get(s, 0)).cast("long") for s in range(shards)))
     return found.select(
         "doc_id",

@@ -48,6 +48,13 @@ def test_overfull_ranges_are_cut_again(docs_of, prose, monkeypatch):
     check(shards.assign(docs_of(docs)).collect(), docs)
 
 
+def test_many_rounds_and_dozens_of_huge_rows(docs_of, prose, rnd, monkeypatch):
+    halved = shards.splitters
+    monkeypatch.setattr(shards, "splitters", lambda sample, parts: halved(sample, min(parts, 2)))  # over four rounds until no range is overfull
+    docs = [(i, prose(rnd.randint(1, 12))) for i in range(3000)] + [(10_000 + i, "w" * rnd.randint(200, 20_000)) for i in range(60)]
+    check(shards.assign(docs_of(docs)).collect(), docs)
+
+
 def test_written_shards(spark, docs_of, prose, tmp_path):
     docs = [(i, prose(10)) for i in range(50)]
     shards.write_shards(docs_of(docs), str(tmp_path / "s"), 4)
