@@ -27,10 +27,11 @@ SAMPLE_PAGES = 4_000
 MOST = 4.0
 WORD, TAG = 1.0, -0.2  # weights of what no labelled page had
 
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: A quote opens a value only behind an equals sign.
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
 #: Elements whose content is not text of the page.
 _RAW = "script|style|template|noscript|textarea|title|svg|math|iframe|object|select|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\b[^>]*>|\Z)|</?([a-zA-Z][\w:-]*){_ATTRIBUTES}>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|(?!<(?:svg|math)\b{_ATTRIBUTES}(?<=/)>)<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\b[^>]*>|\Z)|</?([a-zA-Z][\w:-]*){_ATTRIBUTES}>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 _LABELS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,19 +59,30 @@ class Token:
     article: bool = False
 
 
-def _side_matter(name: str, tag: str, inside_article: bool) -> bool:
-    if name in _ASIDE or name == "header" and not inside_article:
-        return True
+def _side_matter(name: str, tag: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is side matter in any case, and whether it is unless it holds most of the page."""
+    if name in _ASIDE and name != "form":
+        return True, False
+    if name == "form" or name == "header" and not inside_article:
+        return False, True
     if name in _WHOLE or "=" not in tag:
-        return False
+        return False, False
     labels = {w for m in _LABELS.findall(tag) for w in re.split(r"[\W_]+", "".join(m).lower())}
-    return bool(labels & (frozenset(("comment", "comments")) if name == "article" else _ASIDE_LABELS))
+    if name == "article":
+        return bool(labels & frozenset(("comment", "comments"))), False
+    return False, bool(labels & (_ASIDE_LABELS - {"header"} if inside_article else _ASIDE_LABELS))
 
 
 def tokens(page: str) -> Iterator[Token]:
-    """The tags and texts of a page in order; comments, scripts and the like are left out."""
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it is in side matter, in an article
+    """The tags and texts of a page in order; comments, scripts and the like are left out.
+
+    A form, a header or a label makes an element side matter only if it holds
+    at most half the words of the page's articles, or of the page if it marks none.
+    """
+    open_: list[tuple[str, bool, bool, int]] = []  # element, whether it is in side matter in any case, in an article, its doubtful element
     depth: Counter = Counter()  # open elements by name, so that no tag searches a deep stack in vain
+    doubtful: list[list[int]] = [[-1, 0, 0]]  # the one around it, words of articles in it, and all words; the first is the page
+    out: list[tuple[Token, int]] = []
     at = 0
 
     def close() -> str:
@@ -78,17 +90,21 @@ def tokens(page: str) -> Iterator[Token]:
         depth[name] -= 1
         return name
 
-    def text(upto: int) -> Iterator[Token]:
+    def text(upto: int) -> None:
         if upto <= at:
             return
         if not (n := len((part := page[at:upto]).split())):
-            yield Token(SPACE)
+            out.append((Token(SPACE), 0))
         else:
             name = next((e for e, *_ in reversed(open_[-32:]) if e in _BLOCK or e == "a"), "")
-            yield Token(name, n, part, open_[-1][1] if open_ else False, open_[-1][2] if open_ else False)
+            aside, article, inner = open_[-1][1:] if open_ else (False, False, 0)
+            out.append((Token(name, n, part, aside, article), inner))
+            if not aside:
+                doubtful[inner][1] += n * article
+                doubtful[inner][2] += n
 
     for m in _TOKEN.finditer(page):
-        yield from text(m.start())
+        text(m.start())
         at = m.end()
         tag = m.group()
         if m.group(1) or not (found := _NAME.match(tag)):
@@ -96,26 +112,41 @@ def tokens(page: str) -> Iterator[Token]:
         name = found.group(1).lower()
         if tag[1] == "/":
             if depth[name]:
-                aside, article = open_[-1][1:]
+                aside, article, inner = open_[-1][1:]
                 while close() != name:
                     pass
-                yield Token(name, aside=aside, article=article)
+                out.append((Token(name, aside=aside, article=article), inner))
             elif name == "p":
-                yield Token(name)
+                out.append((Token(name), 0))
             continue
         if name in _BLOCK:
             while depth["p"] and open_[-1][0] not in _BLOCK:
                 close()  # an inline element left open ends with its paragraph
             if open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li":
                 close()
-        up = open_[-1][1:] if open_ else (False, False)
+        up = open_[-1][1:] if open_ else (False, False, 0)
         article = up[1] or name in ("article", "main")
-        aside = up[0] or _side_matter(name, tag, up[1])
-        yield Token(name, aside=aside, article=article)
+        surely, perhaps = _side_matter(name, tag, up[1])
+        aside, inner = up[0] or surely, up[2]
+        if perhaps and not aside:
+            doubtful.append([inner, 0, 0])
+            inner = len(doubtful) - 1
+        out.append((Token(name, aside=aside, article=article), inner))
         if name not in _VOID and not tag.endswith("/>"):
-            open_.append((name, aside, article))
+            open_.append((name, aside, article, inner))
             depth[name] += 1
-    yield from text(len(page))
+    text(len(page))
+    for inner in range(len(doubtful) - 1, 0, -1):  # inner elements come behind those around them
+        around, *words = doubtful[inner]
+        doubtful[around][1] += words[0]
+        doubtful[around][2] += words[1]
+    measure = 1 if doubtful[0][1] else 2
+    side = [False]
+    for around, *words in doubtful[1:]:
+        side.append(side[around] or 2 * words[measure - 1] <= doubtful[0][measure])
+    for token, inner in out:
+        token.aside = token.aside or side[inner]
+        yield token
 
 
 def count_labels(pages: list[str | None]) -> list[tuple[str, int, int]]:

@@ -1,0 +1,32 @@
+import pytest
+
+from netquilt.llm import html_text
+
+BODY = "<h1>A heading here</h1>" + "<p>some words of the story go here and on</p>" * 4
+MENU = '<nav><a href="/">home</a></nav>'
+
+
+@pytest.mark.parametrize("label", ["layout no-sidebar", "has-sidebar", "with-comments", "related", "form", "header"])
+@pytest.mark.parametrize("inner", [BODY, f"<article>{BODY}</article>"])
+def test_a_label_around_the_article(label, inner):
+    got = html_text.main_text(f'<body>{MENU}<div class="{label}">{inner}</div><div class="sidebar"><p>other things</p></div></body>', {})
+    assert got.startswith("A heading here\nsome words") and got.count("story") == 4 and "other" not in got and "home" not in got
+
+
+def test_a_form_around_the_page():
+    assert html_text.main_text(f"<form action='/x'>{MENU}{BODY}</form>", {}).count("story") == 4
+
+
+def test_a_header_inside_an_article():
+    got = html_text.main_text('<article><header class="entry-header"><h1>Its heading</h1></header>' + BODY + '<div class="share">share this</div></article>', {})
+    assert got.startswith("Its heading") and "share" not in got
+
+
+@pytest.mark.parametrize("name", ["svg", "math"])
+def test_self_closing_elements_are_empty(name):
+    got = html_text.main_text(f'<p>first words of it</p><{name} class="i"/><p>second words of it</p><{name}><title>drawn</title></{name}><p>third</p>', {})
+    assert got == "first words of it\nsecond words of it\nthird"
+
+
+def test_quotes_count_only_after_an_equals_sign():
+    assert html_text.main_text("""<p data-x">first words</p><p title="a > b" '>second words</p>""", {}) == "first words\nsecond words"
