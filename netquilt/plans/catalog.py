@@ -494,6 +494,15 @@ def export_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.expand_packets(edges(spark, sf_dir).where("src < 10"), 1_000_000, 2_000_000).select("src", "dst", "seq", "ts")
 
 
+@query(f"""WITH {E_SQL}, t AS (SELECT src, dst, packets, coalesce(CAST(sum(packets) OVER (ORDER BY src, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM e),
+x AS (SELECT src, dst, before + unnest(range(0, packets)) AS seq FROM t) SELECT src, dst, seq, 1000000 + (2000000 - 1000000) * seq // (SELECT sum(packets) FROM t)::BIGINT AS ts FROM x""")
+def export_all_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``export_packets`` over the links of all sources."""
+    from netquilt.sources import sinks
+
+    return sinks.expand_packets(edges(spark, sf_dir), 1_000_000, 2_000_000).select("src", "dst", "seq", "ts")
+
+
 @query(f"WITH {S_SQL} SELECT seq, dst AS k FROM s")
 def json_flow_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = F.from_json("props", "k bigint")
