@@ -7,12 +7,17 @@ that it is sure of and hands them to the other, which is then fitted anew.
 Both are calibrated on labelled rows that they weren't fitted to, and a
 document's score joins the two calibrated views.
 
+A second pair of models, made in the same way from the toxic labels, also sees
+which words a text has: of their hash slots those that tell toxic texts from
+others best.
+
 The models are fitted on bounded samples: at most ``LABELLED`` labelled
 documents and about ``POOL`` unlabelled ones. Every document is scored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -35,6 +40,8 @@ GROW = 1_000
 #: Documents of a lower score are rejected.
 THRESHOLD = 0.5
 SLOTS = 16
+#: Slots that words are hashed to, and how many of them the toxic model sees.
+WORD_SLOTS, TELLING = 1 << 13, 64
 _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
 
 #: Content features, language, source and stated length.
@@ -67,6 +74,13 @@ def content(text: str | None) -> list[float]:
     ]
 
 
+def word_slots(text: str | None) -> bytes:
+    """The hash slots of the words of a text as packed bits."""
+    bits = np.zeros(WORD_SLOTS, np.uint8)
+    bits[[crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in set(re.findall(r"\w+", (text or "").lower()))]] = 1
+    return np.packbits(bits).tobytes()
+
+
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     """Features of the metadata; a null counts as a value of its own."""
     out = [0.0] * (2 * SLOTS)
@@ -166,64 +180,116 @@ def co_train(docs: list[Doc], good: list[float], pool: list[Doc]) -> CoTrained |
     return CoTrained(*models, float(np.log(share / (1 - share))))
 
 
+@dataclass
+class Toxic:
+    """The toxic model and the word slots that it sees."""
+
+    model: CoTrained
+    slots: np.ndarray
+
+    def score(self, docs: list[Doc], words: list[bytes]) -> np.ndarray:
+        """Probability of toxic content."""
+        return self.model.score(with_words(docs, words, self.slots))[2]
+
+
+def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[Doc]:
+    """``docs`` whose content also tells which of ``slots`` their words have."""
+    return [([*d[0], *np.unpackbits(np.frombuffer(w, np.uint8))[slots].astype(float).tolist()], *d[1:]) for d, w in zip(docs, words, strict=True)]
+
+
+def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
+    """The word slots whose log-odds between the classes are the surest."""
+    counts = [np.full(WORD_SLOTS, 0.5), np.full(WORD_SLOTS, 0.5)]
+    for w, y in zip(words, bad, strict=True):
+        counts[int(y)] += np.unpackbits(np.frombuffer(w, np.uint8))
+    good, toxic = counts
+    odds = np.log(toxic / (bad.sum() + 1)) - np.log(good / (len(bad) - bad.sum() + 1))
+    return np.sort(np.argsort(-np.abs(odds) / np.sqrt(1 / good + 1 / toxic), kind="stable")[:TELLING])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fit on the bounded samples of ``docs`` and ``labels(doc_id, quality)``.
+    """The quality model of ``train_both``."""
+    return train_both(docs, labels)[0]
+
+
+def train_both(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained | None, Toxic | None]:
+    """Fit quality and toxicity on the bounded samples of ``docs`` and ``labels(doc_id, quality, toxic)``.
 
     A document with several labels counts by their mean; null labels and labels
-    without a document don't count.
+    without a document don't count, and ``toxic`` may be absent.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("good"))
+    if "toxic" not in labels.columns:
+        labels = labels.withColumn("toxic", F.lit(None).cast("int"))
+    chosen = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
 
-    def drawn(rows: DataFrame, most: int) -> list[tuple[int, float, Doc]]:
+    def drawn(rows: DataFrame, most: int) -> list[tuple[int, float | None, float | None, bytes, Doc]]:
         """The features of at most ``most`` rows; texts stay in the tasks."""
         small = map_rows(
             rows,
-            ["doc_id", "good", "text", "lang", "source", "n_chars"],
-            "doc_id long, good double, content array<double>, lang string, source string, n_chars long",
-            lambda rows: [(i, good, content(text), *rest) for i, good, text, *rest in rows],
+            ["doc_id", "good", "bad", "text", "lang", "source", "n_chars"],
+            "doc_id long, good double, bad double, words binary, content array<double>, lang string, source string, n_chars long",
+            lambda rows: [(i, good, bad, word_slots(text), content(text), *rest) for i, good, bad, text, *rest in rows],
         )
-        return [(r[0], r[1], (r[2], *r[3:])) for r in small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toLocalIterator()]
+        return [(r[0], r[1], r[2], bytes(r[3]), (r[4], *r[5:])) for r in small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toLocalIterator()]
 
     known = drawn(own.join(F.broadcast(chosen), "doc_id"), LABELLED)
     if not known:
-        return None
+        return None, None
     every = max(1, docs.count() // POOL)
-    pool = drawn(own.where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(every)) == 0).withColumn("good", F.lit(None).cast("double")), 2 * POOL)
+    pool = drawn(own.where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(every)) == 0).withColumn("good", F.lit(None).cast("double")).withColumn("bad", F.lit(None).cast("double")), 2 * POOL)
     ids = {i for i, *_ in known}
-    return co_train([d for *_, d in known], [float(g >= 0.5) for _, g, _ in known], [d for i, _, d in pool if i not in ids])
+    pool = [r for r in pool if r[0] not in ids]
+    rated = [r for r in known if r[1] is not None]
+    quality = co_train([r[4] for r in rated], [float(r[1] >= 0.5) for r in rated], [r[4] for r in pool]) if rated else None
+    rated = [r for r in known if r[2] is not None]
+    bad = np.array([r[2] >= 0.5 for r in rated], float)
+    if not 0 < bad.sum() < len(bad):
+        return quality, None
+    fitted = np.arange(len(rated)) % 4 != 0  # the rest calibrates
+    slots = telling_slots([r[3] for r, f in zip(rated, fitted, strict=True) if f], bad[fitted])
+    toxic = co_train(with_words([r[4] for r in rated], [r[3] for r in rated], slots), bad.tolist(), with_words([r[4] for r in pool], [r[3] for r in pool], slots))
+    return quality, toxic and Toxic(toxic, slots)
+
+
+def judge(models: tuple[CoTrained | None, Toxic | None], rows: list[tuple]) -> list[tuple[float | None, float | None, float | None, float | None, bool]]:
+    """Content, metadata, joined and toxic score of each ``(text, lang, source, n_chars)``, and whether it is kept."""
+    docs = [(content(r[0]), *r[1:]) for r in rows]
+    good, bad = models
+    scores = [*map(np.ndarray.tolist, good.score(docs))] if good else [[None] * len(rows)] * 3
+    toxic = bad.score(docs, [word_slots(r[0]) for r in rows]).tolist() if bad else [None] * len(rows)
+    return [(t, m, p, x, (p is None or p >= THRESHOLD) and (x is None or x < THRESHOLD)) for t, m, p, x in zip(*scores, toxic, strict=True)]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, content_score, metadata_score, score, keep`` for each row of ``docs``.
+    """``doc_id, content_score, metadata_score, score, toxic_score, keep`` for each row of ``docs``.
 
-    ``keep`` is false where the joined score is under ``THRESHOLD``. Null and
+    ``keep`` is false where the joined score is under ``THRESHOLD`` or the toxic
+    score isn't. Null and
     empty texts have neutral content features and are judged like others; null
     metadata is a value of its own; repeated rows get equal scores; extra
     columns are ignored. Without labels of both classes nothing is known: scores
-    are null and all rows are kept.
+    are null and no row is rejected for them.
     """
-    model = train(docs, labels)
+    models = train_both(docs, labels)
 
     def work(rows: list[tuple]) -> list[tuple]:
-        if model is None:
-            return [(r[0], None, None, None, True) for r in rows]
-        return [(r[0], float(t), float(m), float(p), bool(p >= THRESHOLD)) for r, t, m, p in zip(rows, *model.score([(content(r[1]), *r[2:]) for r in rows]), strict=True)]
+        return [(r[0], *found) for r, found in zip(rows, judge(models, [r[1:] for r in rows]), strict=True)]
 
-    return map_rows(docs, ["doc_id", "text", "lang", "source", "n_chars"], "doc_id long, content_score double, metadata_score double, score double, keep boolean", work)
+    return map_rows(docs, ["doc_id", "text", "lang", "source", "n_chars"], "doc_id long, content_score double, metadata_score double, score double, toxic_score double, keep boolean", work)
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, unchanged."""
-    model = train(docs, labels)
-    if model is None:
+    models = train_both(docs, labels)
+    if models == (None, None):
         return docs
     names = docs.columns
     at = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(rows: list[tuple]) -> list[tuple]:
-        return [r for r, p in zip(rows, model.score([(content(r[at[0]]), *(r[i] for i in at[1:])) for r in rows])[2], strict=True) if p >= THRESHOLD]
+        return [r for r, found in zip(rows, judge(models, [tuple(r[i] for i in at) for r in rows]), strict=True) if found[-1]]
 
     return map_rows(docs, names, schema, work)
