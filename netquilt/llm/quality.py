@@ -41,7 +41,7 @@ GROW = 1_000
 THRESHOLD = 0.5
 SLOTS = 16
 #: Slots that words are hashed to, and how many of them the toxic model sees.
-WORD_SLOTS, TELLING = 1 << 13, 64
+WORD_SLOTS, TELLING = 1 << 20, 64
 _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
 
 #: Content features, language, source and stated length.
@@ -75,10 +75,9 @@ def content(text: str | None) -> list[float]:
 
 
 def word_slots(text: str | None) -> bytes:
-    """The hash slots of the words of a text as packed bits."""
-    bits = np.zeros(WORD_SLOTS, np.uint8)
-    bits[[crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in set(re.findall(r"\w+", (text or "").lower()))]] = 1
-    return np.packbits(bits).tobytes()
+    """The sorted hash slots of the words of a text as packed numbers."""
+    found = {crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in set(re.findall(r"\w+", (text or "").lower()))}
+    return np.array(sorted(found), np.uint32).tobytes()
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
@@ -194,14 +193,14 @@ class Toxic:
 
 def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[Doc]:
     """``docs`` whose content also tells which of ``slots`` their words have."""
-    return [([*d[0], *np.unpackbits(np.frombuffer(w, np.uint8))[slots].astype(float).tolist()], *d[1:]) for d, w in zip(docs, words, strict=True)]
+    return [([*d[0], *np.isin(slots, np.frombuffer(w, np.uint32)).astype(float).tolist()], *d[1:]) for d, w in zip(docs, words, strict=True)]
 
 
 def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
     """The word slots whose log-odds between the classes are the surest."""
     counts = [np.full(WORD_SLOTS, 0.5), np.full(WORD_SLOTS, 0.5)]
     for w, y in zip(words, bad, strict=True):
-        counts[int(y)] += np.unpackbits(np.frombuffer(w, np.uint8))
+        counts[int(y)][np.frombuffer(w, np.uint32)] += 1
     good, toxic = counts
     odds = np.log(toxic / (bad.sum() + 1)) - np.log(good / (len(bad) - bad.sum() + 1))
     return np.sort(np.argsort(-np.abs(odds) / np.sqrt(1 / good + 1 / toxic), kind="stable")[:TELLING])
