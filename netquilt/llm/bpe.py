@@ -24,6 +24,7 @@ from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import map_rows
 
@@ -295,10 +296,22 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``token_ids`` and whether decoding gives the text back."""
+    """``docs`` with ``n_tokens``, ``token_ids`` and whether decoding gives the text back.
+
+    Columns of these names that are there already get an underscore in front.
+    A null text counts as empty and stays null; repeated rows give equal rows;
+    an empty table gives an empty result; texts are encoded whole.
+    """
     path = vocabulary or default_vocabulary()
-    names = [c for c in docs.columns if c not in ("n_tokens", "token_ids", "round_trip")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    made = [StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
+    names, taken = docs.columns, {*docs.columns, *(f.name for f in made)}
+    fields = []
+    for f in docs.schema:
+        name = f.name
+        while name != f.name and name in taken or name in {m.name for m in made}:
+            name = f"_{name}"
+        taken.add(name)
+        fields.append(StructField(name, f.dataType, f.nullable))
     where = names.index("text")
 
     def work(rows: list[tuple], bpe: Transducer) -> list[tuple]:
@@ -308,4 +321,4 @@ def with_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             out.append((*row, len(ids), ids, "".join(bpe.decode(iter([ids]))) == (row[where] or "")))
         return out
 
-    return map_rows(docs, names, f"{schema}, n_tokens long, token_ids array<int>, round_trip boolean", work, lambda: transducer(path))
+    return map_rows(docs, names, StructType([*fields, *made]), work, lambda: transducer(path))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text handled at once inside a task; keeps a worker's memory flat whatever the batch.
 SLICE_BYTES = 4 << 20
@@ -43,10 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
-    schema: str,
+    schema: str | StructType,
     work: Callable[..., list[tuple]],
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
@@ -57,9 +63,9 @@ def map_rows(
     texts never turns into one big Python list of results.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
@@ -75,4 +81,4 @@ def map_rows(
                     arrays = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*map(quoted, columns)).mapInArrow(run, schema)

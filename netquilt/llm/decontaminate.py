@@ -159,7 +159,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that match no test item, unchanged."""
     names = docs.columns
     where = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = docs.schema
 
     for block in _blocks(items):
 

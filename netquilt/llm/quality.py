@@ -286,9 +286,8 @@ def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     names = docs.columns
     at = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(rows: list[tuple]) -> list[tuple]:
         return [r for r, found in zip(rows, judge(models, [tuple(r[i] for i in at) for r in rows]), strict=True) if found[-1]]
 
-    return map_rows(docs, names, schema, work)
+    return map_rows(docs, names, docs.schema, work)

@@ -348,11 +348,12 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of ``text`` masked and ``n_chars``, if there, brought up to date.
 
-    Texts without secrets, null texts and all other columns stay as they are.
+    Texts without secrets, null texts and all other columns stay as they are;
+    repeated rows give equal rows; spans that overlap are masked as one; an
+    empty table gives an empty result; texts are scanned whole.
     """
     names = docs.columns
     where, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(rows: list[tuple]) -> Iterator[tuple]:
         out = []
@@ -365,4 +366,4 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append(tuple(row))
         return out
 
-    return map_rows(docs, names, schema, work)
+    return map_rows(docs, names, docs.schema, work)

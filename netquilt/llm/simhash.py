@@ -267,26 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component, its columns unchanged.
+    """One row of ``docs`` for each component of near copies; see ``near_copies.keep_one``."""
+    from . import near_copies
 
-    Components are those of ``near_copies``: five-word shingles with a Jaccard
-    similarity of 0.8 or more. Rows that repeat a doc_id with equal words count as one document
-    and leave one row. A row with a null doc_id stays only if no row of its
-    component has an id; such components leave a row for each text.
-    """
-    from .near_copies import near_copies, shingles
-
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = materialise(near_copies(docs).select("doc_id", "fp", stays.alias("stays")), "kept")
-    ids = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("stays").alias("k")).where("k > 0"), "kept")
-    plain, again = ids.where("n = 1"), ids.where("n > 1")
-    # ids are never broadcast: their number grows with the documents, and so the join is the same at every size
-    single = docs.join(plain.hint("merge"), docs["doc_id"].eqNullSafe(plain["doc_id"]), "left_semi")
-    if again.isEmpty():
-        return single
-    wanted = found.where("stays").join(again, found["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    rows = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    texts = map_rows(rows.select("text").distinct(), ["text"], "__text string, __mark long", lambda r: [(t, shingles(t)[0]) for (t,) in r])
-    marked = rows.join(texts, rows["text"].eqNullSafe(texts["__text"]))
-    kept = marked.join(wanted, marked["doc_id"].eqNullSafe(wanted["__id"]) & (F.col("__mark") == F.col("__fp")), "left_semi")
-    return single.unionByName(kept.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns))
+    return near_copies.keep_one(docs)
