@@ -1,22 +1,24 @@
 """Exact top-k search by inner product with two cover trees.
 
-A block of queries and each block of data have a cover tree: every node holds
-a centre and the radius that covers all its descendants, and the centres of a
-node's children lie further apart the higher they are. The two trees go down
-together. The product of no query below one node with any vector below the
-other exceeds a bound that the two centres and radii give; if that is under
-the worst k-th score that the queries of the group have so far, the pair of
-nodes is dropped, whole. What is left is multiplied out in whole numbers.
-
-Each data block gives its own best k a query, so only those meet for the final
-ranking. Queries go to tasks in blocks of bounded size.
+Queries and data are dealt into blocks of bounded size, and each block of
+queries meets each block of data in a task. Both have a cover tree: a node has
+a row as its centre and a level l; its descendants lie within 2^l of the
+centre, and the centres of its children, the node's own among them, lie more
+than half of that apart. The two trees go down together. The product of no
+query below one node with any vector below the other exceeds a bound that the
+two centres and radii give; if that is under the worst k-th score that the
+queries of the group have so far, the pair of nodes is dropped, whole. Where
+two leaves meet, each query has its own bound. What is left is multiplied out
+in whole numbers.
+
+Each pair of blocks gives its own best k a query, so only those meet for the
+final ranking.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,122 +30,159 @@ from .common import materialise
 TOP = 10
 QUERY_EVERY = 100
 SCALE = 1024
-#: Queries in a block and rows in a data block.
-QUERY_BLOCK, DATA_BLOCK = 8_192, 16_384
-LEAF = 48
+#: Queries in a block and rows in a data block, about.
+QUERY_BLOCK, DATA_BLOCK = 8_192, 8_192
+#: Rows of one cover tree at most: where all rows lie apart from each other, building takes the square of it.
+TREE_ROWS = 2_048
+LEAF = 24
+#: Rows multiplied between two looks at the worst score.
+AT_ONCE = 256
 #: Products of values under this stay whole in floating point.
 _EXACT = 1 << 53
 
 
 @dataclass
 class Node:
-    """``rows`` are the indices of all descendants; a node without children is a leaf."""
+    """``rows`` are the indices of all descendants; a node without children is a leaf.
 
-    centre: np.ndarray
+    ``level`` bounds the distance of descendants by ``2**level``; ``radius`` is
+    the greatest that occurs. ``below`` has the children's centres, radii and norms.
+    """
+
+    at: int
+    level: float
     radius: float
     norm: float
     rows: np.ndarray
     children: list[Node] = field(default_factory=list)
+    below: tuple[np.ndarray, ...] = ()
     worst: float = -np.inf
 
 
 def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node | None:
     """A cover tree over the rows of ``points``.
 
-    The children of a node of covering radius r are a greedy net: centres more
-    than r/2 apart, each row with its nearest centre, down to ``leaf`` rows.
-    Copies of one point make a single leaf.
+    The children of a node of level l are a greedy net of level l - 1: the
+    node's centre, then whatever row lies farthest from all centres, until none
+    lies beyond 2^(l-1). Each row goes to its nearest centre. Levels at which a
+    node would have itself as its only child are passed over; copies of one
+    point make a single leaf.
     """
     if not len(points):
         return None
-
-    def node(rows: np.ndarray, centre: np.ndarray) -> Node:
-        away = np.sqrt(((points[rows] - centre) ** 2).sum(1))
-        return Node(centre, float(away.max()), float(np.sqrt((centre**2).sum())), rows)
-
-    root = node(np.arange(len(points)), points.mean(0))
-    todo = [root]
+    squares = (points**2).sum(1)
+    norms = np.sqrt(squares)
+
+    def away(own: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
+        out = np.maximum(squares[rows] - 2 * (own @ points[centre]) + squares[centre], 0)
+        small = np.flatnonzero(out < 1e-6 * squares[centre])  # differences of large squares: measured directly
+        out[small] = ((own[small] - points[centre]) ** 2).sum(1)
+        return np.sqrt(out)
+
+    def node(rows: np.ndarray, centre: int, far: np.ndarray) -> tuple[Node, np.ndarray]:
+        radius = float(far.max())
+        return Node(centre, float(np.ceil(np.log2(radius))) if radius else -np.inf, radius, float(norms[centre]), rows), far
+
+    every = np.arange(len(points))
+    root, far = node(every, 0, away(points, every, 0))
+    todo = [(root, far)]
     while todo:
-        at = todo.pop()
+        at, near = todo.pop()
         if len(at.rows) <= leaf or at.radius == 0:
             continue
-        own = points[at.rows]
-        near = np.full(len(own), np.inf)
-        owner = np.zeros(len(own), int)
-        centres: list[np.ndarray] = []
-        while near.max() > (at.radius / 2) ** 2 or len(centres) < 2:
-            pick = own[int(near.argmax())] if centres else own[int(((own - at.centre) ** 2).sum(1).argmax())]
-            d = ((own - pick) ** 2).sum(1)
+        reach, near, own = 2.0 ** (at.level - 1), near.copy(), points[at.rows]
+        centres, owner = [at.at], np.zeros(len(near), int)
+        while near.max() > reach:
+            centres.append(int(at.rows[near.argmax()]))
+            d = away(own, at.rows, centres[-1])
             closer = d < near
-            near[closer], owner[closer] = d[closer], len(centres)
-            centres.append(pick)
-            if len(centres) >= 16:  # a wide net: the rest goes to the nearest centre, whose radius covers it
-                break
-        at.children = [node(at.rows[owner == i], c) for i, c in enumerate(centres) if (owner == i).any()]
-        if len(at.children) < 2:
-            at.children = []
-            continue
-        todo += at.children
+            near[closer], owner[closer] = d[closer], len(centres) - 1
+        made = [node(at.rows[owner == i], c, near[owner == i]) for i, c in enumerate(centres)]
+        at.children = [child for child, _ in made]
+        at.below = tuple(np.array([getattr(c, name) for c in at.children]) for name in ("at", "radius", "norm"))
+        todo += made
     return root
 
 
 class Search:
-    """Best ``k`` of the data for each query, ties to the smaller id."""
+    """Best ``k`` of the data for each query, ties to the smaller id.
+
+    ``multiplied`` counts the products made, those for bounds included,
+    ``possible`` those of all pairs.
+    """
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int = TOP):
         self.queries, self.ids, self.k = queries, query_ids, k
-        self.tree = cover_tree(queries.astype(float))
-
-    def __call__(self, data: np.ndarray, data_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.points = queries.astype(float)
+        self.lengths = np.sqrt((self.points**2).sum(1))
+        self.tree = cover_tree(self.points)
+        self.best = np.full((len(queries), k), np.iinfo(np.int64).min)
+        self.which = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.multiplied = self.possible = 0
+
+    def add(self, data: np.ndarray, data_ids: np.ndarray) -> None:
+        """Search some more rows."""
+        for at in range(0, len(data), TREE_ROWS):
+            self.data, self.data_ids = data[at : at + TREE_ROWS], data_ids[at : at + TREE_ROWS]
+            self.against = self.data.astype(float)
+            largest = max(np.abs(self.queries).max(initial=0), 1), max(np.abs(self.data).max(initial=0), 1)
+            self.whole = float(largest[0]) * float(largest[1]) * data.shape[1] < _EXACT
+            self.possible += len(self.queries) * len(self.data)
+            tree = cover_tree(self.against)
+            if self.tree is not None and tree is not None:
+                self._down(self.tree, tree)  # what is known of other rows holds here, too
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query numbers, data ids and scores."""
-        n, k = len(self.queries), self.k
-        self.best = np.full((n, k), np.iinfo(np.int64).min)
-        self.which = np.full((n, k), np.iinfo(np.int64).max)
-        self.data, self.data_ids = data, data_ids
-        largest = max(np.abs(self.queries).max(initial=0), 1), max(np.abs(data).max(initial=0), 1)
-        self.whole = float(largest[0]) * float(largest[1]) * data.shape[1] < _EXACT
-        tree = cover_tree(data.astype(float))
-        if self.tree is None or tree is None:
-            return np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.int64)
-        self._reset(self.tree)
-        self._down(self.tree, tree)
         rows, cols = np.nonzero(self.which != np.iinfo(np.int64).max)
         return rows, self.which[rows, cols], self.best[rows, cols]
 
-    def _reset(self, q: Node) -> None:
-        q.worst = -np.inf
-        for c in q.children:
-            self._reset(c)
-
-    @staticmethod
-    def _bound(q: Node, d: Node) -> float:
-        top = float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-        return top + 1e-9 * (abs(top) + 1)  # rounding must not drop a pair
+    def _bounds(self, q: Node, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """No product of a query below ``q`` with a vector of those groups is greater."""
+        self.multiplied += len(centres)
+        top = self.against[centres] @ self.points[q.at] + q.radius * norms + radii * q.norm + q.radius * radii
+        return top + 1e-9 * (np.abs(top) + 1)  # rounding must not drop a pair
 
     def _down(self, q: Node, d: Node) -> None:
-        if self._bound(q, d) < q.worst:
-            return
-        if not q.children and not d.children:
-            self._multiply(q, d)
-            return
-        if q.children and (not d.children or q.radius >= d.radius):
+        """Search below two nodes whose bound has been looked at."""
+        if q.children and (not d.children or q.radius >= d.radius / 2):
+            at = np.array([d.at]), np.array([d.radius]), np.array([d.norm])
             for c in q.children:
-                self._down(c, d)
+                if self._bounds(c, *at)[0] >= c.worst:
+                    self._down(c, d)
             q.worst = min(c.worst for c in q.children)
-        else:
-            for c in sorted(d.children, key=lambda c: -self._bound(q, c)):
+            return
+        if not d.children:
+            self._multiply(q, d.rows)
+            return
+        bounds = self._bounds(q, *d.below)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] >= q.worst]
+        leaves = order if q.children else order[[not d.children[i].children for i in order]]
+        if not q.children:  # leaves in turn, some at a time, until none can reach the worst score
+            at = 0
+            while at < len(leaves) and bounds[leaves[at]] >= q.worst:
+                some, n = [], 0
+                while at < len(leaves) and n < AT_ONCE:
+                    some.append(d.children[leaves[at]].rows)
+                    n, at = n + len(some[-1]), at + 1
+                self._multiply(q, np.concatenate(some))
+        for i in order:
+            c = d.children[i]
+            if (q.children or c.children) and bounds[i] >= q.worst:
                 self._down(q, c)
 
-    def _multiply(self, q: Node, d: Node) -> None:
-        a, b = self.queries[q.rows], self.data[d.rows]
-        score = np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64) if self.whole else a @ b.T
-        ids = np.broadcast_to(self.data_ids[d.rows], score.shape)
-        own = self.ids[q.rows][:, None] == ids
-        score = np.concatenate([self.best[q.rows], np.where(own, np.iinfo(np.int64).min, score)], axis=1)
-        ids = np.concatenate([self.which[q.rows], np.where(own, np.iinfo(np.int64).max, ids)], axis=1)
-        order = np.lexsort((ids, -score.astype(float) if self.whole else ~score), axis=1)[:, : self.k]
-        self.best[q.rows] = np.take_along_axis(score, order, 1)
-        self.which[q.rows] = np.take_along_axis(ids, order, 1)
+    def _multiply(self, q: Node, rows: np.ndarray) -> None:
+        self.multiplied += len(q.rows) * len(rows)
+        a, b = self.queries[q.rows], self.data[rows]
+        score = np.rint(self.points[q.rows] @ self.against[rows].T).astype(np.int64) if self.whole else a @ b.T
+        ids = self.data_ids[rows]
+        for mine, at in zip(score, q.rows.tolist(), strict=True):
+            use = (mine >= self.best[at, -1]) & (ids != self.ids[at])  # each query has its own bound
+            if use.any():
+                both, names = np.concatenate([self.best[at], mine[use]]), np.concatenate([self.which[at], ids[use]])
+                order = np.lexsort((names, ~both))[: self.k]
+                self.best[at], self.which[at] = both[order], names[order]
         low = self.best[q.rows, -1].min()
         q.worst = float(low) if low > np.iinfo(np.int64).min else -np.inf
 
@@ -165,47 +204,41 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> Dat
     than the query. Extra columns are ignored; an empty table gives an empty
     result.
     """
-    spark = embeddings.sparkSession
     rows = materialise(whole_vectors(embeddings).where(F.size("v") > 0), "vectors")
     queries = materialise(rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    n = queries.count()
-    found = []
-    for i in range(n // QUERY_BLOCK + 1):
-        # a block of a stated query set, of bounded size, against all rows
-        part = queries.where(F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(n // QUERY_BLOCK + 1)) == i)
-        block: dict[int, list] = {}
-        for r in part.toLocalIterator():
-            block.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        shared = spark.sparkContext.broadcast({w: (np.array([x[0] for x in b], np.int64), np.array([x[1] for x in b], np.int64)) for w, b in block.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searches = {w: (Search(v, ids, k), ids) for w, (ids, v) in shared.value.items()}
-
-            def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                t = pa.Table.from_batches(held).combine_chunks()
-                ids, vectors = t.column(0).to_numpy(), t.column(1).combine_chunks()
-                widths, flat, offsets = np.diff(vectors.offsets.to_numpy()), vectors.values.to_numpy(), vectors.offsets.to_numpy()
-                for w, (find, names) in searches.items():
-                    mine = np.flatnonzero(widths == w)
-                    if len(mine):
-                        data = flat[offsets[mine][:, None] + np.arange(w)]
-                        q, vec, score = find(data, ids[mine])
-                        yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-            held: list[pa.RecordBatch] = []
-            size = 0
-            for batch in batches:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= DATA_BLOCK:
-                    yield from solve(held)
-                    held, size = [], 0
-            if size:
-                yield from solve(held)
-
-        found.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+    parts, blocks = rows.count() // DATA_BLOCK + 1, queries.count() // QUERY_BLOCK + 1
+    # rows are dealt by their place in the written table, so repeats of an id don't meet in one block
+    data = rows.select("vec_id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def vectors(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Ids and vectors of each length."""
+        t = t.combine_chunks()
+        if not t.num_rows:
+            return
+        ids, lists = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        widths = np.diff(offsets)
+        for w in np.unique(widths).tolist():
+            mine = np.flatnonzero(widths == w)
+            yield w, ids[mine], flat[offsets[mine][:, None] + np.arange(w)]
+
+    def meet(key: tuple, some: pa.Table, few: pa.Table) -> pa.Table:
+        wide = {w: (ids, v) for w, ids, v in vectors(some)}
+        out: list[tuple] = []
+        for w, ids, v in vectors(few):
+            if w in wide:
+                search = Search(v, ids, k)
+                search.add(wide[w][1], wide[w][0])
+                q, vec, score = search.found()
+                out.append((ids[q], vec, score))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
+
+    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same search, by comparing each query with each row.

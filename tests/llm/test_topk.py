@@ -18,7 +18,7 @@ def plain(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [topk.DATA_BLOCK, 64])
+@pytest.mark.parametrize("block", [topk.DATA_BLOCK, 200])
 def test_equal_to_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "DATA_BLOCK", block)
     g = np.random.default_rng(5)
@@ -38,24 +38,48 @@ def test_few_rows(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
-def test_radii_cover_all_descendants():
+@pytest.mark.parametrize("leaf", [1, topk.LEAF])
+def test_cover_tree_invariants(leaf):
     g = np.random.default_rng(1)
-    points = np.concatenate([g.normal(size=(500, 8)), np.zeros((300, 8))])
-    todo, rows = [topk.cover_tree(points)], []
+    points = np.concatenate([g.normal(size=(500, 8)), np.zeros((300, 8)), np.repeat(g.normal(size=(20, 8)), 10, 0) + 1e-3 * g.normal(size=(200, 8))])
+    away = lambda rows, at: np.sqrt(((points[rows] - points[at]) ** 2).sum(1))
+    root = topk.cover_tree(points, leaf)
+    todo, rows, depth = [root], [], 0
     while todo:
         n = todo.pop()
-        assert np.sqrt(((points[n.rows] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
-        assert not n.children or sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
+        assert n.at in n.rows and away(n.rows, n.at).max() <= n.radius + 1e-9 and n.radius <= 2.0**n.level  # covering, by a row
+        if not n.children:
+            assert len(n.rows) <= leaf or n.radius == 0
+            rows += n.rows.tolist()
+            continue
+        depth += 1
+        centres = np.array([c.at for c in n.children])
+        assert centres[0] == n.at and len(centres) > 1  # nesting
+        assert all(c.level <= n.level - 1 for c in n.children)  # radii halve
+        gaps = np.stack([away(centres, c) for c in centres])
+        np.fill_diagonal(gaps, np.inf)
+        assert gaps.min() > 2.0 ** (n.level - 1)  # separation
+        assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
         todo += n.children
-        rows += [] if n.children else n.rows.tolist()
-    assert sorted(rows) == list(range(800))
+    assert sorted(rows) == list(range(1000)) and depth > (10 if leaf == 1 else 1)
 
 
-def test_pruning_leaves_pairs_out(monkeypatch):
+def test_pruning_leaves_pairs_out_and_loses_nothing():
     g = np.random.default_rng(2)
     data = np.floor(1024 * (np.repeat(g.normal(size=(20, 8)), 200, 0) + 0.01 * g.normal(size=(4000, 8)))).astype(np.int64)
-    seen = []
-    keep = topk.Search._multiply
-    monkeypatch.setattr(topk.Search, "_multiply", lambda self, q, d: (seen.append(len(q.rows) * len(d.rows)), keep(self, q, d))[1])
-    topk.Search(data[::40], np.arange(0, 4000, 40))(data, np.arange(4000))
-    assert sum(seen) < 0.5 * 100 * 4000
+    find = topk.Search(data[::40], np.arange(0, 4000, 40))
+    find.add(data, np.arange(4000))
+    assert find.multiplied < 0.5 * find.possible
+    q, ids, score = find.found()
+    all_ = data[::40] @ data.T
+    all_[np.arange(100), np.arange(0, 4000, 40)] = -(1 << 60)
+    assert sorted(zip(q.tolist(), score.tolist(), strict=True)) == sorted((i, int(x)) for i, row in enumerate(all_) for x in np.sort(row)[-10:])
+    assert len(ids) == 1000
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    g = np.random.default_rng(7)
+    rows = [(i * 10, g.normal(size=4).tolist()) for i in range(300)]
+    df = spark.createDataFrame([(i, v, 1, 1, "x") for i, v in rows], SCHEMA)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df).collect()) == plain(rows)
