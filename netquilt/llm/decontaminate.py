@@ -1,9 +1,11 @@
 """Benchmark decontamination by pigeonhole pieces and Myers' bit-parallel distance.
 
 Texts and test items become word sequences (lower case, letters, digits and
-``_`` only), so marks and line breaks don't hide a passage. An item of m words
-may differ in k = m // 5 of them and is cut into k + 1 pieces: whatever k edits
-do, one piece stays. Pieces are looked up in every text by hash and compared
+``_`` only), so marks and line breaks don't hide a passage; in scripts that are
+written without blanks each character counts as a word. An item of m words may
+differ in k = m // 5 of them and is cut into k + 1 pieces: whatever k edits do,
+one piece stays. An item of fewer than five words must stand in the text as it
+is. Pieces are looked up in every text by hash and compared
 word by word; around each hit, the edit distance of the item to the best
 stretch of the text is computed with one machine-like word operation a text
 word. The test items are read in blocks of bounded size.
@@ -25,11 +27,11 @@ from .common import map_rows
 
 #: An item matches a stretch that differs in at most one word of five.
 PER_EDIT = 5
-#: Items of fewer words are too common to be evidence and match nothing.
-LEAST_WORDS = 5
 #: Characters of test items that a task holds at once.
 BLOCK_CHARS = 16_000_000
-_WORD = re.compile(r"\w+")
+#: Letters written without blanks: Thai, Lao, Burmese, Khmer, kana and Han.
+_SINGLE = "\u0e01-\u0e30\u0e40-\u0e46\u0e81-\u0eb0\u0ec0-\u0ec6\u1000-\u102a\u1780-\u17b3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SINGLE}]|(?:(?![{_SINGLE}])\w)+")
 _MIX, _TABLE = np.uint64(0x9E3779B97F4A7C15), 20
 
 
@@ -71,7 +73,7 @@ class Index:
         self.pieces: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
         for item_id, text in items:
             found = words(text)
-            if len(found) < LEAST_WORDS:
+            if not found:
                 continue
             seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in found]
             cuts = [len(seq) * i // (budget(len(seq)) + 1) for i in range(budget(len(seq)) + 2)]
@@ -140,10 +142,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, distance, n_words, at_word``: one row for each document row and test item that match.
 
     ``distance`` is the edit distance in words of the item to its best stretch
-    of the text, ``at_word`` about where that begins. Documents without a match
-    have no row. Null and empty texts match nothing, and so do items of fewer
-    than five words; repeated rows and items each give their own rows; a null
-    id stays null; extra columns are ignored.
+    of the text, ``at_word`` about where that begins, the first of equally good
+    stretches. Documents without a match have no row. Null and empty texts match
+    nothing, and so do items without a word; repeated rows and items each give
+    their own rows; a null id stays null; extra columns are ignored; an empty
+    table of documents or items gives an empty result. Texts are searched whole,
+    some megabytes of them at a time.
     """
 
     def search(block: Broadcast) -> DataFrame:
@@ -156,7 +160,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that match no test item, unchanged."""
+    """The rows of ``docs`` that match no test item, unchanged.
+
+    Null and empty texts stay; repeated rows fare alike; without items all stay;
+    an empty table gives an empty result.
+    """
     names = docs.columns
     where = names.index("text")
     schema = docs.schema

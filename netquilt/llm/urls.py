@@ -38,12 +38,14 @@ class Rule:
 
     @property
     def key(self) -> str:
-        return self.host + self.path
+        return self.host + (self.path or _WHOLE)
 
 
 RULES = (Rule("org", "/", False), Rule("example.org", "/es/", True), Rule("example.org", "/en/1", True), Rule("com", "/fr/", False), Rule("com", "/de/", True))
-#: Hosts blocked, with their subdomains, where no rule fits.
-HOSTS = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
+#: The default list: those hosts of the table itself, and what lies under them, that have one of these words between dots and dashes.
+JUNK = "(^|[.-])(ads?|adserver|adult|bets?|betting|casino|lottery|pills|poker|porn|sex|slots|spam|tracker|tracking|viagra|xxx)([.-]|$)"
+#: Stands behind the host in the key of a rule without a path, so that it is no listed host.
+_WHOLE = "\x01"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,11 +57,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _UPPER.lower()), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def url_keys(host: Column, path: Column, labels: int, starts: Sequence[int]) -> Column:
-    """Keys of a url: each end of up to ``labels`` labels of its host, bare and with each start of its path."""
+def url_keys(host: Column, path: Column, labels: int, starts: Sequence[int], whole: bool = False) -> Column:
+    """Keys of a url: each end of up to ``labels`` labels of its host, bare, with each start of its path and, if ``whole``, for rules without one."""
     parts = F.slice(F.reverse(F.split(host, r"\.")), 1, labels)
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.reverse(F.slice(parts, 1, n)), "."))
-    heads = F.filter(F.array(F.lit(""), *(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in starts)), lambda p: p.isNotNull())
+    heads = F.filter(F.array(F.lit(""), *([F.lit(_WHOLE)] if whole else []), *(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in starts)), lambda p: p.isNotNull())
     return F.flatten(F.transform(ends, lambda e: F.transform(heads, lambda p: F.concat(e, p))))
 
 
@@ -125,24 +127,33 @@ class Cascade:
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, hosts: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages``.
 
-    Of the rules that fit, the longest wins. Without one, a url whose host is,
-    or lies under, one of ``hosts`` (column ``host``; default ``HOSTS``) is
-    blocked and any other allowed. A null url, or one without ``://``, has an
-    empty host and path, fits no rule and is allowed. Repeated rows are judged
-    alike; a null page_id stays null; extra columns are ignored; an empty table
-    gives an empty result.
+    Of the rules that fit, the longest wins. A rule without a path fits its host
+    and what lies under it; a key that is both allowed and blocked is an error.
+    Without a rule, a url whose host is, or lies under, one of ``hosts`` (column
+    ``host``; by default the table's own hosts that match ``JUNK``) is blocked
+    and any other allowed. A null url, or one without ``://``, has an empty host
+    and path, fits no rule and is allowed. Repeated rows are judged alike; a
+    null page_id stays null; very long urls are judged whole; extra columns are
+    ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    hosts = hosts if hosts is not None else spark.createDataFrame([(h,) for h in HOSTS], "host string")
-    keys = spark.createDataFrame([(r.key, r.block) for r in rules], "key string, block boolean")
+    kinds: dict[str, bool] = {}
+    for r in rules:
+        if kinds.setdefault(r.key, r.block) != r.block:
+            raise ValueError(f"{r.host}{r.path} is both allowed and blocked")
+    host, path = host_and_path(F.col("url"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    if hosts is None:
+        hosts = urls.select("host").distinct().where(F.col("host").rlike(JUNK))
     # a null or empty host lists nothing
-    listed = keys.unionAll(hosts.where("host <> ''").select(F.translate("host", _UPPER, _UPPER.lower()).alias("key"), F.lit(True)))
-    listed = materialise(listed.groupBy("key").agg(F.max("block").alias("block")), "listed")
+    listed = hosts.where("host <> ''").select(F.translate("host", _UPPER, _UPPER.lower()).alias("key"), F.lit(True).alias("block"))
+    if kinds:
+        given = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(b).alias("block")) for k, b in kinds.items()))
+        listed = spark.range(1).select(F.inline(given)).unionAll(listed)
+    listed = materialise(listed.distinct(), "listed")
     n, labels = listed.agg(F.count("*"), F.max(F.size(F.split(F.split("key", "/")[0], r"\.")))).first()
     starts = sorted({len(r.path) for r in rules if r.path})
-    host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    its_keys = url_keys(F.col("host"), F.col("path"), labels or 1, starts)
+    its_keys = url_keys(F.col("host"), F.col("path"), labels or 1, starts, any(not r.path for r in rules))
     universe = urls.select(F.explode(its_keys).alias("key"), F.lit(False).alias("listed")).unionAll(listed.select("key", F.lit(True)))
     universe = materialise(universe.groupBy("key").agg(F.max("listed").alias("listed")), "universe")
 
@@ -156,13 +167,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, hosts: DataFrame | No
         hits = F.filter("keys", lambda k: mine(k) & member.holds(k))
         out = out.withColumn("hits", hits).select("page_id", "host", "path", "keys", F.concat("found", "hits").alias("found"), F.concat("blocks", F.filter("hits", blocking.holds)).alias("blocks"))
         out = materialise(out, "judged") if shards > 1 else out
-    # the longest key with a path is the rule; a listed key without one is a host
-    fitting = F.filter("found", lambda k: F.contains(k, F.lit("/")))
-    rule = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
+    # the longest key with a path, or for a whole host, is the rule; any other listed key is a host
+    ruled = lambda k: F.contains(k, F.lit("/")) | F.contains(k, F.lit(_WHOLE))
+    fitting = F.filter("found", ruled)
+    rule = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(F.replace(k, F.lit(_WHOLE), F.lit(""))).alias("n"), k.alias("key"))))["key"]
     out = out.withColumn("rule", rule)
-    bare = F.size(F.filter("found", lambda k: ~F.contains(k, F.lit("/")))) > 0
+    bare = F.size(F.filter("found", lambda k: ~ruled(k))) > 0
     blocked = F.when(F.col("rule").isNotNull(), F.array_contains("blocks", F.col("rule"))).otherwise(bare)
-    return out.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"))
+    return out.select("page_id", "host", "path", F.replace("rule", F.lit(_WHOLE), F.lit("")).alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"))
 
 
 #: The same judgement in SQL.
@@ -183,7 +195,7 @@ fit AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.])({"|".join(sorted({h.split(".")[0] for h in HOSTS}))})[.]example[.](com|net|org)$') THEN 'block'
+    WHEN regexp_matches(host, '{JUNK}') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM fit
 """

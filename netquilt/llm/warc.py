@@ -113,16 +113,26 @@ def _parse(data: bytes) -> Record:
 
 
 def read_records(chunks: Iterator[bytes]) -> Iterator[Record]:
-    """The records of an archive, from its bytes in order."""
-    inflate, held = zlib.decompressobj(31), bytearray()
+    """The records of an archive, from its bytes in order; raises if the last is cut off anywhere.
+
+    No more than ``CHUNK`` bytes are inflated at once.
+    """
+    inflate, held, begun = zlib.decompressobj(31), bytearray(), False
     for chunk in chunks:
         while chunk:
-            held += inflate.decompress(chunk)
-            chunk = inflate.unused_data
+            begun = True
+            held += inflate.decompress(chunk, CHUNK)
             if inflate.eof:
                 yield _parse(bytes(held))
-                inflate, held = zlib.decompressobj(31), bytearray()
-    if held:
+                chunk = inflate.unused_data
+                inflate, held, begun = zlib.decompressobj(31), bytearray(), False
+            else:
+                chunk = inflate.unconsumed_tail
+    while begun and not inflate.eof and (more := inflate.decompress(b"", CHUNK)):
+        held += more
+    if inflate.eof:
+        yield _parse(bytes(held))
+    elif begun:
         raise ValueError("the last record is cut off")
 
 
@@ -160,20 +170,25 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
             done.append((final, records, size))
             out = None
 
-        for batch in batches:
-            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, step):
-                for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True):
-                    if out is None:
-                        temp, records, size = f"{base}/.{uuid.uuid4().hex}", 0, 0
-                        out = where.open_output_stream(temp, compression=None)
-                    member = encode_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, revisit)
-                    out.write(member)
-                    records, size = records + 1, size + len(member)
-                    if size >= ARCHIVE_BYTES:
-                        close()
-        if out is not None:
-            close()
+        try:
+            for batch in batches:
+                step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+                for at in range(0, batch.num_rows, step):
+                    for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True):
+                        if out is None:
+                            temp, records, size = f"{base}/.{uuid.uuid4().hex}", 0, 0
+                            out = where.open_output_stream(temp, compression=None)
+                        member = encode_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, revisit)
+                        out.write(member)
+                        records, size = records + 1, size + len(member)
+                        if size >= ARCHIVE_BYTES:
+                            close()
+            if out is not None:
+                close()
+        finally:
+            if out is not None:  # the task failed: what it began goes
+                out.close()
+                where.delete_file(temp)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 

@@ -5,18 +5,16 @@ from pyspark.sql import functions as F
 
 from netquilt.llm import urls
 
-RANK = {r.key: r for r in urls.RULES}
-
-
-def plain(url, hosts=urls.HOSTS):
+def plain(url, hosts=None, rules=urls.RULES):
     m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
     host, path = m.groups() if m else ("", "")
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     under = lambda h: host == h or host.endswith("." + h)
-    fit = [r for r in urls.RULES if under(r.host) and path.startswith(r.path)]
-    rule = max(fit, key=lambda r: len(r.key), default=None)
-    block = rule.block if rule else any(map(under, hosts))
-    return host, path, rule and rule.key, "block" if block else "allow"
+    fit = [r for r in rules if under(r.host) and path.startswith(r.path)]
+    rule = max(fit, key=lambda r: len(r.host + r.path), default=None)
+    listed = any(map(under, hosts)) if hosts is not None else bool(re.search(urls.JUNK, host))
+    block = rule.block if rule else listed
+    return host, path, rule and rule.host + rule.path, "block" if block else "allow"
 
 
 URLS = [
@@ -43,6 +41,26 @@ def test_membership_is_exact_over_the_universe(spark, monkeypatch, shard):
     assert {r["page_id"] for r in got.where("verdict = 'block'").collect()} == set(range(0, 600, 7))
 
 
+def test_rules_without_a_path(spark):
+    rules = (urls.Rule("x.net", "", False), urls.Rule("x.net", "/bad", True), urls.Rule("spam.org", "", True), urls.Rule("ok.spam.org", "", False), urls.Rule("net", "", True))
+    rows = [(i, u) for i, u in enumerate(["http://x.net", "http://a.x.net/bad/1", "http://y.net/", "http://spam.org?q", "http://ok.spam.org/", "http://x.org/", "http://ads.org/", None])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = [tuple(r) for r in urls.judge(df, rules).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i, *plain(u, rules=rules))) for i, u in rows)
+    hosts = spark.createDataFrame([("x.net",), ("y.net",)], "host string")
+    got = [tuple(r) for r in urls.judge(df, rules[:1], hosts).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i, *plain(u, ("x.net", "y.net"), rules[:1]))) for i, u in rows)
+    assert urls.judge(df, ()).where("rule is not null").count() == 0
+    with pytest.raises(ValueError, match="both"):
+        urls.judge(df, (urls.Rule("a", "/", True), urls.Rule("a", "/", False)))
+
+
+def test_the_default_list_grows_with_the_hosts(spark):
+    rows = [(i, f"http://{'casino' if i % 3 == 0 else 'plain'}-{i}.example.net/p") for i in range(3000)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    assert {r["page_id"] for r in got.where("verdict = 'block'").collect()} == set(range(0, 3000, 3))
+
+
 def test_cascade_has_levels_and_no_mistakes(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 5 == 0).alias("listed"))
     cascade = urls.Cascade(keys)

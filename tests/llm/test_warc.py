@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from netquilt.llm import warc
 
@@ -24,6 +25,19 @@ def test_round_trip(spark, prose):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_a_task_that_fails_leaves_no_file(spark, tmp_path, monkeypatch, prose):
+    df = spark.createDataFrame([(i, "u", prose(20)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    broken = warc.with_responses(df).withColumn("url", F.when(F.col("page_id") == 15, F.raise_error(F.lit("gone"))).otherwise(F.col("url")))
+    monkeypatch.setattr(warc, "with_responses", lambda pages, least: broken)
+    with pytest.raises(Exception, match="gone"):
+        warc.write(df, f"file://{tmp_path}/w")
+    assert not (tmp_path / "w").exists() or not list((tmp_path / "w").iterdir())
+    monkeypatch.undo()
+    for _ in range(2):  # a task that runs again replaces its files
+        assert sum(r["records"] for r in warc.write(df, f"file://{tmp_path}/w").collect()) == 20
+    assert len(list((tmp_path / "w").iterdir())) == 1
+
+
 def test_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, least_bytes=3).collect()}
@@ -46,8 +60,13 @@ def test_reader_takes_any_chunks_and_sees_damage():
     for step in (1, 7, 1000, len(data)):
         found = list(warc.read_records(iter([data[i : i + step] for i in range(0, len(data), step)])))
         assert [r.payload for r in found] == [f"payload {i}".encode() * 50 for i in range(5)]
-    with pytest.raises(ValueError):
-        list(warc.read_records(iter([data[:-5]])))
+    for left in range(1, len(members[-1])):  # cut at each byte of the last member
+        for step in (3, len(data)):
+            cut = data[: len(data) - left]
+            with pytest.raises(ValueError, match="cut off"):
+                list(warc.read_records(iter([cut[i : i + step] for i in range(0, len(cut), step)])))
+    big = warc.encode_record(1, "u", bytes(30 << 20), None, False)
+    assert len(next(warc.read_records(iter([big]))).payload) == 30 << 20
     raw = gzip.decompress(members[0])
     for bad in (raw.replace(b"payload 0p", b"payload 1p", 1), raw.replace(b"Content-Length: 5", b"Content-Length: 6"), raw[:-1], b"HTTP" + raw):
         with pytest.raises((ValueError, KeyError)):
