@@ -1,15 +1,13 @@
 """Quality classifier by co-training of two views.
 
-One logistic model sees the content of a text (shares of marks, capitals,
-repeats and so on), another only its metadata (language, source, stated
-length). Over some rounds each labels those documents of an unlabelled pool
-that it is sure of and hands them to the other, which is then fitted anew.
+One logistic model sees the content of a text: its surface (capitals, marks,
+repeats and so on) and those of its words and word shapes, hashed, that tell
+the classes apart best. Another sees only its metadata (language, source,
+stated length). Over some rounds each labels those documents of an unlabelled
+pool that it is sure of and hands them to the other, which is then fitted anew.
 Both are calibrated on labelled rows that they weren't fitted to, and a
-document's score joins the two calibrated views.
-
-A second pair of models, made in the same way from the toxic labels, also sees
-which words a text has: of their hash slots those that tell toxic texts from
-others best.
+document's score joins the two calibrated views. Toxicity has a pair of models
+of its own, made in the same way from the toxic labels.
 
 The models are fitted on bounded samples: at most ``LABELLED`` labelled
 documents and about ``POOL`` unlabelled ones. Every document is scored.
@@ -40,10 +38,14 @@ GROW = 1_000
 #: Documents of a lower score are rejected.
 THRESHOLD = 0.5
 SLOTS = 16
-#: Slots that words are hashed to, and how many of them the toxic model sees.
-WORD_SLOTS, TELLING = 1 << 20, 64
+#: Slots that words and shapes are hashed to, and how many of them a content view sees.
+WORD_SLOTS, TELLING = 1 << 20, 128
+#: Stated lengths are told apart by their power of two, up to this one.
+LENGTHS = 24
 _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
 
+_LETTERS, _DIGITS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
+
 #: Content features, language, source and stated length.
 Doc = tuple[list[float], str | None, str | None, int | None]
 
@@ -53,7 +55,7 @@ def content(text: str | None) -> list[float]:
     words = (text or "").split()
     n = len(words)
     if not n:
-        return [0.0] * 11
+        return [0.0] * 9
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     upper, lower = int(counts[65:91].sum()), int(counts[97:123].sum())
     chars = len(text)
@@ -65,8 +67,6 @@ def content(text: str | None) -> list[float]:
         min(chars / n, 30.0),
         upper / max(1, upper + lower),
         float(counts[_MARKS].sum()) / n,
-        int(counts[33]) / n,
-        int(counts[124]) / n,
         int(counts[48:58].sum()) / chars,
         sum(map(eq, words, words[1:])) / n,
         np.log(kinds) / np.log(n) if n > 1 else 1.0,
@@ -74,18 +74,26 @@ def content(text: str | None) -> list[float]:
     ]
 
 
+def shape(token: str) -> str:
+    """What a token looks like: runs of letters as ``a``, of digits as ``0``, other characters once each run."""
+    return _RUN.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub("a", token)))
+
+
 def word_slots(text: str | None) -> bytes:
-    """The sorted hash slots of the words of a text as packed numbers."""
-    found = {crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in set(re.findall(r"\w+", (text or "").lower()))}
-    return np.array(sorted(found), np.uint32).tobytes()
+    """The sorted hash slots of the words and word shapes of a text as packed numbers."""
+    text = text or ""
+    found = {*re.findall(r"\w+", text.lower()), *(f" {shape(t)}" for t in {*text.split()} if not t.isalpha())}
+    return np.array(sorted({crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in found}), np.uint32).tobytes()
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """Features of the metadata; a null counts as a value of its own."""
-    out = [0.0] * (2 * SLOTS)
-    out[crc32(repr(lang).encode()) % SLOTS] = 1.0
-    out[SLOTS + crc32(repr(source).encode()) % SLOTS] = 1.0
-    return [*out, float(n_chars is None), np.log1p(max(0, n_chars or 0))]
+    """Features of the metadata: language, source, both together, and stated length; a null counts as a value of its own."""
+    out = [0.0] * (3 * SLOTS + LENGTHS + 2)
+    for i, value in enumerate((repr(lang), repr(source), repr((lang, source)))):
+        out[i * SLOTS + crc32(value.encode("utf-8", "surrogatepass")) % SLOTS] = 1.0
+    out[3 * SLOTS + min(LENGTHS - 1, max(0, n_chars or 0).bit_length())] = 1.0
+    out[-2:] = float(n_chars is None), np.log1p(max(0, n_chars or 0))
+    return out
 
 
 def views(docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +149,15 @@ def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> Logistic:
 
 @dataclass
 class CoTrained:
+    """Both views; ``handed`` counts the labels that content and metadata gave each other."""
+
     text: Logistic
     meta: Logistic
     prior: float
+    handed: tuple[int, int] = (0, 0)
 
     def score(self, docs: list[Doc]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of good quality by content, by metadata, and by both."""
+        """Probability of the class by content, by metadata, and by both."""
         a, b = views(docs)
         t, m = self.text.logit(a), self.meta.logit(b)
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (t, m, t + m - self.prior))
@@ -162,7 +173,7 @@ def co_train(docs: list[Doc], good: list[float], pool: list[Doc]) -> CoTrained |
     pools = views(pool) if pool else tuple(np.empty((0, s.shape[1])) for s in sides)
     given = [(s[~held], y[~held]) for s in sides]
     free = np.ones(len(pool), bool)
-    models = []
+    models, handed = [], [0, 0]
     for turn in range(ROUNDS + 1):
         models = [calibrate(fit(*g), s[held], y[held]) for g, s in zip(given, sides, strict=True)]
         if turn == ROUNDS or not free.any():
@@ -173,22 +184,33 @@ def co_train(docs: list[Doc], good: list[float], pool: list[Doc]) -> CoTrained |
                 best = np.flatnonzero(free & (sure >= SURE))
                 best = best[np.argsort(-sure[best], kind="stable")][:GROW]
                 free[best] = False
+                handed[i] += len(best)
                 x, z = given[1 - i]
                 given[1 - i] = (np.vstack([x, pools[1 - i][best]]), np.r_[z, np.full(len(best), label)])
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    return CoTrained(*models, float(np.log(share / (1 - share))))
+    return CoTrained(*models, float(np.log(share / (1 - share))), (handed[0], handed[1]))
 
 
 @dataclass
-class Toxic:
-    """The toxic model and the word slots that it sees."""
+class Worded:
+    """A pair of models and the word slots that its content view sees."""
 
     model: CoTrained
     slots: np.ndarray
 
-    def score(self, docs: list[Doc], words: list[bytes]) -> np.ndarray:
-        """Probability of toxic content."""
-        return self.model.score(with_words(docs, words, self.slots))[2]
+    def score(self, docs: list[Doc], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.model.score(with_words(docs, words, self.slots))
+
+
+def train_words(docs: list[Doc], words: list[bytes], labels: list[float], pool: list[Doc], pool_words: list[bytes]) -> Worded | None:
+    """Choose the telling slots on the rows that are fitted to, then co-train; ``None`` if the labels don't hold both classes."""
+    y = np.array(labels, float) >= 0.5
+    fitted = np.arange(len(y)) % 4 != 0  # the rest calibrates
+    if not 0 < y[fitted].sum() < fitted.sum():
+        return None
+    slots = telling_slots([w for w, f in zip(words, fitted, strict=True) if f], y[fitted].astype(float))
+    model = co_train(with_words(docs, words, slots), y.astype(float).tolist(), with_words(pool, pool_words, slots))
+    return model and Worded(model, slots)
 
 
 def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[Doc]:
@@ -197,21 +219,19 @@ def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[D
 
 
 def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
-    """The word slots whose log-odds between the classes are the surest."""
-    counts = [np.full(WORD_SLOTS, 0.5), np.full(WORD_SLOTS, 0.5)]
+    """The word slots whose presence tells most of the class, by the likelihood ratio of their counts."""
+    counts = [np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)]
     for w, y in zip(words, bad, strict=True):
         counts[int(y)][np.frombuffer(w, np.uint32)] += 1
-    good, toxic = counts
-    odds = np.log(toxic / (bad.sum() + 1)) - np.log(good / (len(bad) - bad.sum() + 1))
-    return np.sort(np.argsort(-np.abs(odds) / np.sqrt(1 / good + 1 / toxic), kind="stable")[:TELLING])
-
+    sizes = [len(bad) - bad.sum(), bad.sum()]
+    share, told = (counts[0] + counts[1]) / len(bad), np.zeros(WORD_SLOTS)
+    for seen, n in zip(counts, sizes, strict=True):
+        for found, expected in ((seen, share), (n - seen, 1 - share)):
+            told += np.where(found > 0, found * np.log(np.maximum(found, 1e-12) / np.maximum(n * expected, 1e-12)), 0)
+    return np.sort(np.argsort(-told, kind="stable")[:TELLING])
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """The quality model of ``train_both``."""
-    return train_both(docs, labels)[0]
 
-
-def train_both(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained | None, Toxic | None]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Worded | None, Worded | None]:
     """Fit quality and toxicity on the bounded samples of ``docs`` and ``labels(doc_id, quality, toxic)``.
 
     A document with several labels counts by their mean; null labels and labels
@@ -219,8 +239,9 @@ def train_both(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained | None, To
     """
     if "toxic" not in labels.columns:
         labels = labels.withColumn("toxic", F.lit(None).cast("int"))
-    chosen = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("bad"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
+    rated = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("bad"))
+    there = rated.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
 
     def drawn(rows: DataFrame, most: int) -> list[tuple[int, float | None, float | None, bytes, Doc]]:
@@ -240,24 +261,20 @@ def train_both(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained | None, To
     pool = drawn(own.where(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(every)) == 0).withColumn("good", F.lit(None).cast("double")).withColumn("bad", F.lit(None).cast("double")), 2 * POOL)
     ids = {i for i, *_ in known}
     pool = [r for r in pool if r[0] not in ids]
-    rated = [r for r in known if r[1] is not None]
-    quality = co_train([r[4] for r in rated], [float(r[1] >= 0.5) for r in rated], [r[4] for r in pool]) if rated else None
-    rated = [r for r in known if r[2] is not None]
-    bad = np.array([r[2] >= 0.5 for r in rated], float)
-    if not 0 < bad.sum() < len(bad):
-        return quality, None
-    fitted = np.arange(len(rated)) % 4 != 0  # the rest calibrates
-    slots = telling_slots([r[3] for r, f in zip(rated, fitted, strict=True) if f], bad[fitted])
-    toxic = co_train(with_words([r[4] for r in rated], [r[3] for r in rated], slots), bad.tolist(), with_words([r[4] for r in pool], [r[3] for r in pool], slots))
-    return quality, toxic and Toxic(toxic, slots)
-
-
-def judge(models: tuple[CoTrained | None, Toxic | None], rows: list[tuple]) -> list[tuple[float | None, float | None, float | None, float | None, bool]]:
+
+    def fitted(label: int) -> Worded | None:
+        mine = [r for r in known if r[label] is not None]
+        return train_words([r[4] for r in mine], [r[3] for r in mine], [r[label] for r in mine], [r[4] for r in pool], [r[3] for r in pool])
+
+    return fitted(1), fitted(2)
+
+
+def judge(models: tuple[Worded | None, Worded | None], rows: list[tuple]) -> list[tuple[float | None, float | None, float | None, float | None, bool]]:
     """Content, metadata, joined and toxic score of each ``(text, lang, source, n_chars)``, and whether it is kept."""
-    docs = [(content(r[0]), *r[1:]) for r in rows]
+    docs, words = [(content(r[0]), *r[1:]) for r in rows], [word_slots(r[0]) for r in rows]
     good, bad = models
-    scores = [*map(np.ndarray.tolist, good.score(docs))] if good else [[None] * len(rows)] * 3
-    toxic = bad.score(docs, [word_slots(r[0]) for r in rows]).tolist() if bad else [None] * len(rows)
+    scores = [*map(np.ndarray.tolist, good.score(docs, words))] if good else [[None] * len(rows)] * 3
+    toxic = bad.score(docs, words)[2].tolist() if bad else [None] * len(rows)
     return [(t, m, p, x, (p is None or p >= THRESHOLD) and (x is None or x < THRESHOLD)) for t, m, p, x in zip(*scores, toxic, strict=True)]
 
 
@@ -265,13 +282,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, content_score, metadata_score, score, toxic_score, keep`` for each row of ``docs``.
 
     ``keep`` is false where the joined score is under ``THRESHOLD`` or the toxic
-    score isn't. Null and
-    empty texts have neutral content features and are judged like others; null
-    metadata is a value of its own; repeated rows get equal scores; extra
-    columns are ignored. Without labels of both classes nothing is known: scores
-    are null and no row is rejected for them.
+    score isn't; a score that ties with ``THRESHOLD`` counts as reaching it.
+    Null and empty texts have neutral content features and are judged like
+    others; null metadata is a value of its own; texts are read whole; repeated
+    rows get equal scores; extra columns are ignored; an empty table gives an
+    empty result. Without labels of both classes nothing is known: scores are
+    null and no row is rejected for them.
     """
-    models = train_both(docs, labels)
+    models = train(docs, labels)
 
     def work(rows: list[tuple]) -> list[tuple]:
         return [(r[0], *found) for r, found in zip(rows, judge(models, [r[1:] for r in rows]), strict=True)]
@@ -280,8 +298,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, unchanged."""
-    models = train_both(docs, labels)
+    """The rows of ``docs`` that the classifier keeps, unchanged; what it does with odd rows is said at ``score``."""
+    models = train(docs, labels)
     if models == (None, None):
         return docs
     names = docs.columns

@@ -27,9 +27,9 @@ def folder(spark, tmp_path, prose, rnd):
 def test_stages_equal_a_plain_version(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    model, _ = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     ids = sorted(rows)
-    keep = model.score([(quality.content(rows[i]["text"]), "en", "src1", rows[i]["n_chars"]) for i in ids])[2] >= quality.THRESHOLD
+    keep = model.score([(quality.content(rows[i]["text"]), "en", "src1", rows[i]["n_chars"]) for i in ids], [quality.word_slots(rows[i]["text"]) for i in ids])[2] >= quality.THRESHOLD
     ids = [i for i, k in zip(ids, keep, strict=True) if k]
     assert not any(200 <= i < 300 for i in ids) and sum(i < 200 for i in ids) >= 118
     root, cut = {i: i for i in ids}, {i: five(rows[i]["text"]) for i in ids}

@@ -63,3 +63,31 @@ def test_views_help_each_other():
     want = good[2000:] == 1
     assert ((both >= 0.5) == want).mean() >= max(((t >= 0.5) == want).mean(), ((m >= 0.5) == want).mean()) - 0.01
     assert ((m >= 0.5) == want).mean() > 0.9
+
+
+def test_labels_without_documents_take_no_place(spark, docs_of, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 250)
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i, _ in corpus[:200]] + [(10_000 + i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["keep"] for r in quality.score(docs_of(corpus), labels).collect()}
+    assert sum(got[i] == (i % 5 != 0) for i in range(200, 600)) / 400 > 0.95
+
+
+def test_fit_equals_plain_gradient_descent():
+    g = np.random.default_rng(6)
+    x = g.normal(size=(200, 4)) * [1, 5, 0.1, 2] + [0, 3, 1, -2]
+    y = (x[:, 0] + 0.3 * x[:, 1] + g.normal(size=200) > 1).astype(float)
+    model = quality.fit(x, y)
+    z = np.column_stack([np.ones(200), (x - x.mean(0)) / x.std(0)])
+    w, ridge = np.zeros(5), np.array([1e-6, 1, 1, 1, 1])
+    for _ in range(30_000):
+        w += 0.01 * (z.T @ (y - 1 / (1 + np.exp(-z @ w))) - ridge * w)
+    assert np.allclose(model.weight, w, atol=1e-4)
+    one = [sum(a * b for a, b in zip(row, w, strict=True)) for row in z]
+    assert np.allclose(model.raw(x), np.clip(one, -30, 30), atol=1e-3)
+
+
+def test_telling_slots_by_counting():
+    words = [np.array(sorted({i % 7 + 10, 3 if i % 4 == 0 else 5}), np.uint32).tobytes() for i in range(80)]
+    bad = np.array([float(i % 4 == 0) for i in range(80)])
+    assert {3, 5} <= set(quality.telling_slots(words, bad).tolist())
+    assert quality.shape("the&&&") == "a&" and quality.shape("12,5!!") == "0,0!" and quality.shape("|") == "|"
