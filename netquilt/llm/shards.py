@@ -17,7 +17,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -34,14 +34,17 @@ _LOWEST = -(1 << 63)
 Key = tuple[int, int, int]
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, id, nth, size, text_crc32``: the sort key and size of each row, without its text."""
+def keys(docs: DataFrame, nth: Column | None = None) -> DataFrame:
+    """``doc_id, h, id, nth, size, text_crc32``: the sort key and size of each row, without its text.
+
+    ``nth`` numbers the rows; by default it is their place in the input.
+    """
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
         F.xxhash64(text).alias("h"),
         F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"),
-        F.monotonically_increasing_id().alias("nth"),
+        (F.monotonically_increasing_id() if nth is None else nth).alias("nth"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
@@ -61,9 +64,11 @@ def sampled(rows: DataFrame, total: int, wanted: int) -> list[tuple[Key, float]]
 def splitters(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
     """Keys that cut the sample into ``parts`` of about equal weight."""
     sample = sorted(sample)
-    run = list(accumulate(w for _, w in sample))
-    cuts = [sample[min(len(sample) - 1, int(np.searchsorted(run, run[-1] * i / parts)))][0] for i in range(1, parts)] if sample else []
-    return sorted(set(cuts))
+    if not sample:
+        return []
+    run = np.cumsum([w for _, w in sample])
+    at = np.minimum(len(sample) - 1, np.searchsorted(run, run[-1] * np.arange(1, parts) / parts))
+    return sorted({sample[i][0] for i in at.tolist()})
 
 
 def placed(rows: DataFrame, cuts: list[Key]) -> DataFrame:
@@ -79,9 +84,10 @@ def placed(rows: DataFrame, cuts: list[Key]) -> DataFrame:
         for batch in batches:
             h = batch.column(names.index("h")).to_numpy()
             low, high = np.searchsorted(heads, h, "left"), np.searchsorted(heads, h, "right")
-            for i in np.flatnonzero(low != high).tolist():  # a splitter has the same hash: ids decide
-                key = tuple(batch.column(names.index(c))[i].as_py() for c in ("h", "id", "nth"))
-                low[i] = bisect_right(cuts, key)
+            at = np.flatnonzero(low != high)  # a splitter has the same hash: ids decide
+            if len(at):
+                same = zip(*(batch.column(names.index(c)).take(pa.array(at)).to_pylist() for c in ("h", "id", "nth")), strict=True)
+                low[at] = [bisect_right(cuts, key) for key in same]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low.astype(np.int32))], schema=out)
 
     return rows.mapInArrow(run, schema)
@@ -97,8 +103,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     in each shard without gaps. Extra columns are ignored; an empty table gives
     an empty result.
     """
+    return _assign(docs, shards).drop("nth")
+
+
+def _assign(docs: DataFrame, shards: int, nth: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
-    rows = materialise(keys(docs), "keys")
+    rows = materialise(keys(docs, nth), "keys")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = int(min(MOST_RANGES, max(LEAST_RANGES, n // ROWS_A_RANGE)))
     cuts = splitters(sampled(rows, total, parts * SAMPLES), parts)
@@ -128,9 +138,9 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     start = F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     found = (
         placed(rows, cuts)
-        .select("doc_id", "size", "text_crc32", "range", row.alias("row"), start.alias("start"))
+        .select("doc_id", "nth", "size", "text_crc32", "range", row.alias("row"), start.alias("start"))
         .join(base, "range")
-        .select("doc_id", "size", "text_crc32", (F.col("row") + F.col("rows_before")).alias("row"), F.expr(f"cast((start + bytes_before) * {shards} div {max(1, total)} as int)").alias("shard"))
+        .select("doc_id", "nth", "size", "text_crc32", (F.col("row") + F.col("rows_before")).alias("row"), F.expr(f"cast((start + bytes_before) * {shards} div {max(1, total)} as int)").alias("shard"))
     )
     found = materialise(found, "placed")
     counted = found.groupBy("shard").agg(F.min("row"), F.count("*")).collect()
@@ -146,10 +156,17 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "shard",
         (F.col("row") - F.get(starts, F.col("shard"))).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "nth",
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs``, whose ids are unique, under ``path`` with a folder for each shard."""
-    where = assign(docs, shards).select("doc_id", "shard")
-    docs.join(where, "doc_id").write.partitionBy("shard").parquet(path)
+    """Write the rows of ``docs`` under ``path`` with a folder for each shard, its columns unchanged.
+
+    Rows are numbered first, so repeated and null ids all keep their own place;
+    a column ``shard`` of ``docs`` itself is left out, as the folders tell it.
+    """
+    mark = "_" * max(map(len, docs.columns)) + "nth"  # longer than any column of docs
+    numbered = materialise(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    where = _assign(numbered, shards, F.col(mark)).select(F.col("nth").alias(mark), "shard")
+    numbered.drop("shard").join(where, mark).drop(mark).write.partitionBy("shard").parquet(path)

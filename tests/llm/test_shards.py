@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from netquilt.llm import shards
 
@@ -30,6 +31,20 @@ def test_near_equal_bytes(docs_of, prose, rnd, monkeypatch, ranges):
     check(shards.assign(docs_of(docs)).collect(), docs)
 
 
+def test_equal_to_one_plain_pass(docs_of, prose, rnd):
+    docs = [(i, prose(rnd.randint(0, 40))) for i in range(400)] + [(500 + i, "same") for i in range(150)] + [(900, None), (901, ""), (None, "é")]
+    frame = docs_of(docs)
+    order = sorted((r[0], -(1 << 63) if r[1] is None else r[1], r[1], r[2]) for r in frame.select(F.xxhash64(F.coalesce("text", F.lit(""))), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 1).collect())
+    total, at, slots, want = sum(r[3] for r in order), 0, Counter(), []
+    for _, _, i, size in order:
+        s = at * 16 // total
+        want.append((i, size, s, slots[s]))
+        slots[s] += 1
+        at += size
+    got = [(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in shards.assign(frame).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_few_and_none(docs_of):
     docs = [(1, "a"), (2, "b")]
     check(shards.assign(docs_of(docs)).collect(), docs)
@@ -56,7 +71,10 @@ def test_many_rounds_and_dozens_of_huge_rows(docs_of, prose, rnd, monkeypatch):
 
 
 def test_written_shards(spark, docs_of, prose, tmp_path):
-    docs = [(i, prose(10)) for i in range(50)]
-    shards.write_shards(docs_of(docs), str(tmp_path / "s"), 4)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+    docs = [(i, prose(10)) for i in range(50)] + [(7, "again"), (7, "again"), (None, "a"), (None, None)]
+    frame = docs_of(docs).withColumn("shard", F.lit(99)).withColumn("a.b", F.lit(1))
+    shards.write_shards(frame, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(repr, map(tuple, back.select("doc_id", "text").collect()))) == sorted(map(repr, docs))
+    assert set(back.columns) == set(frame.columns)
     assert len(list((tmp_path / "s").glob("shard=*"))) == 4
