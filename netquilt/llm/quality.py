@@ -47,7 +47,7 @@ _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'
 _LETTERS, _DIGITS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 
 #: Content features, language, source and stated length.
-Doc = tuple[list[float], str | None, str | None, int | None]
+Doc = tuple[list[float] | np.ndarray, str | None, str | None, int | None]
 
 
 def content(text: str | None) -> list[float]:
@@ -74,16 +74,15 @@ def content(text: str | None) -> list[float]:
     ]
 
 
-def shape(token: str) -> str:
-    """What a token looks like: runs of letters as ``a``, of digits as ``0``, other characters once each run."""
-    return _RUN.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub("a", token)))
+def shapes(text: str) -> set[str]:
+    """What the tokens of a text look like: runs of letters as ``a``, of digits as ``0``, other characters once each run."""
+    return {_RUN.sub(r"\1", s) for s in {*_DIGITS.sub("0", _LETTERS.sub("a", text)).split()}} - {"a"}
 
 
 def word_slots(text: str | None) -> bytes:
     """The sorted hash slots of the words and word shapes of a text as packed numbers."""
-    text = text or ""
-    found = {*re.findall(r"\w+", text.lower()), *(f" {shape(t)}" for t in {*text.split()} if not t.isalpha())}
-    return np.array(sorted({crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in found}), np.uint32).tobytes()
+    found = {*re.findall(r"\w+", (text or "").lower()), *(f" {s}" for s in shapes(text or ""))}
+    return np.unique(np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in found], np.uint32) % WORD_SLOTS).tobytes()
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
@@ -98,7 +97,10 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[
 
 def views(docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
     """Both feature matrices."""
-    return np.array([d[0] for d in docs], float), np.array([metadata(*d[1:]) for d in docs], float)
+    meta = np.empty((len(docs), 3 * SLOTS + LENGTHS + 2), np.float32)  # row by row: the driver holds no lists of numbers
+    for i, d in enumerate(docs):
+        meta[i] = metadata(*d[1:])
+    return np.array([d[0] for d in docs], np.float32), meta
 
 
 @dataclass
@@ -133,7 +135,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Logistic:
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
     scale[scale < 1e-9] = 1.0
     return Logistic(mean, scale, _newton((x - mean) / scale, y, 1.0))
 
@@ -215,7 +217,7 @@ def train_words(docs: list[Doc], words: list[bytes], labels: list[float], pool:
 
 def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[Doc]:
     """``docs`` whose content also tells which of ``slots`` their words have."""
-    return [([*d[0], *np.isin(slots, np.frombuffer(w, np.uint32)).astype(float).tolist()], *d[1:]) for d, w in zip(docs, words, strict=True)]
+    return [(np.concatenate([d[0], np.isin(slots, np.frombuffer(w, np.uint32))]).astype(np.float32), *d[1:]) for d, w in zip(docs, words, strict=True)]
 
 
 def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
@@ -252,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Worded | None, Worded | N
             "doc_id long, good double, bad double, words binary, content array<double>, lang string, source string, n_chars long",
             lambda rows: [(i, good, bad, word_slots(text), content(text), *rest) for i, good, bad, text, *rest in rows],
         )
-        return [(r[0], r[1], r[2], bytes(r[3]), (r[4], *r[5:])) for r in small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toLocalIterator()]
+        return [(r[0], r[1], r[2], bytes(r[3]), (np.array(r[4], np.float32), *r[5:])) for r in small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toLocalIterator()]
 
     known = drawn(own.join(F.broadcast(chosen), "doc_id"), LABELLED)
     if not known:

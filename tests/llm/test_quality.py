@@ -90,4 +90,4 @@ def test_telling_slots_by_counting():
     words = [np.array(sorted({i % 7 + 10, 3 if i % 4 == 0 else 5}), np.uint32).tobytes() for i in range(80)]
     bad = np.array([float(i % 4 == 0) for i in range(80)])
     assert {3, 5} <= set(quality.telling_slots(words, bad).tolist())
-    assert quality.shape("the&&&") == "a&" and quality.shape("12,5!!") == "0,0!" and quality.shape("|") == "|"
+    assert quality.shapes("the&&& 12,5!! word |") == {"a&", "0,0!", "|"}
