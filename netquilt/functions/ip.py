@@ -26,6 +26,27 @@ def ip_to_int(ip: Column, order: str = "big", strict: bool = False) -> Column:
     return F.when(ip.rlike(DOTTED), value).otherwise(F.when(ip.isNotNull(), bad))
 
 
+def lenient_ip_to_int(ip: Column) -> Column:
+    """An id from any form that C libraries take: one to four parts, decimal, octal or hexadecimal, the last filling the rest."""
+    parts = F.split(ip, r"\.")
+    read = F.transform(
+        parts,
+        lambda p: F.when(p.rlike("^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(p, 3, 8), 16, 10))
+        .when(p.rlike("^0[0-7]{0,11}$"), F.conv(p, 8, 10))
+        .when(p.rlike("^[1-9][0-9]{0,9}$"), p)
+        .cast("long"),
+    )
+    n = F.size(parts)
+    out = F.lit(None).cast("long")
+    for k in range(1, 5):
+        heads = [F.get(read, i) for i in range(k - 1)]
+        tail, room = F.get(read, k - 1), 256 ** (5 - k)
+        good = (tail < room) & F.forall(F.slice(read, 1, k - 1), lambda p: p < 256) if k > 1 else tail < room
+        value = sum((h * 256 ** (3 - i) for i, h in enumerate(heads)), tail)
+        out = F.when((n == k) & good, value).otherwise(out)
+    return out
+
+
 def octets(ip: Column) -> list[Column]:
     """The four octets of an id, high byte first."""
     return [F.shiftright(ip, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)]

@@ -7,9 +7,14 @@ no two become one. The upper ``keep`` bits pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .zones import merge
+
 KEEP = 16
 
 
@@ -41,3 +46,19 @@ def full_table(spark, key: str, first: int = 0, last: int = 2**32 - 3, keep: int
     """The mapping of a whole range of addresses."""
     ids = spark.range(first, last + 1).withColumnRenamed("id", "ip")
     return ids.withColumn("anon_ip", scramble(F.col("ip"), key, keep))
+
+
+def zone_table(zones: DataFrame, key: str, keep: int = KEEP) -> DataFrame:
+    """``zones`` with every address mapped, so that they fit an anonymized matrix."""
+    each = zones.select("zone", F.explode(F.sequence("lo", "hi")).alias("ip")).distinct()
+    return merge(each.select("zone", scramble(F.col("ip"), key, keep).alias("lo")).withColumn("hi", F.col("lo")))
+
+
+def stored_key(spark: SparkSession, path: str) -> str:
+    """The key in the first line of a file; if there is no file, a new key is drawn and written there."""
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if where.get_file_info(name).type == fs.FileType.NotFound:
+        with where.open_output_stream(name) as out:
+            out.write(secrets.token_hex(32).encode() + b"\n")
+    with where.open_input_stream(name) as found:
+        return found.read().split(b"\n")[0].decode().strip()

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names shown for the metrics and zones.
-METRIC_NAMES = {
-    "n_packets": "Packets",
-    "n_links": "Links",
-    "n_sources": "Sources",
-    "n_destinations": "Destinations",
-    "max_packets": "Max Packets",
-    "max_source_packets": "Max Source",
-    "max_fan_out": "Max Fan Out",
-    "max_destination_packets": "Max Dest",
-    "max_fan_in": "Max Fan In",
-}
-ZONE_NAMES = ("nonroute", "bogon", "assigned", "CAIDA", "other")
+from . import windows
+
 #: Screen length of an axis and the least distance of two ticks on it.
 AXIS, GAP = 480, 40
 
@@ -30,11 +16,11 @@ def _lookup(key: Column, names: dict) -> Column:
 
 
 def metric_name(metric: Column) -> Column:
-    """The name shown for a metric; null for an unknown one."""
-    return _lookup(metric, METRIC_NAMES)
+    """The name shown for a metric: the words of its identifier, the first letter of each a capital."""
+    return F.initcap(F.replace(metric, F.lit("_"), F.lit(" ")))
 
 
-def zone_name(zone: Column, names: tuple[str, ...] = ZONE_NAMES) -> Column:
+def zone_name(zone: Column, names: tuple[str, ...]) -> Column:
     """The name of a zone, counted from 1; null beyond the names."""
     return _lookup(zone, dict(enumerate(names, 1)))
 
@@ -45,37 +31,28 @@ def cell_zones(row: Column, column: Column, zones: int) -> tuple[Column, Column]
 
 
 def every(ids: DataFrame, column: str, most: int) -> DataFrame:
-    """About ``most`` ids in order: every k-th.
-
-    An axis holds few ids next to the links behind it; guard the links with
-    ``drill.shown`` first.
-    """
-    n = ids.count()
-    step = max(1, -(-n // most))
-    ranked = ids.withColumn("__n", F.row_number().over(Window.orderBy(column)) - 1)
-    return ranked.where(F.pmod("__n", F.lit(step)) == 0).drop("__n")
+    """About ``most`` ids in order: every k-th. They are numbered slice by slice, in no single task."""
+    step = max(1, -(-ids.count() // most))
+    ranked = windows.running_total(ids, column, F.lit(1), "__n")
+    return ranked.where(F.pmod(F.col("__n") - 1, F.lit(step)) == 0).drop("__n")
 
 
 def spaced(ids: DataFrame, column: str, axis: int = AXIS, gap: int = GAP) -> DataFrame:
     """Ids of an axis so that two neighbours shown are ``gap`` of ``axis`` points apart at least.
 
-    Each choice depends on the last, so the ids are read once in order; they
-    pass in batches and only the last choice is remembered.
+    The next one shown is the least id beyond the gap: an aggregate over all
+    ids, so they never meet in one task. An axis has room for ``axis / gap`` of
+    them and one more.
     """
     lo, hi = ids.agg(F.min(column), F.max(column)).first()
-    least = gap * ((hi or 0) - (lo or 0)) / axis
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            keep = []
-            for v in b.column(0).to_pylist():
-                if last is None or v - last >= least:
-                    keep.append(v)
-                    last = v
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=[column])
-
-    return ids.select(column).repartition(1).sortWithinPartitions(column).mapInArrow(run, f"{column} long")
+    if lo is None:
+        return ids.select(column)
+    least = max(1, gap * (hi - lo) / axis)
+    shown, last = [], lo
+    while last is not None:
+        shown.append(last)
+        last = ids.where(F.col(column) - last >= least).agg(F.min(column)).first()[0]
+    return ids.where(F.col(column).isin(shown)).select(column).distinct()
 
 
 def page(rows: DataFrame, order: str, number: int, size: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST = 0xFFFFFFFF
@@ -27,6 +27,23 @@ def counters(packets: DataFrame) -> DataFrame:
     return packets.agg(F.count("*").alias("total"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"))
 
 
+def rates(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``second, total, invalid``: packets in each second of ``ts``, for each group of ``by``, and those that are no IPv4."""
+    valid = (F.col("ethertype") == 2048) & (F.col("ip_version") == 4)
+    return packets.groupBy(*by, F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("total"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"))
+
+
+def drops(counters: DataFrame) -> DataFrame:
+    """``ring, second, dropped``: how far each ring's counter of lost packets rose in a second.
+
+    ``counters(ring, ts, dropped)`` are running counts; one that falls began anew
+    and counts from 0. A ring has one row a reading, so its rows fit a task.
+    """
+    before = F.lag("dropped").over(Window.partitionBy("ring").orderBy("ts"))
+    rise = F.when(before.isNull(), F.lit(0).cast("long")).when(F.col("dropped") < before, F.col("dropped")).otherwise(F.col("dropped") - before)
+    return counters.withColumn("rise", rise).groupBy("ring", F.date_trunc("second", "ts").alias("second")).agg(F.sum("rise").alias("dropped"))
+
+
 def not_processed(files: DataFrame, manifest: DataFrame, suffix: str = ".grb") -> DataFrame:
     """File names with the suffix that the manifest lacks, each once."""
     return files.where(F.col("path").endswith(suffix)).distinct().join(manifest, "path", "left_anti")

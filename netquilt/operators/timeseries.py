@@ -81,6 +81,12 @@ def z_scores(stats: DataFrame) -> DataFrame:
     return w.withColumn("z", z).drop("__m", "__d")
 
 
+def window_z_scores(stats: DataFrame, metric: str, window: int | str, n: int) -> DataFrame:
+    """The z-scores of one metric in a chosen window, as a matrix of zones."""
+    cells = z_scores(stats.where(F.col("metric") == metric)).where(F.col("window") == window)
+    return zone_matrix(cells, "z", n)
+
+
 def last_z_scores(stats: DataFrame) -> DataFrame:
     """The z-score of each cell's last window."""
     return z_scores(stats).groupBy(*CELL).agg(F.max_by("z", "window").alias("z"))

@@ -24,24 +24,28 @@ def bucket(value: Column, cuts: list) -> Column:
 
 
 def running_total(rows: DataFrame, order: str, weight: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``weight`` up to and with each row.
+    """``rows`` with ``name``: the sum of ``weight`` up to and with each row, within its group of ``by`` if given.
 
-    ``order`` is a number without ties. With ``by`` each group runs on its own.
-    Without it the order is cut into slices by quantiles; each slice is summed
-    in a task of its own and the few slice totals are put in front, so a global
-    order never meets in one task.
+    ``order`` is a number without ties. The order is cut into slices by
+    quantiles; each slice of a group is summed in a task of its own and the
+    totals of the slices before are added, so neither a global order nor a
+    large group ever meets in one task.
     """
     rows = rows.withColumn("__w", weight.cast("long"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn(name, F.sum("__w").over(w)).drop("__w")
     shares = [i / SLICES for i in range(1, SLICES)]
     cuts = rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
     sliced = rows.withColumn("__s", bucket(F.col(order), sorted(set(cuts))))
-    totals = sliced.groupBy("__s").agg(F.sum("__w").alias("__t"))
-    before = totals.select("__s", (F.sum("__t").over(Window.orderBy("__s")) - F.col("__t")).alias("__b"))  # as many rows as slices
-    w = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sliced.withColumn("__r", F.sum("__w").over(w)).join(F.broadcast(before), "__s").withColumn(name, F.col("__r") + F.col("__b")).drop("__w", "__s", "__r", "__b")
+    totals = sliced.groupBy(*by, "__s").agg(F.sum("__w").alias("__t"))
+    ahead = Window.partitionBy(*by).orderBy("__s") if by else Window.orderBy("__s")  # as many rows as slices
+    before = totals.select(*by, "__s", (F.sum("__t").over(ahead) - F.col("__t")).alias("__b"))
+    w = Window.partitionBy(*by, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sliced.withColumn("__r", F.sum("__w").over(w))
+    other = before.select(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)), F.col("__s").alias("__s2"), "__b")
+    other = other if by else F.broadcast(other)
+    same = F.col("__s") == F.col("__s2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
+    return placed.join(other, same).withColumn(name, F.col("__r") + F.col("__b")).select(*(c for c in rows.columns if c != "__w"), name)
 
 
 def count_windows(packets: DataFrame, order: str, size: int = SUBWINDOW, per_file: int = SUBWINDOWS, by: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,10 @@ from . import stats
 
 #: Up to so many intervals the label is a plain expression; beyond, a join on address blocks.
 INLINE = 64
-_BLOCK = 16  # bits of an address below its block
+_BLOCK, _SMALL = 16, 8  # bits of an address below its block, and below its small block
+_FINE = 1 << 40  # where the numbers of small blocks begin
+#: Intervals of a block beyond which it is cut into small blocks.
+CROWD = 64
 
 
 def merge(zones: DataFrame) -> DataFrame:
@@ -21,21 +24,22 @@ def merge(zones: DataFrame) -> DataFrame:
 
 
 def overlaps(zones: DataFrame) -> DataFrame:
-    """Pairs of neighbouring intervals of different zones that share an address.
+    """Pairs of neighbouring intervals of different zones that share an address; ``zones`` are merged.
 
     Cut into address blocks, so no task sees more than the intervals of a block.
     """
     w = Window.partitionBy("block").orderBy("lo", "hi", "zone")
-    cut = blocks(merge(zones))
+    cut = blocks(zones)
     return cut.withColumn("next_zone", F.lead("zone").over(w)).withColumn("next_lo", F.lead("lo").over(w)).where("next_lo <= hi and next_zone <> zone").select("zone", "next_zone").distinct()
 
 
 def check(zones: DataFrame) -> DataFrame:
-    """``zones``, or an error if two of them overlap."""
-    bad = overlaps(zones).first()
+    """The merged intervals of ``zones``, or an error if two zones overlap."""
+    merged = merge(zones.select(F.col("zone").cast("int").alias("zone"), "lo", "hi"))
+    bad = overlaps(merged).first()
     if bad:
         raise ValueError(f"zones {bad[0]} and {bad[1]} overlap")
-    return zones
+    return merged
 
 
 def blocks(zones: DataFrame) -> DataFrame:
@@ -54,20 +58,22 @@ def label_expression(ip: Column, intervals: list[tuple[int, int, int]]) -> Colum
 def label(edges: DataFrame, zones: DataFrame, complement: bool = True) -> DataFrame:
     """``edges`` with ``zone_src`` and ``zone_dst``.
 
-    With ``complement`` addresses outside all zones get the number after the
-    last zone; without it, links with such an address are dropped. A few
-    intervals become one expression, so no row moves; for many, the distinct
-    addresses are joined with the intervals of their block.
+    Intervals of a zone may repeat or overlap; zones that share an address are
+    an error. With ``complement`` addresses outside all zones get the number
+    after the last zone; without it, links with such an address are dropped. A
+    few intervals become one expression, so no row moves; for many, the
+    distinct addresses are joined with the intervals of their block.
     """
-    few = zones.select("zone", "lo", "hi").limit(INLINE + 1).collect()
-    last = zones.agg(F.coalesce(F.max("zone"), F.lit(0)).cast("int")).first()[0]
+    merged = check(zones)
+    few = merged.limit(INLINE + 1).collect()
+    last = merged.agg(F.coalesce(F.max("zone"), F.lit(0)).cast("int")).first()[0]
     if len(few) <= INLINE:
-        intervals = [(r[0], r[1], r[2]) for r in few]
+        intervals = [(r["zone"], r["lo"], r["hi"]) for r in few]
         out = edges.withColumn("zone_src", label_expression(F.col("src"), intervals)).withColumn("zone_dst", label_expression(F.col("dst"), intervals))
     else:
-        cut = blocks(zones.select(F.col("zone").cast("int").alias("zone"), "lo", "hi"))
         ids = edges.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
-        named = ids.join(cut, (F.shiftright("ip", _BLOCK) == F.col("block")) & F.col("ip").between(F.col("lo"), F.col("hi"))).select("ip", "zone")
+        places = F.array(F.shiftright("ip", _BLOCK), _FINE + F.shiftright("ip", _SMALL))
+        named = ids.select("ip", F.explode(places).alias("place")).join(placed(merged), "place").where(F.col("ip").between(F.col("lo"), F.col("hi"))).select("ip", "zone")
         side = lambda end: named.select(F.col("ip").alias(end), F.col("zone").alias(f"zone_{end}"))
         out = edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left").select(*edges.columns, "zone_src", "zone_dst")
     if complement:
@@ -75,6 +81,19 @@ def label(edges: DataFrame, zones: DataFrame, complement: bool = True) -> DataFr
     return out.where("zone_src is not null and zone_dst is not null")
 
 
+def placed(merged: DataFrame) -> DataFrame:
+    """Disjoint intervals by address block; in a block that holds many, by blocks of 256 addresses.
+
+    So an address meets at most ``CROWD`` intervals, or the 256 of its small block.
+    """
+    cut = blocks(merged)
+    crowded = cut.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("block")
+    start = F.shiftleft("block", _BLOCK)
+    fine = cut.join(crowded, "block", "left_semi").withColumns({"lo": F.greatest("lo", start), "hi": F.least("hi", start + (1 << _BLOCK) - 1)})
+    fine = fine.select("zone", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", _SMALL), F.shiftright("hi", _SMALL))).alias("b")).select("zone", "lo", "hi", (_FINE + F.col("b")).alias("place"))
+    return cut.join(crowded, "block", "left_anti").select("zone", "lo", "hi", F.col("block").alias("place")).unionAll(fine)
+
+
 def zone_ids(zones: DataFrame, complement: bool = True) -> DataFrame:
     ids = zones.select(F.col("zone").cast("int").alias("zone")).distinct()
     return ids.unionByName(zones.agg((F.coalesce(F.max("zone"), F.lit(0)) + 1).cast("int").alias("zone"))) if complement else ids
@@ -88,8 +107,8 @@ def pair_quantities(edges: DataFrame, zones: DataFrame, complement: bool = True,
     found = stats.quantities(label(edges, zones, complement), (*by, "zone_src", "zone_dst"))
     if by:
         return found
-    ids = [r[0] for r in zone_ids(zones, complement).collect()]
-    all_pairs = edges.sparkSession.createDataFrame([(i, j) for i in ids for j in ids], "zone_src int, zone_dst int")
+    ids = zone_ids(zones, complement).agg(F.collect_set("zone").alias("ids"))
+    all_pairs = ids.select(F.explode("ids").alias("zone_src"), "ids").select("zone_src", F.explode("ids").alias("zone_dst"))
     return all_pairs.join(found, ["zone_src", "zone_dst"], "left").na.fill(0, list(stats.QUANTITIES))
 
 

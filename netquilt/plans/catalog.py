@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from netquilt.functions import ip, naming
 from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
+from netquilt.plans.traffic import TrafficMatrix, process_files
+from netquilt.sources import readers, sinks
+from netquilt.sources.stored import fresh, stored
+from netquilt.streaming import sources as streams
+from netquilt.streaming import windows as stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,11 +219,6 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.labels(packets(spark, sf_dir), "src")
 
 
-@query("SELECT l_returnflag AS member, count(*) AS total FROM lineitem GROUP BY 1")
-def member_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("member")).agg(F.count("*").alias("total"))
-
-
 # ---- zones ----------------------------------------------------------------
 
 _Z = f"{SE_SQL}, z AS (SELECT {_zone('src')} AS zone_src, {_zone('dst')} AS zone_dst, src, dst, packets FROM e)"
@@ -485,30 +485,13 @@ def cidr_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources, sinks and the rest ------------------------------------------
 
 
-@query(f"""WITH {E_SQL}, t AS (SELECT src, dst, packets, coalesce(CAST(sum(packets) OVER (ORDER BY src, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM e WHERE src < 10),
+@query(f"""WITH {E_SQL}, t AS (SELECT src, dst, packets, coalesce(CAST(sum(packets) OVER (ORDER BY src, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM e),
 x AS (SELECT src, dst, before + unnest(range(0, packets)) AS seq FROM t) SELECT src, dst, seq, 1000000 + (2000000 - 1000000) * seq // (SELECT sum(packets) FROM t)::BIGINT AS ts FROM x""")
 def export_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each packet of each link, in matrix order, with times spread evenly."""
-    from netquilt.sources import sinks
-
-    return sinks.expand_packets(edges(spark, sf_dir).where("src < 10"), 1_000_000, 2_000_000).select("src", "dst", "seq", "ts")
-
-
-@query(f"""WITH {E_SQL}, t AS (SELECT src, dst, packets, coalesce(CAST(sum(packets) OVER (ORDER BY src, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM e),
-x AS (SELECT src, dst, before + unnest(range(0, packets)) AS seq FROM t) SELECT src, dst, seq, 1000000 + (2000000 - 1000000) * seq // (SELECT sum(packets) FROM t)::BIGINT AS ts FROM x""")
-def export_all_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``export_packets`` over the links of all sources."""
-    from netquilt.sources import sinks
-
     return sinks.expand_packets(edges(spark, sf_dir), 1_000_000, 2_000_000).select("src", "dst", "seq", "ts")
 
 
-@query(f"WITH {S_SQL} SELECT seq, dst AS k FROM s")
-def json_flow_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k bigint")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), parsed["k"].alias("k")).where("k is not null")
-
-
 @query("SELECT DISTINCT 'part-' || p_partkey || '.grb' AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def manifest_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string"), F.lit(".grb")).alias("path")
@@ -552,13 +535,14 @@ def window_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.page(window_stats(spark, sf_dir).select("window").distinct(), "window", 1, 7)
 
 
-_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.METRIC_NAMES.items())
+_SHOWN = " ".join(f"WHEN '{m}' THEN '{' '.join(w.capitalize() for w in m.split('_'))}'" for m in stats.QUANTITIES)
 
 
-@query(f"""WITH {L_SQL} SELECT "window", CASE metric {_NAMES} END AS shown, CASE zone_src WHEN 1 THEN 'nonroute' WHEN 2 THEN 'bogon' ELSE 'assigned' END AS zone, value FROM l WHERE zone_dst = 3""")
+@query(f"""WITH {L_SQL} SELECT "window", CASE metric {_SHOWN} END AS shown, CASE zone_src WHEN 1 THEN 'suppliers' WHEN 2 THEN 'customers' ELSE 'elsewhere' END AS zone, value FROM l WHERE zone_dst = 3""")
 def named_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = window_stats(spark, sf_dir).where("zone_dst = 3")
-    return rows.select("window", display.metric_name(F.col("metric")).alias("shown"), display.zone_name(F.col("zone_src")).alias("zone"), "value")
+    names = ("suppliers", "customers", "elsewhere")
+    return rows.select("window", display.metric_name(F.col("metric")).alias("shown"), display.zone_name(F.col("zone_src"), names).alias("zone"), "value")
 
 
 @query(f"""WITH {WIN_SQL} SELECT subwindow AS "window", src, dst, count(*) AS packets FROM w WHERE subwindow = 1 AND {_zone("src")} = 1 AND {_zone("dst")} = 3 GROUP BY ALL""")
@@ -566,3 +550,237 @@ def cell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a cell of the statistics to its links, by window and zones."""
     links = matrix.from_packets(windowed(spark, sf_dir), ("subwindow",)).withColumnRenamed("subwindow", "window")
     return display.links_of_cell(zones.label(links, zone_table(spark)), 1, 1, 3).select("window", "src", "dst", "packets")
+
+
+#: The same under the name of an earlier version.
+QUERIES["export_all_packets"], ORACLES["export_all_packets"] = export_packets, ORACLES["export_packets"]
+
+
+# ---- files: written from the tables to the shared folder and read back ------
+
+
+def _files(df: DataFrame, name: str, kind: str = "parquet", **options: str) -> str:
+    """Write ``df`` to a fresh folder; its path."""
+    path = fresh(df.sparkSession, name)
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e")
+def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet as a capture record, and the matrix of the captures."""
+    path = fresh(spark, "captures")
+    sinks.write_pcap(sinks.expand_packets(edges(spark, sf_dir), 1_000_000, 2_000_000), path, 8)
+    return matrix.from_packets(streams.valid_links(readers.read_pcap(spark, path)).select("src", "dst"))
+
+
+_FLOW_SQL = "f AS (SELECT l_suppkey AS src, o_custkey AS dst, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) - 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), l AS (SELECT src, dst, a AS packets FROM f UNION ALL SELECT dst, src, b FROM f)"
+
+
+def flow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value``: flow records of orders and their lines as JSON."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    flow = F.struct(F.col("l_quantity").cast("long").alias("pkts_toserver"), (F.col("l_linenumber").cast("long") - 1).alias("pkts_toclient"))
+    return rows.select(F.to_json(F.struct(ip.int_to_ip(F.col("l_suppkey")).alias("src_ip"), ip.int_to_ip(F.col("o_custkey")).alias("dest_ip"), flow.alias("flow"))).alias("value"))
+
+
+@query(f"WITH {_FLOW_SQL} SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets FROM l WHERE packets > 0 GROUP BY ALL")
+def json_flow_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.build(filters.flows_to_links(readers.read_flows(spark, _files(flow_lines(spark, sf_dir), "flows", "text"))))
+
+
+@query(f"WITH {_FLOW_SQL} SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets FROM l WHERE packets > 0 GROUP BY ALL")
+def flow_stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows as a stream of files, added to a stored matrix batch by batch."""
+    folder, out = _files(flow_lines(spark, sf_dir).repartition(4), "flows", "text"), fresh(spark, "running")
+    streams.accumulate(filters.flows_to_links(streams.flows_from_files(spark, folder, 2)), out, fresh(spark, "progress")).awaitTermination()
+    return streams.accumulated(spark, out)
+
+
+@query(f"WITH {W_SQL} SELECT * FROM e")
+def tsv_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("x").alias("a"), F.lit("y").alias("b"), ip.int_to_ip(F.col("l_suppkey")).alias("src"), ip.int_to_ip(F.col("l_partkey")).alias("dst"), F.col("l_quantity").cast("long").alias("n"))
+    return matrix.build(readers.read_tsv_links(spark, _files(rows, "tsv", "csv", sep="\t", header="true"), with_value=True))
+
+
+@query(f"WITH {W_SQL} SELECT * FROM e")
+def coo_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.links_of_coo(stored(sinks.dump_coo(weighted(spark, sf_dir)), "dumps"))
+
+
+_FLAG = "f AS (SELECT l_returnflag AS flag, l_suppkey AS src, l_partkey AS dst, count(*) AS packets FROM lineitem GROUP BY ALL)"
+
+
+def archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of archives with binary dumps, their members named after the return flag."""
+    flags = ("A", "N", "R")
+    parts = [sinks.dump_coo(flagged(spark, sf_dir, f)).select(F.concat(F.lit(f"{f}-"), F.uuid(), F.lit(".coo")).alias("member"), "content") for f in flags]
+    path = fresh(spark, "archives")
+    sinks.write_tar(stored(parts[0].unionAll(parts[1]).unionAll(parts[2]), "members").repartition(3, "member"), path)
+    return path
+
+
+@query(f"WITH {_FLAG} SELECT flag AS member, CAST(sum(packets) AS BIGINT) AS total, count(*) AS links FROM f GROUP BY 1")
+def member_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the members of archives, without unpacking them."""
+    found = readers.read_tar(spark, archives(spark, sf_dir))
+    return found.groupBy(F.substring("member", 1, 1).alias("member")).agg(F.sum("packets").alias("total"), F.count("*").alias("links"))
+
+
+@query(f"WITH {E_SQL} SELECT src, dst, 2 * packets AS packets FROM e")
+def matrix_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and links, each given twice and in other spellings: every file counts once."""
+    tars, links = archives(spark, sf_dir), _files(edges(spark, sf_dir), "links")
+    m = TrafficMatrix(spark)
+    m.update(tars)
+    m.update(tars + "/", links)
+    m.update(links.replace("/links-", "//links-"), tars.rsplit("/", 1)[0] + "/./" + tars.rsplit("/", 1)[1])
+    return m.edges
+
+
+def _long(n: int, cast: str) -> str:
+    whole = f"WITH {_Z}, w AS ({_nine('e')}) SELECT CAST(NULL AS INTEGER) AS zone_src, CAST(NULL AS INTEGER) AS zone_dst, {_NINE} FROM w"
+    return f"SELECT zone_src, zone_dst, metric, CAST(value AS {cast}) AS value FROM (UNPIVOT (({whole}) UNION ALL ({_grid(n)})) ON {_NINE} INTO NAME metric VALUE value)"
+
+
+@query(_long(3, "BIGINT"))
+def analyze_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quantities of a matrix of files, whole and for each pair of zones."""
+    m = TrafficMatrix(spark, zone_table(spark))
+    m.update(_files(stream_edges(spark, sf_dir), "links"))
+    return m.analyze()
+
+
+@query(f"SELECT 'w1' AS \"window\", * FROM ({_long(3, 'DOUBLE')})")
+def process_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of window files summed and analyzed, without the times taken."""
+    e = stream_edges(spark, sf_dir)
+    files = [_files(e.where(F.pmod(F.hash("src", "dst"), F.lit(2)) == i), "window") for i in (0, 1)]
+    listed = _files(spark.range(1).select(F.explode(F.array(*map(F.lit, [*files, files[0]]))).alias("value")), "list", "text")
+    found = process_files(spark, "w1", readers.file_list(spark, listed), zone_table(spark))
+    return found.where(F.col("metric").isin(*stats.QUANTITIES))
+
+
+@query("SELECT l_suppkey % 3 + 1 AS zone, min(l_suppkey) AS lo, max(l_suppkey) + 2 AS hi FROM lineitem GROUP BY 1")
+def address_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of overlapping ranges, a file a zone, read and merged."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("z"), F.concat_ws(":", ip.int_to_ip(F.col("l_suppkey")), ip.int_to_ip(F.col("l_suppkey") + 2)).alias("value"))
+    lists = [_files(rows.where(F.col("z") == z).select("value"), "list", "text") for z in (0, 1, 2)]
+    return zones.merge(readers.read_address_lists(spark, lists)).select(F.col("zone").cast("long").alias("zone"), "lo", "hi")
+
+
+@query("SELECT CAST(zone AS BIGINT) AS zone, count(DISTINCT s) AS addresses FROM (SELECT l_suppkey % 3 + 1 AS zone, l_suppkey AS s FROM lineitem UNION ALL SELECT 4, l_suppkey FROM lineitem) GROUP BY 1")
+def zone_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists inside an archive, with all ranges once more as the last zone."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("z"), ip.int_to_ip(F.col("l_suppkey")).alias("a")).distinct()
+    members = rows.groupBy("z").agg(F.concat_ws("\n", F.collect_list(F.concat("a", F.lit("/32")))).cast("binary").alias("content")).select(F.concat(F.col("z").cast("string"), F.lit(".txt")).alias("member"), "content")
+    path = fresh(spark, "zones")
+    sinks.write_tar(members.coalesce(1), path)
+    found = readers.read_zone_archive(spark, path, with_sum=True)
+    return found.groupBy(F.col("zone").cast("long").alias("zone")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("addresses"))
+
+
+@query(f"""WITH {L_SQL} SELECT CAST("window" AS VARCHAR) AS "window", zone_src, zone_dst, metric, CAST(value AS DOUBLE) AS value FROM l""")
+def stats_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "stats")
+    sinks.write_stats(window_stats(spark, sf_dir), path)
+    return readers.read_stats(spark, path)
+
+
+@query(f"WITH {E_SQL} SELECT concat_ws('.', (src >> 24) & 255, (src >> 16) & 255, (src >> 8) & 255, src & 255) || ' ' || concat_ws('.', (dst >> 24) & 255, (dst >> 16) & 255, (dst >> 8) & 255, dst & 255) || ' ' || packets AS value FROM e")
+def text_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.text(_files(sinks.dump_text(edges(spark, sf_dir)), "text", "text"))
+
+
+@query(f"WITH {E_SQL} SELECT count(*) AS links, count(DISTINCT src) AS \"rows\", count(DISTINCT dst) AS columns, CAST(sum(packets) AS BIGINT) AS packets FROM e")
+def matrix_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.describe(edges(spark, sf_dir))
+
+
+# ---- streams over the event table -------------------------------------------
+
+_PACKED = 1000
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of files."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return raw.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("src"), k.alias("dst"), k.alias("packets"), "event_type")
+
+
+_CUT = f"""{S_SQL}, r AS (SELECT *, CAST(sum(packets) OVER (PARTITION BY event_type ORDER BY seq) AS BIGINT) AS hi, CAST(sum(packets) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM s WHERE packets > 0),
+x AS (SELECT *, unnest(range((hi - packets) // {_PACKED}, (hi - 1) // {_PACKED} + 1)) AS subwindow FROM r),
+c AS (SELECT event_type AS shard, subwindow, src, dst, CAST(sum(least(hi, (subwindow + 1) * {_PACKED}) - greatest(hi - packets, subwindow * {_PACKED})) AS BIGINT) AS packets, max(total) // {_PACKED} AS complete FROM x GROUP BY ALL)"""
+
+
+@query(f"WITH {_CUT} SELECT shard, subwindow, src, dst, packets FROM c WHERE subwindow < complete")
+def count_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete windows of each event type, cut by a stream with state."""
+    out = fresh(spark, "windows")
+    cut = stream_windows.count_windows(event_stream(spark, sf_dir), "event_type", "seq", _PACKED)
+    stream_windows.append_windows(cut, out, fresh(spark, "progress")).awaitTermination()
+    return spark.read.schema(stream_windows.LINKS).parquet(out)
+
+
+@query(f"WITH {_CUT} SELECT shard, subwindow, src, dst, packets FROM c WHERE subwindow >= complete")
+def count_window_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What such a stream keeps back at its end."""
+    return stream_windows.unfinished(stream(spark, sf_dir), "event_type", "seq", _PACKED)
+
+
+@query(f"WITH {S_SQL} SELECT date_trunc('hour', ts) AS start, src, dst, count(*) AS packets FROM s GROUP BY ALL")
+def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stream_windows.time_windows(stream(spark, sf_dir), "1 hour", "1 hour")
+    return found.select(F.col("w.start").alias("start"), "src", "dst", "packets")
+
+
+@query(f"WITH {S_SQL} SELECT event_type, date_trunc('second', ts) AS second, count(*) AS total, count(*) FILTER (packets % 10 = 0) AS invalid FROM s GROUP BY ALL")
+def packet_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = stream(spark, sf_dir).select("event_type", "ts", F.lit(2048).alias("ethertype"), F.when(F.col("packets") % 10 == 0, 6).otherwise(4).alias("ip_version"))
+    return filters.rates(marked, ("event_type",))
+
+
+@query(f"""WITH {S_SQL}, r AS (SELECT event_type AS ring, ts, packets AS dropped, lag(packets) OVER (PARTITION BY event_type ORDER BY ts, seq) AS b FROM (SELECT DISTINCT ON (event_type, ts) * FROM s ORDER BY event_type, ts, seq))
+SELECT ring, date_trunc('second', ts) AS second, CAST(sum(CASE WHEN b IS NULL THEN 0 WHEN dropped < b THEN dropped ELSE dropped - b END) AS BIGINT) AS dropped FROM r GROUP BY ALL""")
+def drop_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a counter for each ring; of equal times the first."""
+    first = stream(spark, sf_dir).groupBy(F.col("event_type").alias("ring"), "ts").agg(F.min_by("packets", "seq").alias("dropped"))
+    return filters.drops(first)
+
+
+# ---- the rest ------------------------------------------------------------------
+
+
+@query(f"WITH {E_SQL} SELECT src, dst, packets, CASE WHEN dst % 4 < 3 AND dst < 800 THEN CAST(dst % 800 // 400 + 1 AS INTEGER) ELSE 3 END AS zone_dst FROM e")
+def zone_overlapping_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two zones of two hundred ranges that repeat and overlap within their zone, most of them in one block."""
+    i = spark.range(400).select((F.col("id") % 200).alias("i"), (F.col("id") >= 200).cast("long").alias("turn"))
+    many = i.select(F.expr("cast(i div 100 + 1 as int)").alias("zone"), F.expr("4 * i + turn").alias("lo"), F.expr("4 * i + 1 + turn").alias("hi"))
+    return zones.label(edges(spark, sf_dir), many).select("src", "dst", "packets", "zone_dst")
+
+
+@query(f"""WITH {L_SQL}, p AS (SELECT zone_src, zone_dst, max(value) FILTER (metric = 'n_packets' AND "window" = 1) AS x, max(value) FILTER (metric = 'n_sources' AND "window" = 1) AS y FROM l GROUP BY ALL) SELECT zone_src, zone_dst, {_ratio("x", "y")} AS ratio FROM p""")
+def ratio_one_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.metric_ratio(window_stats(spark, sf_dir).where(F.col("window") == 1), "value", "n_packets", "n_sources")
+
+
+@query(f"""WITH {_ZS}, g AS (SELECT zone_src, zone_dst, round(CAST(z AS DOUBLE), 9) AS z FROM zs WHERE metric = 'n_packets' AND "window" = 1) SELECT zone_src, max(z) FILTER (zone_dst = 1) AS z1, max(z) FILTER (zone_dst = 2) AS z2, max(z) FILTER (zone_dst = 3) AS z3 FROM g GROUP BY 1""")
+def zscore_window_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timeseries.window_z_scores(window_stats(spark, sf_dir), "n_packets", 1, 3)
+    return found.select("zone_src", *(F.round(f"z{j}", 9).alias(f"z{j}") for j in (1, 2, 3)))
+
+
+@query(f"WITH {_IDS} SELECT ip, ip AS whole, ip AS two, ip AS hexed FROM i")
+def ip_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in the looser forms that C libraries read."""
+    at = F.col("ip")
+    two = F.concat(F.shiftright(at, 24).cast("string"), F.lit("."), at.bitwiseAND(F.lit(0xFFFFFF)).cast("string"))
+    return ids(spark, sf_dir).select("ip", ip.lenient_ip_to_int(at.cast("string")).alias("whole"), ip.lenient_ip_to_int(two).alias("two"), ip.lenient_ip_to_int(F.concat(F.lit("0x"), F.hex(at))).alias("hexed"))
+
+
+@query(f"WITH i AS (SELECT DISTINCT l_suppkey AS ip FROM lineitem) SELECT CAST(count(*) AS BIGINT) AS addresses, min(xor(ip, {_FLIPS})) AS lowest, max(xor(ip, {_FLIPS})) AS highest FROM i")
+def keyed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address list mapped with the key of the matrix that it shall fit."""
+    listed = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("zone"), F.col("l_suppkey").alias("lo"), F.col("l_suppkey").alias("hi")).distinct()
+    return anonymize.zone_table(listed, KEY).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("addresses"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))

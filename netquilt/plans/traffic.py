@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 
@@ -9,50 +10,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquilt.operators import matrix, stats, zones
+from netquilt.sources import readers
+from netquilt.sources.stored import stored
+
+
+log = logging.getLogger("netquilt")
+#: How the links of a file are read, by the end of its name.
+READERS = {".parquet": lambda spark, files: spark.read.parquet(*files), ".coo": readers.read_coo, ".tar": readers.read_tar}
 
 
 @dataclass
 class TrafficMatrix:
-    """Sum of the window files read so far.
+    """Sum of the window files read so far: Parquet links, binary dumps and archives of them.
 
-    ``update`` remembers the canonical path of each file, so none counts twice.
-    Zone statistics always come from the links themselves.
+    ``update`` remembers each file by the path that the file system itself gives
+    it, so none counts twice however it is spelt. The links of each update are
+    combined and stored; what was read before isn't read again. Zone statistics
+    always come from the links themselves.
     """
 
     spark: SparkSession
     zone_table: DataFrame | None = None
     complement: bool = True
     files: set[str] = field(default_factory=set)
-    edges: DataFrame | None = None
-
-    def _all(self) -> DataFrame:
-        return self.edges if self.edges is not None else self.spark.createDataFrame([], "src long, dst long, packets long")
-
-    def update(self, *paths: str) -> float:
-        """Add window files (Parquet links); returns the seconds until the sum is known."""
+    parts: list[DataFrame] = field(default_factory=list)
+    _known: dict[str, int] | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        """The sum; of several stored parts it is stored once."""
+        if not self.parts:
+            return self.spark.createDataFrame([], "src long, dst long, packets long")
+        if len(self.parts) > 1:
+            self.parts = [stored(matrix.add(*self.parts), "sum")]
+        return self.parts[0]
+
+    def update(self, *where: str, recursive: bool = False) -> float:
+        """Add files, or the files of folders; ``recursive`` goes into folders below. Returns the seconds until the sum is stored."""
         began = time.perf_counter()
-        new = sorted(set(paths) - self.files)
-        if new:
+        listed = {r[0] for r in readers.paths(self.spark, list(where), recursive=recursive).collect()} if where else set()
+        new = sorted(listed - self.files)
+        read = [f(self.spark, mine).select(*matrix.EDGES) for end, f in READERS.items() if (mine := [x for x in new if x.endswith(end)])]
+        if read:
             self.files |= set(new)
-            # one scan over all files; partial sums are combined before the shuffle
-            self.edges = matrix.build(self.spark.read.parquet(*sorted(self.files)))
-        self._all().agg(F.sum("packets")).first()
+            self.parts.append(stored(matrix.add(*read), "links"))  # partial sums are combined before the shuffle
+            self._known = None
+            self.edges  # noqa: B018
         return time.perf_counter() - began
 
     def clear(self) -> None:
-        self.files, self.edges = set(), None
+        self.files, self.parts, self._known = set(), [], None
 
     def analyze(self, count_multiplicities: bool = False) -> DataFrame:
         """Long ``(zone_src, zone_dst, metric, value)``; zones are null for the whole matrix."""
         none = F.lit(None).cast("int")
-        parts = [(stats.quantities(self._all()), stats.QUANTITIES)]
+        parts = [(stats.quantities(self.edges), stats.QUANTITIES)]
         if count_multiplicities:
-            parts.append((stats.multiplicities(self._all()), stats.MULTIPLICITIES))
+            parts.append((stats.multiplicities(self.edges), stats.MULTIPLICITIES))
         rows = [stats.unpivot(w.withColumn("zone_src", none).withColumn("zone_dst", none), ("zone_src", "zone_dst"), m) for w, m in parts]
         if self.zone_table is not None:
-            rows.append(stats.unpivot(zones.pair_quantities(self._all(), self.zone_table, self.complement), ("zone_src", "zone_dst")))
+            rows.append(stats.unpivot(zones.pair_quantities(self.edges, self.zone_table, self.complement), ("zone_src", "zone_dst")))
             if count_multiplicities:
-                labelled = zones.label(self._all(), self.zone_table, self.complement)
+                labelled = zones.label(self.edges, self.zone_table, self.complement)
                 rows.append(stats.unpivot(stats.multiplicities(labelled, ("zone_src", "zone_dst")), ("zone_src", "zone_dst"), stats.MULTIPLICITIES))
         out = rows[0]
         for r in rows[1:]:
@@ -60,14 +79,17 @@ class TrafficMatrix:
         return out
 
     def value(self, metric: str) -> int:
-        return stats.quantities(self._all()).first()[metric]
+        """One of the nine quantities; they are computed together, once for each sum."""
+        if self._known is None:
+            self._known = stats.quantities(self.edges).first().asDict()
+        return self._known[metric]
 
 
 def process_files(spark: SparkSession, name: str, paths: list[str], zone_table: DataFrame | None = None) -> DataFrame:
     """Sum window files, analyze them and time it: the long statistics rows of window ``name``.
 
     Adds ``update_time``, ``analyze_time`` and the packets handled a second in
-    each.
+    each, and says so in the log ``netquilt``.
     """
     m = TrafficMatrix(spark, zone_table)
     update = m.update(*paths)
@@ -76,5 +98,6 @@ def process_files(spark: SparkSession, name: str, paths: list[str], zone_table:
     analyze = time.perf_counter() - began
     n = next(r["value"] for r in found if r["metric"] == "n_packets" and r["zone_src"] is None)
     timed = [("update_time", update), ("analyze_time", analyze), ("update_rate", n / update), ("analyze_rate", n / analyze)]
+    log.info("%s: %d files, %d packets, update %.3f s, analyze %.3f s", name, len(m.files), n, update, analyze)
     table = [(name, r["zone_src"], r["zone_dst"], r["metric"], r["value"]) for r in found] + [(name, None, None, k, v) for k, v in timed]
     return spark.createDataFrame(table, "window string, zone_src int, zone_dst int, metric string, value double")

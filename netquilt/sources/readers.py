@@ -208,6 +208,32 @@ def read_address_lists(spark: SparkSession, where: list[str], strict: bool = Tru
     return out
 
 
+def read_zone_archive(spark: SparkSession, where: str, with_sum: bool = False) -> DataFrame:
+    """``zone, lo, hi`` of a tar archive of address lists: its members in the order of their names are zones 1, 2 and so on.
+
+    Lines are those of ``read_address_lists``; ``with_sum`` adds all ranges once
+    more as the zone after the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+                with store.open_input_stream(name, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+                    for m in tar:
+                        if m.isfile():
+                            lines = [x.strip() for x in tar.extractfile(m).read().decode().splitlines() if x.strip()]
+                            yield pa.RecordBatch.from_arrays([pa.array([m.name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["member", "line"])
+
+    lines = paths(spark, where).mapInArrow(run, "member string, line string")
+    names = [r[0] for r in lines.select("member").distinct().orderBy("member").collect()]  # one a zone
+    lo, hi = ip.bounds(F.col("line"))
+    bad = F.raise_error(F.concat(F.lit("bad address range: "), F.col("line"))).cast("long")
+    zone = F.array_position(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), F.col("member")).cast("int")
+    zones = lines.select(zone.alias("zone"), F.coalesce(lo, bad).alias("lo"), hi.alias("hi")).distinct()
+    return zones.unionAll(zones.select(F.lit(len(names) + 1).alias("zone"), "lo", "hi").distinct()) if with_sum else zones
+
+
 def read_stats(spark: SparkSession, where: str, suffix: str = "") -> DataFrame:
     """The long statistics table of a wide TSV: a row for each window, a column for each metric and pair of zones."""
     wide = spark.read.option("sep", "\t").option("header", True).csv(where)
@@ -226,14 +252,18 @@ def read_export_config(spark: SparkSession, where: str) -> DataFrame:
     return lines.where(F.size(f) >= len(names)).select(*((f[i] if i == 0 else f[i].cast("long")).alias(n) for i, n in enumerate(names)))
 
 
+#: A string, which stays, or a comma before a closing bracket.
+_LOOSE_COMMA = r'("(?:[^"\\]|\\.)*")|,(?=\s*[\]}])'
+
+
 def loads_lenient(text: str) -> dict:
     """JSON that may have commas before a closing bracket, outside strings."""
-    return json.loads(re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[\]}])', lambda m: m.group(1) or "", text))
+    return json.loads(re.sub(_LOOSE_COMMA, lambda m: m.group(1) or "", text))
 
 
 def read_modules(spark: SparkSession, where: str | list[str]) -> DataFrame:
     """``path, name, src, dst, packets, color`` of teaching matrices: dense JSON matrices with an axis label each."""
-    strict = F.regexp_replace("value", r",(?=\s*[\]}])", "")
+    strict = F.regexp_replace("value", _LOOSE_COMMA, "$1")
     schema = "name string, axis_labels array<string>, traffic_matrix array<array<int>>, traffic_matrix_colors array<array<int>>"
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(where).select(F.input_file_name().alias("path"), F.from_json(strict, schema).alias("m"))
     cells = rows.select("path", "m", F.posexplode("m.traffic_matrix").alias("i", "row")).select("path", "m", "i", F.posexplode("row").alias("j", "packets"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import tarfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from netquilt.functions import ip, naming
 from netquilt.operators import windows
 
+from .stored import stored
+
 
 def write_windows(edges: DataFrame, path: str) -> None:
     """One folder for each window; files are ordered by source, compressed with zstd, and never overwritten."""
@@ -27,24 +31,53 @@ def write_zone_pairs(labelled: DataFrame, path: str) -> None:
 
 
 def dump_coo(edges: DataFrame) -> DataFrame:
-    """``content``: blobs of the rows, the columns and then the values, one for each partition."""
+    """``content``: blobs of the rows, the columns and then the values, one for each batch of links.
+
+    The format has 32 bits for a value: a greater one, or one below zero, is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r, c, v = (b.column(i).to_numpy() for i in range(3))
+            if len(v) and (v.max() >= 1 << 32 or v.min() < 0):
+                raise ValueError("a packet count doesn't fit 32 bits")
             blob = r.astype("<u8").tobytes() + c.astype("<u8").tobytes() + v.astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["content"])
 
     return edges.select("src", "dst", "packets").mapInArrow(run, "content binary")
 
 
-def write_stats(stats: DataFrame, path: str, delimiter: str = "_") -> None:
-    """The wide statistics table as TSV: a row for each window, the last value written of each cell.
+def write_tar(members: DataFrame, folder: str) -> DataFrame:
+    """Write ``members(member, content)`` as tar archives, one a partition, moved into place when whole; returns their ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(base, recursive=True)
+        temp, final, some = f"{base}/.{uuid.uuid4().hex}", f"{base}/part-{TaskContext.get().partitionId():05d}.tar", False
+        try:
+            with where.open_output_stream(temp, compression=None) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+                for b in batches:
+                    for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        info, some = tarfile.TarInfo(name), True
+                        info.size = len(content)
+                        tar.addfile(info, io.BytesIO(content))
+            if some:
+                where.move(temp, final)
+                yield pa.RecordBatch.from_arrays([pa.array([final])], names=["path"])
+        finally:
+            if where.get_file_info(temp).type != fs.FileType.NotFound:
+                where.delete_file(temp)
+
+    return stored(members.select("member", "content").mapInArrow(run, "path string"), "tars")
+
+
+def write_stats(stats: DataFrame, path: str, delimiter: str = "_", order: str | None = None) -> None:
+    """The wide statistics table as TSV: a row for each window; of several values of a cell the last by ``order`` counts, or else the greatest.
 
     It has as many rows as there are windows, so it fits one file.
     """
     name = F.when(F.col("zone_src").isNull(), F.col("metric")).otherwise(naming.zone_column(F.col("metric"), F.col("zone_src"), F.col("zone_dst"), delimiter))
-    wide = stats.withColumn("name", name).groupBy("window").pivot("name").agg(F.max("value"))
+    wide = stats.withColumn("name", name).groupBy("window").pivot("name").agg(F.max_by("value", order) if order else F.max("value"))
     wide.orderBy("window").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 

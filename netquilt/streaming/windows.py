@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netquilt.operators import windows
+
+#: Windows that are cut at once.
+AT_ONCE = 1_000
 LINKS = "shard string, subwindow long, src long, dst long, packets long"
 STATE = "window long, filled long, links binary"
 
@@ -19,38 +24,74 @@ def count_windows(packets: DataFrame, shard: str, order: str, size: int) -> Data
 
     Shards count on their own, as capture queues do; a constant shard column
     gives global windows in one task. A packet carries its weight in
-    ``packets``; one that crosses a border is split. An unfinished window waits
-    in the state as combined links, so its size is bounded by ``size``; packets
-    of a shard are taken in the order of ``order`` within a micro-batch.
+    ``packets``; one that crosses a border is split, some windows at a time. An
+    unfinished window waits in the state as combined links, so its size is
+    bounded by ``size``; what is there at the end stays in the checkpoint
+    (``unfinished`` gives it from a batch). Packets of a shard are taken in the
+    order of ``order`` within a micro-batch.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, filled, held = state.get if state.exists else (0, 0, b"")
-        rest = pd.read_json(io.StringIO(bytes(held).decode()), orient="split") if held else pd.DataFrame({"src": [], "dst": [], "packets": []})
+        open_ = _links(held)
         new = pd.concat(list(frames)).sort_values(order, kind="stable")
         new = new[new["packets"] > 0]
-        hi = filled + new["packets"].cumsum()
-        lo = hi - new["packets"]
-        first, last = lo // size, (hi - 1) // size
-        # a row for each window that a packet touches
-        times = (last - first + 1).tolist()
-        rep = [i for i, n in enumerate(times) for _ in range(n)]
-        at = [f + i for f, n in zip(first.tolist(), times, strict=True) for i in range(n)]
-        part = new.iloc[rep].copy()
-        part["w"] = at
-        part["packets"] = [min(h, (w + 1) * size) - max(a, w * size) for h, a, w in zip(hi.iloc[rep], lo.iloc[rep], at, strict=True)]
-        rest = rest.assign(w=0)
-        both = pd.concat([rest, part[["src", "dst", "packets", "w"]]]).astype("int64").groupby(["w", "src", "dst"], as_index=False)["packets"].sum()
-        total = filled + int(new["packets"].sum())
-        full = total // size
-        done, open_ = both[both["w"] < full], both[both["w"] >= full]
-        state.update((window + full, total % size, open_[["src", "dst", "packets"]].to_json(orient="split").encode() if len(open_) else b""))
-        if len(done):
-            yield pd.DataFrame({"shard": str(key[0]), "subwindow": window + done["w"], "src": done["src"], "dst": done["dst"], "packets": done["packets"]})
+        src, dst = new["src"].to_numpy(np.int64), new["dst"].to_numpy(np.int64)
+        hi = filled + np.cumsum(new["packets"].to_numpy(np.int64))
+        lo = np.r_[filled, hi[:-1]][: len(hi)]
+        total = int(hi[-1]) if len(hi) else filled
+        for begin in range(0, total // size + 1, AT_ONCE):
+            # the part of each packet in these windows, a row for each window that it touches
+            first, last = begin * size, (begin + AT_ONCE) * size
+            mine = np.flatnonzero((hi > first) & (lo < last))
+            a, b = np.maximum(lo[mine], first), np.minimum(hi[mine], last)
+            times = (b - 1) // size - a // size + 1
+            row = np.repeat(np.arange(len(mine)), times)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + (a // size)[row]
+            part = np.minimum(b[row], (at + 1) * size) - np.maximum(a[row], at * size)
+            both = pd.DataFrame({"w": at, "src": src[mine][row], "dst": dst[mine][row], "packets": part})
+            if begin == 0:
+                both = pd.concat([open_.assign(w=0), both])
+            both = both.astype("int64").groupby(["w", "src", "dst"], as_index=False)["packets"].sum()
+            done, open_ = both[both["w"] < total // size], both[both["w"] >= total // size]
+            if len(done):
+                yield pd.DataFrame({"shard": str(key[0]), "subwindow": window + done["w"], "src": done["src"], "dst": done["dst"], "packets": done["packets"]})
+        state.update((window + total // size, total % size, _packed(open_)))
 
     return packets.groupBy(shard).applyInPandasWithState(step, LINKS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _packed(links: pd.DataFrame) -> bytes:
+    """Links as an Arrow stream."""
+    out = pa.BufferOutputStream()
+    table = pa.table({c: pa.array(links[c].to_numpy(np.int64)) for c in ("src", "dst", "packets")})
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _links(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(held)).read_all().to_pandas() if held else pd.DataFrame({c: np.empty(0, np.int64) for c in ("src", "dst", "packets")})
+
+
+def unfinished(packets: DataFrame, shard: str, order: str, size: int) -> DataFrame:
+    """The last window of each shard of a batch, if it isn't full: what a stream over the same packets keeps back."""
+    cut = windows.running_total(packets.where("packets > 0"), order, F.col("packets"), "hi", (shard,))
+    totals = cut.groupBy(F.col(shard).alias("__shard")).agg((F.max("hi") - F.max("hi") % size).alias("full"))
+    tail = cut.join(totals, F.col(shard).eqNullSafe(F.col("__shard"))).where("hi > full").withColumn("packets", F.least("packets", F.col("hi") - F.col("full")))
+    return tail.groupBy(F.col(shard).cast("string").alias("shard"), F.expr(f"full div {size}").alias("subwindow"), "src", "dst").agg(F.sum("packets").alias("packets"))
+
+
+def sliding_windows(packets: DataFrame, length: str, step: str, late: str) -> DataFrame:
+    """Windows by time that overlap."""
+    return packets.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "src", "dst").agg(F.count("*").alias("packets"))
+
+
+def sessions(packets: DataFrame, gap: str, late: str) -> DataFrame:
+    """The packets of each link until it is silent for ``gap``."""
+    return packets.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "src", "dst").agg(F.count("*").alias("packets"))
+
+
 def running_matrix(links: DataFrame) -> DataFrame:
     """The matrix of all links so far; for output modes complete and update."""
     return links.groupBy("src", "dst").agg(F.sum("packets").alias("packets"))

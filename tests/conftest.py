@@ -28,6 +28,6 @@ def spark():
 
 @pytest.fixture
 def twelve(spark):
-    """A matrix of twelve links."""
+    """A matrix of twelve links whose quantities are known."""
     rows = [(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 1), (2, 1, 4), (2, 2, 2), (2, 4, 1), (3, 2, 2), (3, 3, 4), (3, 4, 1), (4, 2, 1), (4, 4, 1)]
     return spark.createDataFrame(rows, "src long, dst long, packets long")

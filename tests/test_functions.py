@@ -49,3 +49,20 @@ def test_anonymizer_keeps_prefixes_and_is_one_to_one(spark):
     known = sorted(got)[::37]
     assert all(common(a, b) == common(got[a], got[b]) for a in known for b in known)
     assert all(a >> 16 == b >> 16 for a, b in got.items())
+
+
+def test_lenient_addresses(spark):
+    import socket
+
+    from pyspark.sql import functions as F
+
+    from netquilt.functions import ip
+
+    texts = ["1", "1.2", "1.2.3", "1.2.3.4", "0x7f.1", "017.0.0.1", "0xffffffff", "4294967295", "256.1", "1.2.65536", "1.2.65535", "08.1.1.1", "a.b", "", "1.2.3.4.5", "0", "00.0.0.0"]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ip.lenient_ip_to_int(F.col("t"))).collect()}
+    for t in texts:
+        try:
+            want = int.from_bytes(socket.inet_aton(t), "big")
+        except OSError:
+            want = None
+        assert got[t] == want, t

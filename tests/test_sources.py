@@ -115,6 +115,44 @@ def test_text_dump_and_description(twelve):
     assert tuple(sinks.describe(twelve).first()) == (12, 4, 4, 21)
 
 
+def test_counts_beyond_the_format_are_refused(spark, twelve):
+    with pytest.raises(Exception, match="32 bits"):
+        sinks.dump_coo(spark.createDataFrame([(1, 2, 1 << 32)], "src long, dst long, packets long")).collect()
+
+
+def test_the_last_value_written_counts(spark, tmp_path):
+    rows = [("w", 1, 2, "n_links", 9.0, 1), ("w", 1, 2, "n_links", 4.0, 2)]
+    sinks.write_stats(spark.createDataFrame(rows, "window string, zone_src int, zone_dst int, metric string, value double, at int"), str(tmp_path / "s"), order="at")
+    assert readers.read_stats(spark, str(tmp_path / "s")).first()["value"] == 4.0
+
+
+def test_commas_inside_strings_stay(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"name": "a, ]b", "axis_labels": ["A,]", "B",], "traffic_matrix": [[0, 2,], [1, 0]],}')
+    assert {(r["name"], r["src"], r["dst"]) for r in readers.read_modules(spark, str(tmp_path)).collect()} == {("a, ]b", "A,]", "B"), ("a, ]b", "B", "A,]")}
+
+
+def test_key_files(spark, tmp_path):
+    from netquilt.operators import anonymize
+
+    key = anonymize.stored_key(spark, str(tmp_path / "key"))
+    assert len(key) == 64 and anonymize.stored_key(spark, str(tmp_path / "key")) == key
+    full = anonymize.full_table(spark, "k", 10, 300).collect()
+    assert len(full) == 291 and len({r[1] for r in full}) == 291
+
+
+def test_folders_archives_and_spellings(spark, tmp_path, twelve):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    twelve.coalesce(1).write.parquet(str(tmp_path / "in" / "w1"))
+    blobs = sinks.dump_coo(twelve.coalesce(1)).withColumn("member", F.lit("x.coo"))
+    sinks.write_tar(blobs, str(tmp_path / "in" / "deep"))
+    m = traffic.TrafficMatrix(spark)
+    m.update(str(tmp_path / "in" / "w1"))
+    m.update(str(tmp_path / "in" / "w1") + "/", f"file://{tmp_path}/in/./w1")
+    assert m.value("n_packets") == 21
+    m.update(str(tmp_path / "in"), recursive=True)
+    assert m.value("n_packets") == 42 and m.value("n_links") == 12
+
+
 def test_files_and_matrix(spark, tmp_path, twelve):
     paths = [str(tmp_path / f"w{i}") for i in range(3)]
     for p in paths:

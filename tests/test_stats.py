@@ -57,9 +57,24 @@ def test_many_intervals_label_like_few(spark, monkeypatch):
 
 
 def test_overlapping_zones_are_refused(spark, two_zones):
-    assert zones.check(two_zones) is two_zones
-    with pytest.raises(ValueError):
-        zones.check(two_zones.unionAll(spark.createDataFrame([(3, 3, 4)], "zone int, lo long, hi long")))
+    assert zones.check(two_zones).count() == 4
+    bad = two_zones.unionAll(spark.createDataFrame([(3, 3, 4)], "zone int, lo long, hi long"))
+    none = spark.createDataFrame([], "src long, dst long, packets long")
+    for cut in (zones.check, lambda z: zones.label(none, z), lambda z: zones.pair_quantities(none, z)):
+        with pytest.raises(ValueError, match="overlap"):
+            cut(bad)
+
+
+@pytest.mark.parametrize(("inline", "crowd"), [(zones.INLINE, zones.CROWD), (3, 64), (3, 2)])
+def test_intervals_that_overlap_label_a_link_once(spark, monkeypatch, inline, crowd):
+    monkeypatch.setattr(zones, "INLINE", inline)
+    monkeypatch.setattr(zones, "CROWD", crowd)
+    cut = [(1, 0, 50), (1, 0, 10), (1, 0, 50), *((2, 100 + 10 * i, 105 + 10 * i) for i in range(70)), (3, 60_000, 200_000)]
+    rnd = random.Random(8)
+    links = [(rnd.randrange(1000), rnd.randrange(250_000), 1) for _ in range(200)] + [(5, 7, 1)]
+    zone = lambda ip: next((z for z, lo, hi in cut if lo <= ip <= hi), 4)
+    got = zones.label(spark.createDataFrame(links, "src long, dst long, packets long"), spark.createDataFrame(cut, "zone int, lo long, hi long"))
+    assert sorted(map(tuple, got.collect())) == sorted((*e, zone(e[0]), zone(e[1])) for e in links)
 
 
 def test_inside_and_outside_part_the_links(twelve, two_zones):
@@ -105,8 +120,9 @@ def test_display_rows(spark):
     from netquilt.operators import display
 
     ids = spark.createDataFrame([(i,) for i in [0, 10, 39, 40, 79, 85, 480]], "id long")
-    assert [r[0] for r in display.spaced(ids, "id").collect()] == [0, 40, 85, 480]
-    assert [r[0] for r in display.every(ids, "id", 3).collect()] == [0, 40, 480]
+    assert sorted(r[0] for r in display.spaced(ids, "id").collect()) == [0, 40, 85, 480]
+    assert sorted(r[0] for r in display.every(ids, "id", 3).collect()) == [0, 40, 480]
+    assert display.spaced(ids.limit(0), "id").count() == display.every(ids.limit(0), "id", 3).count() == 0
     assert [r[0] for r in display.page(ids, "id", 1, 3).collect()] == [40, 79, 85]
-    row = ids.limit(1).select(display.metric_name(F.lit("n_links")), display.zone_name(F.lit(5)), display.zone_name(F.lit(9)), *display.cell_zones(F.lit(0), F.lit(2), 5)).first()
-    assert tuple(row) == ("Links", "other", None, 5, 3)
+    row = ids.limit(1).select(display.metric_name(F.lit("max_fan_out")), display.zone_name(F.lit(2), ("a", "b")), display.zone_name(F.lit(9), ("a", "b")), *display.cell_zones(F.lit(0), F.lit(2), 5)).first()
+    assert tuple(row) == ("Max Fan Out", "b", None, 5, 3)

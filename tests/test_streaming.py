@@ -28,6 +28,33 @@ def test_streamed_windows_are_the_batch_windows(spark, tmp_path):
         total = sum(r[5] for r in rows if r[2] == shard)
         want += [(shard, *r) for r in cut.collect() if r["subwindow"] < total // 50]
     assert got == sorted(want)
+    left = sorted(map(tuple, streams.unfinished(spark.createDataFrame(rows, SCHEMA), "shard", "seq", 50).collect()))
+    tail = []
+    for shard in ("s0", "s1"):
+        total = sum(r[5] for r in rows if r[2] == shard)
+        cut = matrix.build(windows.weighted_windows(spark.createDataFrame([r for r in rows if r[2] == shard], SCHEMA), "seq", 50), ("subwindow",))
+        tail += [(shard, *r) for r in cut.collect() if r["subwindow"] >= total // 50]
+    assert left == sorted(tail)
+
+
+def test_a_packet_over_many_windows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "AT_ONCE", 7)
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(1, None, "s", 1, 2, 1003), (2, None, "s", 3, 4, 17)], SCHEMA).coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema(SCHEMA).parquet(folder)
+    streams.append_windows(streams.count_windows(source, "shard", "seq", 10), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("subwindow").agg({"packets": "sum"}).collect()
+    assert sorted(map(tuple, got)) == [(i, 10) for i in range(102)]
+
+
+def test_windows_by_time(spark):
+    from datetime import datetime
+
+    rows = [(datetime(2024, 1, 1, 0, 0, s), 1, 2) for s in (0, 3, 4, 20, 21)]
+    df = spark.createDataFrame(rows, "ts timestamp, src long, dst long")
+    assert sorted(r["packets"] for r in streams.time_windows(df, "10 seconds", "1 minute").collect()) == [2, 3]
+    assert sorted(r["packets"] for r in streams.sessions(df, "5 seconds", "1 minute").collect()) == [2, 3]
+    assert sum(r["packets"] for r in streams.sliding_windows(df, "10 seconds", "5 seconds", "1 minute").collect()) == 10
 
 
 def test_running_matrix(spark, tmp_path):
