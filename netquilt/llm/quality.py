@@ -38,7 +38,7 @@ GROW = 1_000
 #: Documents of a lower score are rejected.
 THRESHOLD = 0.5
 SLOTS = 16
-#: Slots that words and shapes are hashed to, and how many of them a content view sees.
+#: Slots that words and shapes are hashed to, and how many of them a content view sees at most.
 WORD_SLOTS, TELLING = 1 << 20, 128
 #: Stated lengths are told apart by their power of two, up to this one.
 LENGTHS = 24
@@ -221,7 +221,11 @@ def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[D
 
 
 def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
-    """The word slots whose presence tells most of the class, by the likelihood ratio of their counts."""
+    """The word slots whose presence tells most of the class, by the likelihood ratio of their counts.
+
+    No more of them than the smaller class has rows: on few labels most slots
+    tell the classes apart by luck only, and would outweigh those that mean it.
+    """
     counts = [np.zeros(WORD_SLOTS), np.zeros(WORD_SLOTS)]
     for w, y in zip(words, bad, strict=True):
         counts[int(y)][np.frombuffer(w, np.uint32)] += 1
@@ -230,7 +234,7 @@ def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
     for seen, n in zip(counts, sizes, strict=True):
         for found, expected in ((seen, share), (n - seen, 1 - share)):
             told += np.where(found > 0, found * np.log(np.maximum(found, 1e-12) / np.maximum(n * expected, 1e-12)), 0)
-    return np.sort(np.argsort(-told, kind="stable")[:TELLING])
+    return np.sort(np.argsort(-told, kind="stable")[: min(TELLING, *map(int, sizes))])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Worded | None, Worded | None]:

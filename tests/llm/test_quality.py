@@ -91,3 +91,10 @@ def test_telling_slots_by_counting():
     bad = np.array([float(i % 4 == 0) for i in range(80)])
     assert {3, 5} <= set(quality.telling_slots(words, bad).tolist())
     assert quality.shapes("the&&& 12,5!! word |") == {"a&", "0,0!", "|"}
+
+
+def test_few_labels_see_few_slots(rnd):
+    """Six rows of a class leave room for six slots, the one that means it among them."""
+    words = [np.array(sorted({7 if i < 6 else 9, *rnd.sample(range(100, 5000), 40)}), np.uint32).tobytes() for i in range(60)]
+    slots = quality.telling_slots(words, np.array([float(i < 6) for i in range(60)]))
+    assert len(slots) == 6 and {7, 9} <= set(slots.tolist())
