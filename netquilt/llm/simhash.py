@@ -9,8 +9,9 @@ three groups. Fingerprints that share a cell are tested with the lower bound
 and then exactly.
 
 Only distinct fingerprints enter the grid, and a cell gives a spanning forest
-of its links, never all its pairs. A cell of over ``MAX_CELL`` fingerprints is
-cut into blocks whose pairs are dealt to tasks of their own.
+of its links, never all its pairs. Cells are counted first; one of over ``MAX_CELL``
+fingerprints never meets in a task: its rows go straight to blocks whose pairs
+are dealt to tasks of their own.
 """
 
 from __future__ import annotations
@@ -139,15 +140,10 @@ def _forest(left: np.ndarray, right: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each cell from rows sorted by cell.
+    """Links of each cell from rows sorted by cell."""
 
-    Rows of kind 0 are links; rows of kind 1 are members of a cell that is too
-    large for one task, with the number of their block.
-    """
-
-    def out(kind: int, a: np.ndarray, b: np.ndarray, cell: int = 0) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, cell, np.int64)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["kind", "cell", "a", "b"])
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
     def solve(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -161,15 +157,11 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             hit = pos[_linked(fp[pos], fp[pos + k])]
             if len(hit):
-                yield out(0, fp[hit], fp[hit + k])
+                yield out(fp[hit], fp[hit + k])
         for e, n in zip(edge[size > 16], size[size > 16], strict=True):
-            mine = np.unique(fp[e : e + n])
-            if n > MAX_CELL:
-                yield out(1, mine, np.arange(len(mine)) // BLOCK, int(cell[e]))
-            else:
-                a, b = _forest(mine)
-                if len(a):
-                    yield out(0, a, b)
+            a, b = _forest(np.unique(fp[e : e + n]))
+            if len(a):
+                yield out(a, b)
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -191,20 +183,24 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` has one column ``fp`` without repeats.
     """
-    found = cells(fps).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "kind int, cell long, a long, b long")
-    found = materialise(found, "links")
-    near = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("cell", "a", F.col("b").cast("int").alias("block"))
-    blocks = large.groupBy("cell").agg(F.max("block").alias("last"))
+    rows = cells(materialise(fps, "distinct"))
+    # counted before the shuffle as far as possible, so a large cell's rows don't meet for it
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CELL)
+    large = materialise(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-cells")
+    some = not large.isEmpty()
+    rest = rows.join(large, "cell", "left_anti") if some else rows
+    near = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a long, b long")
+    if not some:
+        return near
     # each member goes to the pairs that its block is part of: their number is the blocks', not the members'
     pairs = (
-        large.join(blocks, "cell")
-        .select("cell", "a", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a")
+        rows.join(large, "cell")
+        .select("cell", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     )
 
     def across(key: tuple, t: pa.Table) -> pa.Table:
-        fp, block = t.column("a").to_numpy().view(np.uint64), t.column("block").to_numpy()
+        fp, block = t.column("fp").to_numpy().view(np.uint64), t.column("block").to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         a, b = _forest(fp) if i == j else _forest(fp[block == i], fp[block == j])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
