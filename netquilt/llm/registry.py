@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, quality, secrets, shards, simhash, topk, urls, warc
+from . import bpe, decontaminate, html_text, quality, quality_rules, secrets, shards, simhash, topk, urls, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality}
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE, "op8_warc": warc.ORACLE}
+
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality, "op11_rules": op11_rules}
+
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op11_rules": quality_rules.ORACLE}
