@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text handled at once inside a task; keeps a worker's memory flat whatever the batch.
@@ -81,4 +82,5 @@ def map_rows(
                     arrays = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return df.select(*map(quoted, columns)).mapInArrow(run, schema)
+    plain = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]  # mapInArrow can't take every name
+    return df.select(*plain).mapInArrow(run, schema)
