@@ -50,6 +50,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The rows of a batch as tuples, about ``SLICE_BYTES`` at once."""
+    step = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield list(zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True))
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
@@ -71,12 +79,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows = list(zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True))
+            for rows in slices(batch):
                 made = work(rows, *state)
                 if made:
                     arrays = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)]
