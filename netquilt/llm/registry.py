@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, quality, quality_rules, secrets, shards, simhash, token_align, topk, urls, warc
+from . import bpe, decontaminate, html_text, prefix_trie, quality, quality_rules, secrets, shards, simhash, token_align, topk, urls, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality, "op11_rules": op11_rules, "op12_align": op12_align}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
 
-ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op11_rules": quality_rules.ORACLE}
+
+QUERIES = {"op1_urls": op1_urls, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_secrets": op5_secrets, "op6_shards": op6_shards, "op7_bpe": op7_bpe, "op2_simhash": op2_simhash, "op8_warc": op8_warc, "op9_html": op9_html, "op10_quality": op10_quality, "op11_rules": op11_rules, "op12_align": op12_align, "op13_trie": op13_trie}
+
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op4_topk": topk.ORACLE, "op8_warc": warc.ORACLE, "op11_rules": quality_rules.ORACLE, "op13_trie": prefix_trie.ORACLE}
