@@ -37,3 +37,10 @@ def time_at(start: Column, end: Column, offset: Column, total: Column) -> Column
 def severity(z: Column) -> Column:
     """``alert`` from 3 up, ``warning`` from 1.5 up, else ``normal``."""
     return F.when(F.abs(z) >= 3, "alert").when(F.abs(z) >= 1.5, "warning").otherwise("normal")
+
+
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a time as its clock shows it, with or without a time zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    seconds = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

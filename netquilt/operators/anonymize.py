@@ -48,10 +48,39 @@ def full_table(spark, key: str, first: int = 0, last: int = 2**32 - 3, keep: int
     return ids.withColumn("anon_ip", scramble(F.col("ip"), key, keep))
 
 
+def prefixes(zones: DataFrame) -> DataFrame:
+    """``zone, base, bits``: the intervals of ``zones(zone, lo, hi)`` as aligned blocks of ``2**bits`` addresses, at most 62 an interval.
+
+    Where the two ends of an interval part, a multiple of a power of two lies
+    between them; the set bits of what is missing below it are the blocks on its
+    left, those of what goes beyond it the blocks on its right.
+    """
+    lo, end = F.col("lo"), F.col("hi") + 1
+    split = F.length(F.bin(lo.bitwiseXOR(end))) - 1  # the highest bit in which the ends differ
+    pivot = F.call_function("shiftleft", F.call_function("shiftright", end, split), split)
+    left, right = F.col("mid") - lo, end - F.col("mid")
+    up = lambda v, k: F.call_function("shiftleft", v, k)
+    down = lambda v, k: F.call_function("shiftright", v, k)
+    bits = F.sequence(F.lit(0), F.lit(32))
+    on = lambda v, k: down(v, k).bitwiseAND(F.lit(1).cast("long")) == 1
+    block = lambda base, k: F.struct(base.alias("base"), k.alias("bits"))
+    below = F.transform(F.filter(bits, lambda k: on(left, k)), lambda k: block(F.col("mid") - up(down(left, k), k), k))
+    above = F.transform(F.filter(bits, lambda k: on(right, k)), lambda k: block(F.col("mid") + up(down(right, k + 1), k + 1), k))
+    parted = zones.select("zone", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).where("lo <= hi").withColumn("mid", pivot)
+    return parted.select("zone", F.explode(F.concat(below, above)).alias("p")).select("zone", "p.base", "p.bits").distinct()
+
+
 def zone_table(zones: DataFrame, key: str, keep: int = KEEP) -> DataFrame:
-    """``zones`` with every address mapped, so that they fit an anonymized matrix."""
-    each = zones.select("zone", F.explode(F.sequence("lo", "hi")).alias("ip")).distinct()
-    return merge(each.select("zone", scramble(F.col("ip"), key, keep).alias("lo")).withColumn("hi", F.col("lo")))
+    """``zones`` as they lie after mapping, so that they fit an anonymized matrix.
+
+    Addresses that share a prefix share one afterwards, so a block of addresses
+    becomes a block of the same size: one hash chain maps all of it, and no
+    address is ever spelt out.
+    """
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
+    mapped = scramble(F.col("base"), key, keep)
+    lo = mapped - F.pmod(mapped, size)
+    return merge(prefixes(zones).select("zone", lo.alias("lo"), (lo + size - 1).alias("hi")))
 
 
 def stored_key(spark: SparkSession, path: str) -> str:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquilt.functions.naming import micros
+
+from . import scans
+
 BROADCAST = 0xFFFFFFFF
 
 
@@ -37,11 +41,15 @@ def drops(counters: DataFrame) -> DataFrame:
     """``ring, second, dropped``: how far each ring's counter of lost packets rose in a second.
 
     ``counters(ring, ts, dropped)`` are running counts; one that falls began anew
-    and counts from 0. A ring has one row a reading, so its rows fit a task.
+    and counts from 0. The count before each is carried along the ring in bins
+    of time, so a ring of any length is spread over many tasks; readings of a
+    ring have different times.
     """
-    before = F.lag("dropped").over(Window.partitionBy("ring").orderBy("ts"))
+    timed = counters.withColumn("__at", micros("ts"))
+    with_last = scans.running(timed, "__at", {"__b": scans.Run("last", F.col("dropped"))}, ("ring",), before=True)
+    before = F.col("__b")
     rise = F.when(before.isNull(), F.lit(0).cast("long")).when(F.col("dropped") < before, F.col("dropped")).otherwise(F.col("dropped") - before)
-    return counters.withColumn("rise", rise).groupBy("ring", F.date_trunc("second", "ts").alias("second")).agg(F.sum("rise").alias("dropped"))
+    return with_last.withColumn("rise", rise).groupBy("ring", F.date_trunc("second", "ts").alias("second")).agg(F.sum("rise").alias("dropped"))
 
 
 def not_processed(files: DataFrame, manifest: DataFrame, suffix: str = ".grb") -> DataFrame:

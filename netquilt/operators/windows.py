@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 #: Packets in a matrix, and matrices in a window file.
 SUBWINDOW, SUBWINDOWS = 1 << 17, 64
-#: Slices of the order in which running totals are taken side by side.
-SLICES = 256
-
-
-def bucket(value: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` lie below ``value``: a tree of comparisons, a few for each row."""
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value > cuts[mid], node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, len(cuts))
 
 
-def running_total(rows: DataFrame, order: str, weight: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def running_total(rows: DataFrame, order: str, weight: Column, name: str, by: tuple[str, ...] = (), bits: int = 54) -> DataFrame:
     """``rows`` with ``name``: the sum of ``weight`` up to and with each row, within its group of ``by`` if given.
 
-    ``order`` is a number without ties. The order is cut into slices by
-    quantiles; each slice of a group is summed in a task of its own and the
-    totals of the slices before are added, so neither a global order nor a
-    large group ever meets in one task.
+    ``order`` is a whole number without ties, of so many bits; see ``scans``.
     """
-    rows = rows.withColumn("__w", weight.cast("long"))
-    shares = [i / SLICES for i in range(1, SLICES)]
-    cuts = rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
-    sliced = rows.withColumn("__s", bucket(F.col(order), sorted(set(cuts))))
-    totals = sliced.groupBy(*by, "__s").agg(F.sum("__w").alias("__t"))
-    ahead = Window.partitionBy(*by).orderBy("__s") if by else Window.orderBy("__s")  # as many rows as slices
-    before = totals.select(*by, "__s", (F.sum("__t").over(ahead) - F.col("__t")).alias("__b"))
-    w = Window.partitionBy(*by, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sliced.withColumn("__r", F.sum("__w").over(w))
-    other = before.select(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)), F.col("__s").alias("__s2"), "__b")
-    other = other if by else F.broadcast(other)
-    same = F.col("__s") == F.col("__s2")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
-    return placed.join(other, same).withColumn(name, F.col("__r") + F.col("__b")).select(*(c for c in rows.columns if c != "__w"), name)
+    return scans.running(rows, order, {name: scans.Run("sum", weight.cast("long"))}, by, bits=bits)
 
 
 def count_windows(packets: DataFrame, order: str, size: int = SUBWINDOW, per_file: int = SUBWINDOWS, by: tuple[str, ...] = ()) -> DataFrame:

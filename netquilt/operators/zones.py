@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import scans, stats
 
-#: Up to so many intervals the label is a plain expression; beyond, a join on address blocks.
+#: Up to so many intervals the label is a plain expression; beyond, addresses and intervals are scanned together.
 INLINE = 64
-_BLOCK, _SMALL = 16, 8  # bits of an address below its block, and below its small block
-_FINE = 1 << 40  # where the numbers of small blocks begin
-#: Intervals of a block beyond which it is cut into small blocks.
-CROWD = 64
+#: Bits of twice an address.
+TWICE = 34
 
 
 def merge(zones: DataFrame) -> DataFrame:
-    """Intervals of each zone with overlapping and touching ones joined."""
-    w = Window.partitionBy("zone").orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = zones.withColumn("fresh", F.when(F.col("lo") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w))
+    """Intervals of each zone with overlapping and touching ones joined; a zone of any size is scanned in bins."""
+    each = zones.groupBy("zone", "lo").agg(F.max("hi").alias("hi"))
+    reached = scans.running(each, "lo", {"reach": scans.Run("max", F.col("hi"))}, ("zone",), before=True, bits=TWICE)
+    fresh = F.when(F.col("lo") <= F.col("reach") + 1, 0).otherwise(1).cast("long")
+    runs = scans.running(reached.withColumn("fresh", fresh), "lo", {"run": scans.Run("sum", F.col("fresh"))}, ("zone",), bits=TWICE)
     return runs.groupBy("zone", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
 def overlaps(zones: DataFrame) -> DataFrame:
-    """Pairs of neighbouring intervals of different zones that share an address; ``zones`` are merged.
-
-    Cut into address blocks, so no task sees more than the intervals of a block.
-    """
-    w = Window.partitionBy("block").orderBy("lo", "hi", "zone")
-    cut = blocks(zones)
-    return cut.withColumn("next_zone", F.lead("zone").over(w)).withColumn("next_lo", F.lead("lo").over(w)).where("next_lo <= hi and next_zone <> zone").select("zone", "next_zone").distinct()
+    """Pairs of intervals of different zones that share an address, some for each such place; ``zones`` are merged."""
+    ends = zones.groupBy("lo").agg(F.max(F.struct("hi", "zone")).alias("e"), F.min("zone").alias("one"), F.max("zone").alias("other"))
+    reached = scans.running(ends, "lo", {"reach": scans.Run("max", F.col("e"))}, before=True, bits=TWICE)
+    same = reached.where("one <> other").select(F.col("one").alias("zone"), F.col("other").alias("next_zone"))
+    return same.unionAll(reached.where("reach.hi >= lo").select("reach.zone", F.col("e.zone").alias("next_zone"))).distinct()
+
+
+def merged_rows(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The same for a few ``(zone, lo, hi)``, or an error if two zones overlap."""
+    out: list[list[int]] = []
+    for zone, lo, hi in sorted(rows):
+        if out and out[-1][0] == zone and lo <= out[-1][2] + 1:
+            out[-1][2] = max(out[-1][2], hi)
+        else:
+            out.append([zone, lo, hi])
+    out.sort(key=lambda i: i[1])
+    for one, other in zip(out, out[1:], strict=False):
+        if other[1] <= one[2]:
+            raise ValueError(f"zones {one[0]} and {other[0]} overlap")
+    return [tuple(i) for i in out]
+
+
+def _few(zones: DataFrame) -> list[tuple[int, int, int]] | None:
+    """The intervals, if there are no more than ``INLINE``; one job answers it."""
+    rows = zones.select(F.col("zone").cast("int"), F.col("lo").cast("long"), F.col("hi").cast("long")).limit(INLINE + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= INLINE else None
 
 
 def check(zones: DataFrame) -> DataFrame:
     """The merged intervals of ``zones``, or an error if two zones overlap."""
+    few = _few(zones)
+    if few is not None:
+        return zones.sparkSession.createDataFrame(merged_rows(few), "zone int, lo long, hi long")
     merged = merge(zones.select(F.col("zone").cast("int").alias("zone"), "lo", "hi"))
     bad = overlaps(merged).first()
     if bad:
@@ -42,11 +63,6 @@ def check(zones: DataFrame) -> DataFrame:
     return merged
 
 
-def blocks(zones: DataFrame) -> DataFrame:
-    """Intervals with each address block that they touch."""
-    return zones.withColumn("block", F.explode(F.sequence(F.shiftright("lo", _BLOCK), F.shiftright("hi", _BLOCK))))
-
-
 def label_expression(ip: Column, intervals: list[tuple[int, int, int]]) -> Column:
     """The zone of an address as one expression; null outside."""
     out = F.lit(None).cast("int")
@@ -55,6 +71,18 @@ def label_expression(ip: Column, intervals: list[tuple[int, int, int]]) -> Colum
     return out
 
 
+def named(ids: DataFrame, merged: DataFrame) -> DataFrame:
+    """``ids(ip)`` that lie in one of the disjoint intervals, with its ``zone``.
+
+    Addresses and the beginnings of intervals form one order, and each address
+    takes the last interval that began; a bin of it has bounded size.
+    """
+    begun = merged.select((F.col("lo") * 2).alias("at"), F.struct("zone", "hi").alias("z"))
+    both = ids.select((F.col("ip") * 2 + 1).alias("at"), "ip").unionByName(begun, allowMissingColumns=True)
+    found = scans.running(both, "at", {"f": scans.Run("last", F.col("z"))}, bits=TWICE)
+    return found.where("ip <= f.hi").select("ip", "f.zone")
+
+
 def label(edges: DataFrame, zones: DataFrame, complement: bool = True) -> DataFrame:
     """``edges`` with ``zone_src`` and ``zone_dst``.
 
@@ -62,38 +90,23 @@ def label(edges: DataFrame, zones: DataFrame, complement: bool = True) -> DataFr
     an error. With ``complement`` addresses outside all zones get the number
     after the last zone; without it, links with such an address are dropped. A
     few intervals become one expression, so no row moves; for many, the
-    distinct addresses are joined with the intervals of their block.
+    distinct addresses are scanned together with the intervals.
     """
-    merged = check(zones)
-    few = merged.limit(INLINE + 1).collect()
-    last = merged.agg(F.coalesce(F.max("zone"), F.lit(0)).cast("int")).first()[0]
-    if len(few) <= INLINE:
-        intervals = [(r["zone"], r["lo"], r["hi"]) for r in few]
+    few = _few(zones)
+    if few is not None:
+        intervals, last = merged_rows(few), max((z for z, _, _ in few), default=0)
         out = edges.withColumn("zone_src", label_expression(F.col("src"), intervals)).withColumn("zone_dst", label_expression(F.col("dst"), intervals))
     else:
-        ids = edges.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
-        places = F.array(F.shiftright("ip", _BLOCK), _FINE + F.shiftright("ip", _SMALL))
-        named = ids.select("ip", F.explode(places).alias("place")).join(placed(merged), "place").where(F.col("ip").between(F.col("lo"), F.col("hi"))).select("ip", "zone")
-        side = lambda end: named.select(F.col("ip").alias(end), F.col("zone").alias(f"zone_{end}"))
+        merged = check(zones)
+        last = merged.agg(F.max("zone")).first()[0]
+        found = named(edges.select(F.explode(F.array("src", "dst")).alias("ip")).distinct(), merged)
+        side = lambda end: found.select(F.col("ip").alias(end), F.col("zone").alias(f"zone_{end}"))
         out = edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left").select(*edges.columns, "zone_src", "zone_dst")
     if complement:
         return out.withColumns({z: F.coalesce(z, F.lit(last + 1)) for z in ("zone_src", "zone_dst")})
     return out.where("zone_src is not null and zone_dst is not null")
 
 
-def placed(merged: DataFrame) -> DataFrame:
-    """Disjoint intervals by address block; in a block that holds many, by blocks of 256 addresses.
-
-    So an address meets at most ``CROWD`` intervals, or the 256 of its small block.
-    """
-    cut = blocks(merged)
-    crowded = cut.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("block")
-    start = F.shiftleft("block", _BLOCK)
-    fine = cut.join(crowded, "block", "left_semi").withColumns({"lo": F.greatest("lo", start), "hi": F.least("hi", start + (1 << _BLOCK) - 1)})
-    fine = fine.select("zone", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", _SMALL), F.shiftright("hi", _SMALL))).alias("b")).select("zone", "lo", "hi", (_FINE + F.col("b")).alias("place"))
-    return cut.join(crowded, "block", "left_anti").select("zone", "lo", "hi", F.col("block").alias("place")).unionAll(fine)
-
-
 def zone_ids(zones: DataFrame, complement: bool = True) -> DataFrame:
     ids = zones.select(F.col("zone").cast("int").alias("zone")).distinct()
     return ids.unionByName(zones.agg((F.coalesce(F.max("zone"), F.lit(0)) + 1).cast("int").alias("zone"))) if complement else ids
@@ -113,14 +126,20 @@ def pair_quantities(edges: DataFrame, zones: DataFrame, complement: bool = True,
 
 
 def inside(edges: DataFrame, zones: DataFrame, end: str) -> DataFrame:
-    """Links whose ``end`` (src or dst) lies in one of the zones."""
-    return edges.join(blocks(merge(zones.withColumn("zone", F.lit(0)))), _within(end), "left_semi")
+    """Links whose ``end`` (src or dst) lies in one of the zones, which may overlap."""
+    return _by_place(edges, zones, end, True)
 
 
 def outside(edges: DataFrame, zones: DataFrame, end: str) -> DataFrame:
     """Links whose ``end`` lies in none of the zones: everything else."""
-    return edges.join(blocks(merge(zones.withColumn("zone", F.lit(0)))), _within(end), "left_anti")
+    return _by_place(edges, zones, end, False)
 
 
-def _within(end: str) -> Column:
-    return (F.shiftright(end, _BLOCK) == F.col("block")) & F.col(end).between(F.col("lo"), F.col("hi"))
+def _by_place(edges: DataFrame, zones: DataFrame, end: str, wanted: bool) -> DataFrame:
+    one = zones.withColumn("zone", F.lit(0))
+    few = _few(one)
+    if few is not None:
+        held = label_expression(F.col(end), merged_rows(few)).isNotNull()
+        return edges.where(held if wanted else ~held)
+    found = named(edges.select(F.col(end).alias("ip")).distinct(), merge(one)).select(F.col("ip").alias(end))
+    return edges.join(found, end, "left_semi" if wanted else "left_anti")

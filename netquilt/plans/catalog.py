@@ -260,7 +260,7 @@ def zone_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {E_SQL} SELECT src, dst, packets, CASE WHEN dst % 2 = 0 AND dst < 400 THEN CAST(dst // 40 + 1 AS INTEGER) ELSE 11 END AS zone_dst FROM e")
 def zone_many_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred intervals, labelled by the join on address blocks."""
+    """Two hundred intervals, labelled by a scan over addresses and intervals."""
     many = spark.createDataFrame([(i // 20 + 1, 2 * i, 2 * i) for i in range(200)], "zone int, lo long, hi long")
     return zones.label(edges(spark, sf_dir), many).select("src", "dst", "packets", "zone_dst")
 
@@ -779,8 +779,17 @@ def ip_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids(spark, sf_dir).select("ip", ip.lenient_ip_to_int(at.cast("string")).alias("whole"), ip.lenient_ip_to_int(two).alias("two"), ip.lenient_ip_to_int(F.concat(F.lit("0x"), F.hex(at))).alias("hexed"))
 
 
-@query(f"WITH i AS (SELECT DISTINCT l_suppkey AS ip FROM lineitem) SELECT CAST(count(*) AS BIGINT) AS addresses, min(xor(ip, {_FLIPS})) AS lowest, max(xor(ip, {_FLIPS})) AS highest FROM i")
+_WIDE = "(10 + l_suppkey % 2 * 2) * 16777216"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem), a AS (SELECT 1 AS zone, unnest(range(l_suppkey * 256, l_suppkey * 256 + 301)) AS ip FROM s UNION SELECT 2, unnest(range({_WIDE} + 16777216, {_WIDE} + 16777417)) FROM s),
+i AS (SELECT zone, xor(ip, {_FLIPS}) AS lo, xor(ip, {_FLIPS}) AS hi FROM a UNION SELECT 2, {_WIDE}, {_WIDE} + 16777215 FROM s),
+r AS (SELECT *, max(hi) OVER (PARTITION BY zone ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i)
+SELECT zone, CAST(sum(hi - lo + 1) AS BIGINT) AS addresses, count(*) FILTER (reach IS NULL OR lo > reach + 1) AS intervals, min(lo) AS lowest, max(hi) AS highest FROM r GROUP BY 1""")
 def keyed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An address list mapped with the key of the matrix that it shall fit."""
-    listed = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("zone"), F.col("l_suppkey").alias("lo"), F.col("l_suppkey").alias("hi")).distinct()
-    return anonymize.zone_table(listed, KEY).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("addresses"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+    """Address lists, two ranges of 2**24 addresses and more among them, mapped with the key of the matrix that they shall fit."""
+    supp = table(spark, sf_dir, "lineitem").select("l_suppkey").distinct()
+    one = supp.select(F.lit(1).alias("zone"), (F.col("l_suppkey") * 256).alias("lo"), (F.col("l_suppkey") * 256 + 300).alias("hi"))
+    wide = supp.select(F.lit(2).alias("zone"), F.expr(_WIDE).alias("lo"), F.expr(f"{_WIDE} + 16777416").alias("hi"))
+    mapped = anonymize.zone_table(one.unionAll(wide), KEY)
+    return mapped.groupBy("zone").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("addresses"), F.count("*").alias("intervals"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))

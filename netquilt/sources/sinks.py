@@ -96,11 +96,11 @@ def expand_packets(edges: DataFrame, start: int, end: int) -> DataFrame:
     """``src, dst, seq, ts``: each link as that many packets, in matrix order, spread evenly over the time.
 
     Source and destination make one number that sorts like the pair, so the
-    running total is taken in even slices however many links a source has.
+    running total is taken in bins however many links a source has.
     """
     total = edges.agg(F.sum("packets")).first()[0] or 0
     keyed = edges.withColumn("__o", (F.col("src") - (1 << 31)) * (1 << 32) + F.col("dst"))
-    placed = windows.running_total(keyed, "__o", F.col("packets"), "upto")
+    placed = windows.running_total(keyed, "__o", F.col("packets"), "upto", bits=64)
     one = placed.select("src", "dst", F.explode(F.expr("sequence(upto - packets, upto - 1)")).alias("seq"))
     return one.withColumn("ts", naming.time_at(F.lit(start).cast("long"), F.lit(end).cast("long"), F.col("seq"), F.lit(total).cast("long")))
 

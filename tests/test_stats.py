@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from netquilt.operators import drill, matrix, stats, zones
+from netquilt.operators import drill, matrix, scans, stats, zones
 
 
 def test_nine_quantities(twelve):
@@ -65,10 +65,10 @@ def test_overlapping_zones_are_refused(spark, two_zones):
             cut(bad)
 
 
-@pytest.mark.parametrize(("inline", "crowd"), [(zones.INLINE, zones.CROWD), (3, 64), (3, 2)])
-def test_intervals_that_overlap_label_a_link_once(spark, monkeypatch, inline, crowd):
+@pytest.mark.parametrize(("inline", "bits"), [(zones.INLINE, 17), (3, 17), (3, 5)])
+def test_intervals_that_overlap_label_a_link_once(spark, monkeypatch, inline, bits):
     monkeypatch.setattr(zones, "INLINE", inline)
-    monkeypatch.setattr(zones, "CROWD", crowd)
+    monkeypatch.setattr(scans, "BITS", bits)
     cut = [(1, 0, 50), (1, 0, 10), (1, 0, 50), *((2, 100 + 10 * i, 105 + 10 * i) for i in range(70)), (3, 60_000, 200_000)]
     rnd = random.Random(8)
     links = [(rnd.randrange(1000), rnd.randrange(250_000), 1) for _ in range(200)] + [(5, 7, 1)]
