@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquilt.functions.capture_filter import capture_filter
 from netquilt.functions.naming import micros
 
 from . import scans
@@ -25,6 +26,11 @@ def matching(packets: DataFrame, predicate: str) -> DataFrame:
     return packets.where(predicate)
 
 
+def captured(packets: DataFrame, text: str) -> DataFrame:
+    """Packets that pass a capture filter, such as ``tcp and dst port 80 and not net 10.0.0.0/8``."""
+    return packets.where(capture_filter(text)) if text.strip() else packets
+
+
 def counters(packets: DataFrame) -> DataFrame:
     """Packets in all, and those that are no IPv4."""
     valid = (F.col("ethertype") == 2048) & (F.col("ip_version") == 4)

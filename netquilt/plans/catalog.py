@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from netquilt.functions import ip, naming
 from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
 from netquilt.plans.traffic import TrafficMatrix, process_files
-from netquilt.sources import readers, sinks
+from netquilt.sources import datasource, readers, sinks
 from netquilt.sources.stored import fresh, stored
 from netquilt.streaming import sources as streams
 from netquilt.streaming import windows as stream_windows
@@ -574,6 +574,28 @@ def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.from_packets(streams.valid_links(readers.read_pcap(spark, path)).select("src", "dst"))
 
 
+CAPTURED = "tcp and (net 0.0.0.0/26 or dst host 0.0.1.44) and not src host 0.0.0.5 and portrange 80-90 and less 40"
+
+
+@query(f"WITH {E_SQL} SELECT * FROM e WHERE (src < 64 OR dst < 64 OR dst = 300) AND src <> 5")
+def capture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of captures, read in parts, that a capture filter lets through."""
+    path = fresh(spark, "captures")
+    sinks.write_pcap(sinks.expand_packets(edges(spark, sf_dir), 1_000_000, 2_000_000), path, 4, dport=80)
+    return matrix.from_packets(filters.captured(readers.read_pcap(spark, path, part=1 << 18), CAPTURED).select("src", "dst"))
+
+
+@query("SELECT l_suppkey AS src, count(*) AS packets, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem WHERE l_partkey BETWEEN 100 AND 900 AND l_suppkey < 50 GROUP BY 1")
+def capture_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures as a data source that tests what is asked on the records themselves."""
+    path = fresh(spark, "captures")
+    sinks.write_pcap(sinks.expand_packets(edges(spark, sf_dir), 1_000_000, 2_000_000), path, 4)
+    datasource.register(spark)
+    found = spark.read.format(datasource.NAME).option("part", 1 << 18).load(path)
+    found = filters.captured(found, "src net 0.0.0.0/8").where("src < 50 and dst >= 100 and dst <= 900")
+    return found.groupBy("src").agg(F.count("*").alias("packets"), F.min("dst").alias("least"), F.max("dst").alias("most"))
+
+
 _FLOW_SQL = "f AS (SELECT l_suppkey AS src, o_custkey AS dst, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) - 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), l AS (SELECT src, dst, a AS packets FROM f UNION ALL SELECT dst, src, b FROM f)"
 
 

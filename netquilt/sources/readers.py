@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import re
-import struct
 import tarfile
 from collections.abc import Iterator
 
@@ -18,15 +17,9 @@ from pyspark.sql import types as T
 
 from netquilt.functions import ip, naming
 
-PACKETS = "path string, seq long, ts timestamp, link_type string, ethertype int, vlan boolean, ip_version int, src long, dst long"
-FLOW = "src_ip string, dest_ip string, flow struct<pkts_toserver: bigint, pkts_toclient: bigint>"
-#: Rows that a reader hands on at once.
-ROWS = 20_000
+from . import captures
 
-# Fixed values of the capture format.
-_MAGIC = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
-_ETHERNET, _RAW = 1, (12, 14, 101)
-_IPV4, _TAGGED = 0x0800, 0x8100
+FLOW = "src_ip string, dest_ip string, flow struct<pkts_toserver: bigint, pkts_toclient: bigint>"
 
 
 def paths(spark: SparkSession, where: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -40,79 +33,9 @@ def file_list(spark: SparkSession, path: str) -> list[str]:
     return sorted({r[0].strip() for r in spark.read.text(path).toLocalIterator() if r[0].strip()})
 
 
-def read_packets(stream: io.RawIOBase) -> Iterator[tuple]:
-    """``seq, microseconds, link type, ethertype, vlan, ip version, src, dst`` of each packet of a capture, in order.
-
-    A frame that is no Ethernet or raw IP has no ethertype; one that is no IPv4
-    has no addresses. A record cut off at the end is left out.
-    """
-    head = stream.read(24)
-    if len(head) < 24:
-        return
-    order = "<" if struct.unpack("<I", head[:4])[0] in _MAGIC else ">"
-    magic = struct.unpack(order + "I", head[:4])[0]
-    if magic not in _MAGIC:
-        raise ValueError("not a packet capture")
-    unit, link = _MAGIC[magic], struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
-    record = struct.Struct(order + "IIII")
-    seq = 0
-    while len(h := stream.read(16)) == 16:
-        sec, part, size, _ = record.unpack(h)
-        data = stream.read(size)
-        if len(data) < size:
-            return
-        kind, at, vlan, name = None, None, False, "other"
-        if link == _ETHERNET and size >= 14:
-            name, at = "ethernet", 14
-            kind = int.from_bytes(data[12:14], "big")
-            if kind == _TAGGED and size >= 18:
-                kind, at, vlan = int.from_bytes(data[16:18], "big"), 18, True
-        elif link in _RAW and size:
-            name, at = "raw", 0
-            kind = _IPV4 if data[0] >> 4 == 4 else 0x86DD
-        version = data[at] >> 4 if at is not None and size > at else None
-        four = kind == _IPV4 and version == 4 and size >= at + 20
-        ends = struct.unpack(">II", data[at + 12 : at + 20]) if four else (None, None)
-        yield seq, sec * 1_000_000 + part * 1_000_000 // unit, name, kind, vlan, version, *ends
-        seq += 1
-
-
-def packets_of_files(files: DataFrame) -> DataFrame:
-    """Packets of the capture files of a column ``path``, batch or stream.
-
-    A capture can be read only from its start, so a file is a unit of work;
-    memory is flat whatever its size.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(T.StructType.fromDDL(PACKETS))
-
-    def batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
-        cols = [[path] * len(rows), *zip(*rows, strict=True)]
-        arrays = [pa.array(c, pa.timestamp("us", "UTC") if pa.types.is_timestamp(f.type) else f.type).cast(f.type) for c, f in zip(cols, schema, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                where, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-                held: list[tuple] = []
-                with where.open_input_stream(name, buffer_size=1 << 20) as stream:
-                    for row in read_packets(stream):
-                        held.append(row)
-                        if len(held) == ROWS:
-                            yield batch(path, held)
-                            held = []
-                if held:
-                    yield batch(path, held)
-
-    return files.select("path").mapInArrow(run, PACKETS)
-
-
-def read_pcap(spark: SparkSession, where: str | list[str], glob: str | None = None) -> DataFrame:
-    """Packets of capture files, a task for each file."""
-    files = paths(spark, where, glob)
-    return packets_of_files(files.repartition(max(1, files.count())))
+def read_pcap(spark: SparkSession, where: str | list[str], glob: str | None = None, part: int = captures.PART) -> DataFrame:
+    """Packets of capture files; a long one is cut at records and read by many tasks."""
+    return captures.read_pcap(paths(spark, where, glob), part)
 
 
 def read_flows(spark: SparkSession, where: str | list[str]) -> DataFrame:

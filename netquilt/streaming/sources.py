@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquilt.operators import filters, matrix
-from netquilt.sources import readers
+from netquilt.sources import captures, readers
 
 
 def flows_from_files(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
@@ -25,10 +25,10 @@ def flows_from_kafka(spark: SparkSession, servers: str, topic: str, offsets_a_ba
     return readers.flow_columns(raw.select(F.col("value").cast("string").alias("value")))
 
 
-def packets_from_captures(spark: SparkSession, folder: str, files_a_batch: int = 16) -> DataFrame:
-    """Packets of capture files as they arrive."""
+def packets_from_captures(spark: SparkSession, folder: str, files_a_batch: int = 16, only: str = "") -> DataFrame:
+    """Packets of capture files as they arrive; ``only`` is a capture filter."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcap").option("maxFilesPerTrigger", files_a_batch).load(folder)
-    return readers.packets_of_files(files)
+    return filters.captured(captures.packets_of_files(files), only)
 
 
 def valid_links(packets: DataFrame) -> DataFrame:

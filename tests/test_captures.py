@@ -1,0 +1,132 @@
+import io
+import random
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from netquilt.functions.capture_filter import capture_filter
+from netquilt.operators import filters
+from netquilt.sources import captures, datasource, readers
+
+
+def frame(src, dst, protocol=6, sport=1000, dport=80, kind=0x0800, vlan=False, fragment=0, size=0):
+    head = b"\0" * 12 + (b"\x81\0\0\1" if vlan else b"") + kind.to_bytes(2, "big")
+    ip = struct.pack(">BBHHHBBHII", 0x45, 0, 40, 0, fragment, 64, protocol, 0, src, dst)
+    return head + ip + struct.pack(">HH", sport, dport) + b"\0" * (16 + size)
+
+
+def capture(frames, order="<"):
+    out = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    for i, f in enumerate(frames):
+        out += struct.pack(order + "IIII", 100 + i, i, len(f), len(f)) + f
+    return out
+
+
+@pytest.fixture
+def varied():
+    rnd = random.Random(2)
+    return [
+        frame(rnd.randrange(1 << 32), rnd.randrange(1 << 32), rnd.choice([1, 6, 17]), rnd.randrange(65536), rnd.choice([80, 443, 5]), rnd.choice([0x0800] * 4 + [0x86DD]), rnd.random() < 0.3, rnd.choice([0, 0, 0, 7]), rnd.choice([0, 3, 2000]))
+        for _ in range(300)
+    ]
+
+
+@pytest.mark.parametrize("size", [1, 1000, 50_000, 1 << 30])
+@pytest.mark.parametrize("buffer", [40, 1 << 20])
+def test_parts_cover_a_capture_once(varied, monkeypatch, size, buffer):
+    monkeypatch.setattr(captures, "BUFFER", buffer)
+    for order, tail in (("<", b""), (">", b"\0" * 9), ("<", struct.pack("<IIII", 1, 1, 99, 99) + b"cut")):
+        data = capture(varied, order) + tail
+        found = list(captures.parts(io.BytesIO(data), size))
+        assert found[0][0] == captures.HEAD and all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+        whole = list(captures.read_packets(io.BytesIO(data)))
+        head, cut = captures.head_of(data[: captures.HEAD]), []
+        for offset, n, seq in found:
+            cut += captures.read_packets(io.BytesIO(data[offset:]), head, seq, n)
+        assert cut == whole and len(whole) == 300
+        assert all(n < size + 2100 for _, n, _ in found)
+
+
+def test_one_file_by_many_tasks(spark, tmp_path, varied):
+    (tmp_path / "a.pcap").write_bytes(capture(varied))
+    (tmp_path / "b.pcap").write_bytes(capture(varied[:3]))
+    (tmp_path / "c.pcap").write_bytes(capture([]))
+    (tmp_path / "d.pcap").write_bytes(b"abc")
+    one, many = readers.read_pcap(spark, str(tmp_path)), readers.read_pcap(spark, str(tmp_path), part=5_000)
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert many.rdd.getNumPartitions() > 20 and many.count() == 303
+    datasource.register(spark)
+    source = spark.read.format(datasource.NAME).option("part", 5_000).load(str(tmp_path))
+    assert source.rdd.getNumPartitions() > 20
+    assert sorted((tuple(r)[1:] for r in source.collect()), key=str) == sorted((tuple(r)[1:] for r in one.collect()), key=str)
+
+
+def test_no_capture_is_an_error(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(b"x" * 100)
+    with pytest.raises(Exception, match="not a packet capture"):
+        readers.read_pcap(spark, str(tmp_path)).count()
+
+
+H = lambda text: sum(int(o) << s for o, s in zip(text.split("."), (24, 16, 8, 0), strict=True))
+FRAMES = [
+    frame(H("10.0.0.1"), H("192.168.1.9"), 6, 1000, 80),
+    frame(H("192.168.1.9"), H("10.0.0.1"), 6, 80, 1000, vlan=True),
+    frame(H("10.0.0.1"), H("10.0.0.2"), 17, 53, 5353),
+    frame(H("172.16.0.1"), H("10.1.0.2"), 1),
+    frame(H("172.16.0.1"), H("8.8.8.8"), 6, 443, 2000, fragment=9),
+    frame(1, 2, kind=0x86DD),
+    frame(H("1.2.3.4"), H("1.2.3.5"), 17, 85, 99, size=1000),
+]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("", [0, 1, 2, 3, 4, 5, 6]),
+        ("host 10.0.0.1", [0, 1, 2]),
+        ("src host 10.0.0.1", [0, 2]),
+        ("dst 10.0.0.1", [1]),
+        ("net 10.0.0.0/8", [0, 1, 2, 3]),
+        ("src and dst net 10.0.0.0/24", [2]),
+        ("src or dst net 10.0.0.0/24", [0, 1, 2]),
+        ("port 80", [0, 1]),
+        ("tcp dst port 80", [0]),
+        ("portrange 80-90", [0, 1, 6]),
+        ("tcp", [0, 1, 4]),
+        ("ip6", [5]),
+        ("vlan", [1]),
+        ("udp or icmp", [2, 3, 6]),
+        ("not ip6", [0, 1, 2, 3, 4, 6]),
+        ("!host 10.0.0.1 && ip", [3, 4, 6]),
+        ("not (port 80 or 53)", [3, 4, 5, 6]),
+        ("tcp port 80 or 443", [0, 1]),
+        ("ip proto 17 and greater 1000", [6]),
+        ("proto \\icmp", [3]),
+        ("less 60 and udp", [2]),
+        ("udp or tcp and port 80", [0, 1]),  # from left to right
+        ("udp or (tcp and port 80)", [0, 1, 2, 6]),
+    ],
+)
+def test_capture_filters(spark, tmp_path, text, want):
+    (tmp_path / "a.pcap").write_bytes(capture(FRAMES))
+    got = filters.captured(readers.read_pcap(spark, str(tmp_path)), text)
+    assert sorted(r["seq"] for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("text", ["host", "host 1.2.3", "host 300.1.1.1", "host 1.2.3.4/8", "(tcp", "tcp)", "port 70000", "portrange 5", "and tcp", "tcp and", "tcp udp", "net 1.2.3.4/33", "host 1.2.3.4 ;"])
+def test_bad_filters_are_errors(text):
+    with pytest.raises(ValueError):
+        capture_filter(text)
+
+
+def test_filters_reach_the_records(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture(FRAMES))
+    datasource.register(spark)
+    found = filters.captured(spark.read.format(datasource.NAME).load(str(tmp_path)), "tcp and dst port 80 and src net 10.0.0.0/8")
+    assert [r["seq"] for r in found.collect()] == [0]
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert all(f in pushed for f in ("EqualTo(protocol,6)", "EqualTo(dst_port,80)", "GreaterThanOrEqual(src,167772160)"))
+    assert "Filter" not in plan.replace("PushedFilters", "")
+    assert found.where(F.col("length") > 10_000).count() == 0
