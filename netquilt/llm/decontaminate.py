@@ -69,17 +69,24 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[list[int], list[int]]] = []
+        self.held: list[frozenset[int]] = []
+        same: dict[tuple[int, ...], int] = {}
         self.pieces: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
         for item_id, text in items:
             found = words(text)
             if not found:
                 continue
             seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in found]
+            at = same.setdefault(tuple(seq), len(self.items))
+            if at < len(self.items):  # items of equal words are looked for once
+                self.items[at][0].append(item_id)
+                continue
             cuts = [len(seq) * i // (budget(len(seq)) + 1) for i in range(budget(len(seq)) + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 self.pieces.setdefault(hi - lo, {}).setdefault(tuple(seq[lo:hi]), []).append((len(self.items), lo))
-            self.items.append((item_id, seq))
+            self.items.append(([item_id], seq))
+            self.held.append(frozenset(seq))
         self.marks = {}
         for n, known in self.pieces.items():
             mark = self.marks[n] = np.zeros(1 << _TABLE, bool)
@@ -111,8 +118,9 @@ class Index:
                     m = len(self.items[item][1])
                     first, k = at - offset, budget(m)
                     spans[doc, item].append((max(begin[doc], first - k), min(begin[doc + 1] - 1, first + m + k)))
-        for (doc, item), where in sorted(spans.items()):
-            item_id, wanted = self.items[item]
+        last, words_there = None, frozenset()
+        for (doc, item), where in sorted(spans.items(), key=lambda s: (s[0][0], s[1][0], s[0][1])):
+            ids, wanted = self.items[item]
             where.sort()
             best, at = len(wanted), 0
             lo, hi = where[0]
@@ -120,22 +128,41 @@ class Index:
                 if a <= hi:
                     hi = max(hi, b)
                     continue
-                score, end = best_stretch(wanted, found[lo:hi])
-                if score < best:
-                    best, at = score, lo + end - begin[doc]
+                if (lo, hi) != last:
+                    last, words_there = (lo, hi), frozenset(found[lo:hi])
+                # a word that isn't there costs an edit, so most items that only share a piece end here
+                if len(self.held[item] - words_there) <= budget(len(wanted)):
+                    score, end = best_stretch(wanted, found[lo:hi])
+                    if score < best:
+                        best, at = score, lo + end - begin[doc]
                 lo, hi = a, b
             if best <= budget(len(wanted)):
-                yield doc, item_id, best, len(wanted), max(0, at - len(wanted))
+                for item_id in ids:
+                    yield doc, item_id, best, len(wanted), max(0, at - len(wanted))
+
+
+def blocks(items: Iterable[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
+    """The test items one after another, in lists of ``most`` characters; an item of more than that stands alone."""
+    held, chars = [], 0
+    for item in items:
+        if held and chars + len(item[1]) > most:
+            yield held
+            held, chars = [], 0
+        held.append(item)
+        chars += len(item[1])
+    if held:
+        yield held
 
 
 def _blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """The test items, in blocks of about ``BLOCK_CHARS`` characters."""
+    """The test items in blocks of ``BLOCK_CHARS`` characters; the driver holds one block and one partition at a time."""
     items = items.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = total // BLOCK_CHARS + 1
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
+    some = False
+    for block in blocks(map(tuple, items.toLocalIterator()), BLOCK_CHARS):
+        some = True
+        yield items.sparkSession.sparkContext.broadcast(block)
+    if not some:
+        yield items.sparkSession.sparkContext.broadcast([])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -72,3 +72,24 @@ def test_empty(spark, docs_of):
     assert d.leaks(docs, none).count() == 0
     assert d.drop_leaks(docs, none).count() == 1
     assert d.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_blocks_are_bounded_whatever_repeats():
+    items = [(i, "the same text of an item") for i in range(500)] + [(501, "x" * 900)]
+    cut = list(d.blocks(iter(items), 100))
+    assert [x for b in cut for x in b] == items
+    assert all(sum(len(t) for _, t in b) <= 100 or len(b) == 1 for b in cut) and max(map(len, cut)) <= 4
+
+
+def test_items_of_equal_words_and_shared_pieces(prose):
+    """Equal items each give a row, and a phrase that thousands of items share costs little."""
+    import time
+
+    stock = prose(8)
+    items = [(i, f"{stock} {prose(12)}") for i in range(5_000)] + [(9_000, "one two three four five six"), (9_001, "One, two; three four FIVE six")]
+    index = d.Index(items)
+    text = " ".join(f"{prose(20)} {stock}" for _ in range(25)) + " one two three four five six " + items[77][1]
+    began = time.perf_counter()
+    found = {item: n for _, item, n, *_ in index.matches([text])}
+    assert time.perf_counter() - began < 2
+    assert {9_000: 0, 9_001: 0, 77: 0}.items() <= found.items()
