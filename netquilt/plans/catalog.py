@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from netquilt.functions import ip, naming
 from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
-from netquilt.plans.traffic import TrafficMatrix, process_files
-from netquilt.sources import datasource, readers, sinks
+from netquilt.plans.traffic import READERS, TrafficMatrix, process_files
+from netquilt.sources import datasource, readers, sinks, stats_table
 from netquilt.sources.stored import fresh, stored
 from netquilt.streaming import sources as streams
 from netquilt.streaming import windows as stream_windows
@@ -709,6 +709,33 @@ def stats_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_stats(spark, path)
 
 
+@query(f"""WITH {L_SQL} SELECT CAST("window" AS VARCHAR) AS "window", zone_src, zone_dst, metric, CAST(CASE WHEN "window" % 3 = 0 THEN value + 1 ELSE value END AS DOUBLE) AS value FROM l
+UNION ALL SELECT 'w' || l_suppkey, CAST(l_suppkey % 10 + 1 AS INTEGER), CAST(l_suppkey // 10 + 1 AS INTEGER), 'n_packets', CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY l_suppkey""")
+def stats_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writes to a stored table: the second replaces a third of the cells, the last adds windows of other zones."""
+    table_, found = fresh(spark, "stats"), window_stats(spark, sf_dir)
+    stats_table.upsert_stats(found, table_)
+    stats_table.upsert_stats(found.where(F.col("window") % 3 == 0).withColumn("value", F.col("value") + 1), table_)
+    more = packets(spark, sf_dir).groupBy("src").count()
+    named = more.select(F.concat(F.lit("w"), F.col("src").cast("string")).alias("window"), (F.col("src") % 10 + 1).alias("zone_src"), F.expr("src div 10 + 1").alias("zone_dst"), F.lit("n_packets").alias("metric"), F.col("count").alias("value"))
+    stats_table.upsert_stats(named, table_)
+    return stats_table.stored_stats(spark, table_)
+
+
+@query(f"WITH {_FLAG} SELECT src, dst, CAST(sum(packets) AS BIGINT) AS packets, (SELECT count(DISTINCT flag) FROM f) AS files FROM f GROUP BY src, dst")
+def matrix_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored sum that others go on with: each round opens it anew and is given all files so far, one of a kind of its own."""
+    where, files = fresh(spark, "matrix"), []
+    own = {".json": lambda spark, files: matrix.from_packets(spark.read.schema("src long, dst long").json(files))}
+    for flag in ("A", "N", "R"):
+        rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+        rows = rows.coalesce(1) if flag == "N" else matrix.from_packets(rows).coalesce(1)
+        files.append(readers.paths(spark, _files(rows, f"round-{flag}", "json" if flag == "N" else "parquet")).first()[0])
+        TrafficMatrix(spark, folder=where, readers=READERS | own).update(*files)
+    again = TrafficMatrix(spark, folder=where)
+    return again.edges.withColumn("files", F.lit(again.processed().count()))
+
+
 @query(f"WITH {E_SQL} SELECT concat_ws('.', (src >> 24) & 255, (src >> 16) & 255, (src >> 8) & 255, src & 255) || ' ' || concat_ws('.', (dst >> 24) & 255, (dst >> 16) & 255, (dst >> 8) & 255, dst & 255) || ' ' || packets AS value FROM e")
 def text_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(_files(sinks.dump_text(edges(spark, sf_dir)), "text", "text"))

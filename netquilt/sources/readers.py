@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -88,11 +89,12 @@ def read_coo(spark: SparkSession, where: str | list[str]) -> DataFrame:
     return links_of_coo(spark.read.format("binaryFile").load(where))
 
 
-def read_tar(spark: SparkSession, where: str | list[str], suffix: str = ".coo", ignored: tuple[str, ...] = ()) -> DataFrame:
+def read_tar(spark: SparkSession, where: str | list[str], suffix: str = ".coo", ignored: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """``archive, member, src, dst, packets`` of the members of tar archives that hold binary dumps.
 
-    Members with another suffix, or named in ``ignored``, are skipped; reading
-    of an archive ends at the first bad member, and what came before it stays.
+    Members with another suffix, or named in ``ignored``, are skipped. Reading
+    of an archive ends at the first bad member, and what came before it stays;
+    if ``strict``, a bad member is an error.
     """
     schema = "archive string, member string, src long, dst long, packets long"
 
@@ -107,8 +109,9 @@ def read_tar(spark: SparkSession, where: str | list[str], suffix: str = ".coo",
                                 cols = coo_arrays(tar.extractfile(m).read())
                                 n = len(cols[0])
                                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([m.name] * n, pa.string()), *(pa.array(c.astype(np.int64)) for c in cols)], names=["archive", "member", "src", "dst", "packets"])
-                    except (ValueError, tarfile.TarError, EOFError):
-                        continue
+                    except (ValueError, tarfile.TarError, EOFError) as bad:
+                        if strict:
+                            raise ValueError(f"{path}: a member can't be read: {bad}") from bad
 
     files = paths(spark, where)
     return files.repartition(max(1, files.count())).mapInArrow(run, schema)
@@ -158,12 +161,26 @@ def read_zone_archive(spark: SparkSession, where: str, with_sum: bool = False) -
 
 
 def read_stats(spark: SparkSession, where: str, suffix: str = "") -> DataFrame:
-    """The long statistics table of a wide TSV: a row for each window, a column for each metric and pair of zones."""
-    wide = spark.read.option("sep", "\t").option("header", True).csv(where)
-    key, *names = wide.columns
-    long = wide.unpivot([key], names, "name", "value").where("value is not null")
+    """The long statistics table of wide TSV files: a row for each window, a column for each metric and pair of zones.
+
+    Files are read as they are wide, cell by cell, so columns are not limited.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, name = captures.opened(path)
+                with store.open_input_stream(name) as raw:
+                    rows = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""), delimiter="\t")
+                    _, *names = next(rows, [""])
+                    for window, *values in rows:
+                        cells = [(n, v) for n, v in zip(names, values, strict=False) if v not in ("", '""')]
+                        if cells:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([window] * len(cells), *zip(*cells, strict=True))], names=["key", "name", "value"])
+
+    long = paths(spark, where).mapInArrow(run, "key string, name string, value string")
     metric, i, j = naming.parse_zone_column(F.col("name"))
-    window = naming.clean_window_name(F.col(key), suffix) if suffix else F.col(key)
+    window = naming.clean_window_name(F.col("key"), suffix) if suffix else F.col("key")
     return long.select(window.alias("window"), i.alias("zone_src"), j.alias("zone_dst"), metric.alias("metric"), F.col("value").cast("double").alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import struct
 import tarfile
@@ -74,11 +75,35 @@ def write_tar(members: DataFrame, folder: str) -> DataFrame:
 def write_stats(stats: DataFrame, path: str, delimiter: str = "_", order: str | None = None) -> None:
     """The wide statistics table as TSV: a row for each window; of several values of a cell the last by ``order`` counts, or else the greatest.
 
-    It has as many rows as there are windows, so it fits one file.
+    It has as many rows as there are windows, so it fits one file. Lines are
+    made from the cells, so the columns, nine for each pair of zones, are not
+    limited; only their names pass the driver.
     """
     name = F.when(F.col("zone_src").isNull(), F.col("metric")).otherwise(naming.zone_column(F.col("metric"), F.col("zone_src"), F.col("zone_dst"), delimiter))
-    wide = stats.withColumn("name", name).groupBy("window").pivot("name").agg(F.max_by("value", order) if order else F.max("value"))
-    wide.orderBy("window").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    one = F.max_by("value", order) if order else F.max("value")
+    cells = stats.groupBy("window", name.alias("name")).agg(one.cast("string").alias("value"))
+    names = [r[0] for r in cells.select("name").distinct().orderBy("name").collect()]
+    place = stats.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+
+    def line(fields: list[str | None]) -> str:
+        out = io.StringIO()
+        csv.writer(out, delimiter="\t", lineterminator="").writerow(fields)
+        return out.getvalue()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = place.value
+        for b in batches:
+            for window, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                row: list[str | None] = [None] * len(at)
+                for c in found:
+                    row[at[c["name"]]] = c["value"]
+                yield pa.RecordBatch.from_pydict({"at": [window], "value": [line([window, *row])]})
+
+    windows_ = cells.groupBy("window").agg(F.collect_list(F.struct("name", "value")).alias("cells")).select(F.col("window").cast("string").alias("window"), "cells", F.col("window").alias("at"))
+    kind = windows_.schema["at"].dataType
+    made = windows_.select("window", "cells").mapInArrow(lines, "at string, value string").withColumn("at", F.col("at").cast(kind))
+    head = stats.sparkSession.createDataFrame([(None, line(["window", *names]))], "at string, value string").withColumn("at", F.col("at").cast(kind))
+    head.unionAll(made).repartition(1).sortWithinPartitions(F.asc_nulls_first("at")).select("value").write.mode("overwrite").text(path)
 
 
 def dump_text(edges: DataFrame) -> DataFrame:
