@@ -25,13 +25,14 @@ def count_windows(packets: DataFrame, order: str, size: int = SUBWINDOW, per_fil
     return numbered.withColumn("subwindow", F.floor((F.col("__n") - 1) / size)).withColumn("window", F.floor(F.col("subwindow") / per_file)).drop("__n")
 
 
-def weighted_windows(links: DataFrame, order: str, size: int = SUBWINDOW) -> DataFrame:
+def weighted_windows(links: DataFrame, order: str, size: int = SUBWINDOW, offset: int = 0) -> DataFrame:
     """Links with ``subwindow``, cut where the total of ``packets`` fills a window.
 
     A link that crosses a border is split, so every window but the last holds
-    exactly ``size`` packets. Links without packets are dropped.
+    exactly ``size`` packets. Links without packets are dropped. ``offset``
+    packets are taken to have come before.
     """
-    run = running_total(links.where("packets > 0"), order, F.col("packets"), "__hi")
+    run = running_total(links.where("packets > 0"), order, F.col("packets"), "__hi").withColumn("__hi", F.col("__hi") + offset)
     lo = F.col("__hi") - F.col("packets")
     parts = run.withColumn("__lo", lo).withColumn("subwindow", F.explode(F.expr(f"sequence(__lo div {size}, (__hi - 1) div {size})")))
     start = F.col("subwindow") * size

@@ -778,6 +778,102 @@ def count_window_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_windows.unfinished(stream(spark, sf_dir), "event_type", "seq", _PACKED)
 
 
+_ENDS = "('flush', true), ('drop', false)"
+
+
+def replayed(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """Tables as a stream, one a micro-batch, in this order."""
+    folder = fresh(spark, "replay")
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.parquet(f"{folder}/{i:03d}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def after_all(rows: DataFrame, days: int) -> DataFrame:
+    """One row of a shard ``end`` whose time lies far behind all others, which moves the watermark on."""
+    last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), F.lit("end").alias("event_type"))
+    return last.select(*(F.col(f.name) if f.name in ("ts", "event_type") else F.lit(0).cast(f.dataType).alias(f.name) for f in rows.schema))
+
+
+@query(f"WITH {_CUT} SELECT policy, shard, subwindow, src, dst, packets FROM c, (VALUES {_ENDS}) p(policy, flushed) WHERE flushed OR subwindow < complete")
+def count_window_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each event type by a stream that flushes, and by one that drops, what is open at the end."""
+    rows = stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = [rows, after_all(rows, 30), after_all(rows, 60)]
+    out = None
+    for policy in ("flush", "drop"):
+        path = fresh(spark, "windows")
+        live = replayed(spark, parts).withWatermark("ts", "1 day")
+        cut = stream_windows.count_windows(live, "event_type", "seq", _PACKED, at_end=policy, idle="1 day")
+        stream_windows.append_windows(cut, path, fresh(spark, "progress")).awaitTermination()
+        found = spark.read.schema(stream_windows.LINKS).parquet(path).where("shard <> 'end'").withColumn("policy", F.lit(policy))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+@query(f"""WITH {S_SQL}, r AS (SELECT *, CAST(sum(packets) OVER (ORDER BY seq) AS BIGINT) AS hi, CAST(sum(packets) OVER () AS BIGINT) AS total FROM s WHERE packets > 0),
+x AS (SELECT *, unnest(range((hi - packets) // {_PACKED}, (hi - 1) // {_PACKED} + 1)) AS subwindow FROM r)
+SELECT subwindow, src, dst, CAST(sum(least(hi, (subwindow + 1) * {_PACKED}) - greatest(hi - packets, subwindow * {_PACKED})) AS BIGINT) AS packets FROM x WHERE subwindow < total // {_PACKED} GROUP BY ALL""")
+def global_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over all event types together, by a stream of several micro-batches."""
+    rows, out = stream(spark, sf_dir), fresh(spark, "windows")
+    n = rows.agg(F.max("seq")).first()[0] + 1
+    parts = [rows.where((F.col("seq") >= n * i // 4) & (F.col("seq") < n * (i + 1) // 4)) for i in range(4)]
+    stream_windows.global_windows(replayed(spark, parts), "seq", _PACKED, out, fresh(spark, "progress")).awaitTermination()
+    return stream_windows.windows_so_far(spark, out)
+
+
+# Events come in four parts by time. Some of the first part come three parts late, which is past the watermark; some
+# of the ends of the others come one part late, which isn't.
+_PART = "(epoch_us(ts) - lo) * 4 // (hi - lo + 1)"
+_LATE = f"{S_SQL}, b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM s), o AS (SELECT s.* FROM s, b WHERE NOT ({_PART} = 0 AND seq % 50 = 7))"
+
+
+def late_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as such a stream with a watermark."""
+    rows = stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    at = F.unix_micros("ts") - lo
+    part = F.floor(at * 4 / (hi - lo + 1))
+    fraction = at * 4 % (hi - lo + 1) / (hi - lo + 1)
+    come = F.when((part == 0) & (F.col("seq") % 50 == 7), 3).when((part < 3) & (fraction >= 0.6) & (F.col("seq") % 50 == 9), part + 1).otherwise(part)
+    placed = rows.withColumn("come", come)
+    days = (hi - lo) // 86_400_000_000 + 2
+    parts = [placed.where(F.col("come") == i).drop("come") for i in range(4)] + [after_all(rows, 10 * days), after_all(rows, 20 * days)]
+    return replayed(spark, parts), f"{(hi - lo) // 8_000_000} seconds"
+
+
+def _appended(spark: SparkSession, found: DataFrame, last: str) -> DataFrame:
+    out = fresh(spark, "windows")
+    stream_windows.append_windows(found, out, fresh(spark, "progress")).awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(out).where(F.col("w.start") <= F.lit(last).cast("timestamp"))
+    return kept.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "src", "dst", "packets")
+
+
+def _last(spark: SparkSession, sf_dir: str) -> str:
+    return str(table(spark, sf_dir, "events").agg(F.max("ts")).first()[0])
+
+
+@query(f"WITH {_LATE} SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", src, dst, count(*) AS packets FROM o GROUP BY ALL")
+def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by time over several micro-batches: the watermark closes them, and rows past it are left out."""
+    live, late = late_parts(spark, sf_dir)
+    return _appended(spark, stream_windows.time_windows(live, "1 hour", late), _last(spark, sf_dir))
+
+
+@query(f"WITH {_LATE}, h AS (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM o) SELECT start, start + INTERVAL 2 HOUR AS \"end\", src, dst, count(*) AS packets FROM h GROUP BY ALL")
+def late_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, late = late_parts(spark, sf_dir)
+    return _appended(spark, stream_windows.sliding_windows(live, "2 hours", "1 hour", late), _last(spark, sf_dir))
+
+
+@query(f"""WITH {_LATE}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY src, dst ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM o),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY src, dst ORDER BY ts) AS nth FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", src, dst, count(*) AS packets FROM n GROUP BY src, dst, nth""")
+def late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, late = late_parts(spark, sf_dir)
+    return _appended(spark, stream_windows.sessions(live, "6 hours", late), _last(spark, sf_dir))
+
+
 @query(f"WITH {S_SQL} SELECT date_trunc('hour', ts) AS start, src, dst, count(*) AS packets FROM s GROUP BY ALL")
 def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_windows.time_windows(stream(spark, sf_dir), "1 hour", "1 hour")

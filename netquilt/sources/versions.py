@@ -30,14 +30,18 @@ class Versions:
             return 0, {}
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(where))
         done = [n for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not done:
-            return 0, {}
-        stream = self._fs.open(self._path(f"{self.folder}/commits/{done[-1]}"))
+        return (int(done[-1][:-5]), self.at(int(done[-1][:-5]))) if done else (0, {})
+
+    def at(self, number: int) -> dict:
+        """Content of a commit."""
+        stream = self._fs.open(self._path(self._name(number)))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return int(done[-1][:-5]), json.loads(text)
+
+    def _name(self, number: int) -> str:
+        return f"{self.folder}/commits/{number:012d}.json"
 
     def fresh(self, kind: str) -> str:
         """A folder for something that the next commit will name."""
@@ -46,7 +50,7 @@ class Versions:
     def commit(self, number: int, state: dict) -> None:
         """Make ``state`` the commit of this number; an error if there is one already."""
         temp = self._path(f"{self.folder}/commits/.{uuid.uuid4().hex}")
-        final = self._path(f"{self.folder}/commits/{number:012d}.json")
+        final = self._path(self._name(number))
         out = self._fs.create(temp, True)
         out.write(json.dumps(state).encode())
         out.close()
