@@ -73,12 +73,25 @@ def context_ratio(summaries: DataFrame, metric: str, over: str, under: str) -> D
     return summaries.where(F.col("metric") == metric).select("zone_src", "zone_dst", ratio(F.col(over), F.col(under)).alias("ratio"))
 
 
+def middles(stats: DataFrame) -> DataFrame:
+    """``m, d`` of each cell: the median of its series and the median distance from it.
+
+    Absent windows count as 0 by their number, so no series is spelt out, and
+    one that is long is counted by value before it moves.
+    """
+    n = stats.select("window").distinct().count()
+    seen = stats.groupBy(*CELL, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("f"))
+    zeros = seen.groupBy(*CELL).agg((F.lit(n) - F.sum("f")).alias("f")).where("f > 0").select(*CELL, F.lit(0.0).alias("value"), "f")
+    both = seen.unionByName(zeros)
+    median = both.groupBy(*CELL).agg(F.percentile("value", F.lit(0.5), F.col("f")).alias("m"))
+    return both.join(median, list(CELL)).groupBy(*CELL, "m").agg(F.percentile(F.abs(F.col("value") - F.col("m")), F.lit(0.5), F.col("f")).alias("d"))
+
+
 def z_scores(stats: DataFrame) -> DataFrame:
     """Robust z-score of each value in its cell's series: 0.6745 (x - median) / MAD, 0 where MAD is 0."""
-    cell = Window.partitionBy(*CELL)
-    w = densify(stats).withColumn("__m", F.median("value").over(cell)).withColumn("__d", F.median(F.abs(F.col("value") - F.col("__m"))).over(cell))
-    z = F.when(F.col("__d") == 0, 0.0).otherwise(0.6745 * (F.col("value") - F.col("__m")) / F.when(F.col("__d") != 0, F.col("__d")))
-    return w.withColumn("z", z).drop("__m", "__d")
+    w = densify(stats).join(middles(stats), list(CELL))
+    z = F.when(F.col("d") == 0, 0.0).otherwise(0.6745 * (F.col("value") - F.col("m")) / F.when(F.col("d") != 0, F.col("d")))
+    return w.withColumn("z", z).select("window", *CELL, "value", "z")
 
 
 def window_z_scores(stats: DataFrame, metric: str, window: int | str, n: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from netquilt.functions import ip, naming
 from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
 from netquilt.plans.traffic import READERS, TrafficMatrix, process_files
-from netquilt.sources import datasource, readers, sinks, stats_table
+from netquilt.sources import anon_table, datasource, readers, sinks, stats_table
 from netquilt.sources.stored import fresh, stored
 from netquilt.streaming import sources as streams
 from netquilt.streaming import windows as stream_windows
@@ -86,7 +86,7 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long statistics table: the nine quantities of each pair of zones in each window."""
     links = matrix.from_packets(windowed(spark, sf_dir), ("subwindow",))
     found = zones.pair_quantities(links, zone_table(spark), by=("subwindow",))
-    return stats.unpivot(found.withColumnRenamed("subwindow", "window"), ("window", "zone_src", "zone_dst"))
+    return stored(stats.unpivot(found.withColumnRenamed("subwindow", "window"), ("window", "zone_src", "zone_dst")), "window-stats")  # read several times
 
 
 # SQL of the same inputs
@@ -301,6 +301,15 @@ def anonymize_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize.table_for(packets(spark, sf_dir), KEY)
 
 
+@query(f"WITH {E_SQL}, i AS (SELECT DISTINCT l_partkey AS ip FROM lineitem UNION SELECT DISTINCT l_suppkey FROM lineitem), m AS (SELECT ip, xor(ip, {_FLIPS}) AS anon_ip FROM i) SELECT a.anon_ip AS src, b.anon_ip AS dst, packets FROM e JOIN m a ON a.ip = src JOIN m b ON b.ip = dst")
+def anon_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links mapped by a binary table of all addresses up to the greatest, written in blocks and looked up by place."""
+    links, path = edges(spark, sf_dir), fresh(spark, "anon-table")
+    ids = links.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
+    anon_table.write_table(spark, path, KEY, 0, ids.agg(F.max("ip")).first()[0], block=1 << 12)
+    return anonymize.apply_table(links, stored(anon_table.look_up(ids, path, block=1 << 12), "looked-up"))
+
+
 # ---- windows --------------------------------------------------------------
 
 
