@@ -217,7 +217,15 @@ def train_words(docs: list[Doc], words: list[bytes], labels: list[float], pool:
 
 def with_words(docs: list[Doc], words: list[bytes], slots: np.ndarray) -> list[Doc]:
     """``docs`` whose content also tells which of ``slots`` their words have."""
-    return [(np.concatenate([d[0], np.isin(slots, np.frombuffer(w, np.uint32))]).astype(np.float32), *d[1:]) for d, w in zip(docs, words, strict=True)]
+    place = np.full(WORD_SLOTS, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    first = len(docs[0][0]) if docs else 0
+    rows = np.zeros((len(docs), first + len(slots)), np.float32)
+    for row, d, w in zip(rows, docs, words, strict=True):
+        row[:first] = d[0]
+        at = place[np.frombuffer(w, np.uint32)]
+        row[first + at[at >= 0]] = 1
+    return [(row, *d[1:]) for row, d in zip(rows, docs, strict=True)]
 
 
 def telling_slots(words: list[bytes], bad: np.ndarray) -> np.ndarray:
