@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquilt.functions import ip, naming
-from netquilt.operators import anonymize, display, drill, filters, matrix, stats, timeseries, windows, zones
+from netquilt.operators import anonymize, display, drill, filters, markers, matrix, stats, timeseries, windows, zones
 from netquilt.plans.traffic import READERS, TrafficMatrix, process_files
 from netquilt.sources import anon_table, datasource, readers, sinks, stats_table
 from netquilt.sources.stored import fresh, stored
@@ -903,6 +903,16 @@ def drop_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.drops(first)
 
 
+@query(f"""WITH {S_SQL}, m AS (SELECT ts, seq, event_type, CASE WHEN dst % 10 = 0 THEN 'START ' || seq WHEN dst % 10 = 1 THEN 'END ' || seq ELSE 'noise' END AS text FROM s),
+k AS (SELECT *, CASE WHEN text LIKE '%START%' THEN 'START' WHEN text LIKE '%END%' THEN 'END' END AS mark FROM m WHERE text <> 'noise'),
+b AS (SELECT *, last_value(CASE WHEN mark = 'START' THEN ts END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts) AS started FROM k)
+SELECT ts, event_type, text, mark, started, CASE WHEN mark = 'END' THEN CAST(epoch_us(ts) - epoch_us(started) AS DOUBLE) / 1000000 END AS elapsed FROM b""")
+def event_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends in the log of each event type, and the seconds between them."""
+    text = F.when(F.col("dst") % 10 == 0, F.concat(F.lit("START "), F.col("seq").cast("string"))).when(F.col("dst") % 10 == 1, F.concat(F.lit("END "), F.col("seq").cast("string"))).otherwise("noise")
+    return markers.spans(stream(spark, sf_dir).select("ts", "event_type", text.alias("text")), ("event_type",))
+
+
 # ---- the rest ------------------------------------------------------------------
 
 

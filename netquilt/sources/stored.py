@@ -20,9 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Paths that this process has given out and not discarded.
+_given: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/netquilt/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; ``discard`` removes what is there."""
+    path = f"{shared_dir(spark)}/netquilt/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove what this process has put on ``fresh`` paths so far; the number of paths.
+
+    For the end of a job: tables read from there can't be read afterwards.
+    """
+    removed = 0
+    while _given:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_given.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
