@@ -19,7 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, islice
 
 import regex
@@ -40,6 +40,8 @@ SIMPLE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[
 MEMORY = 400_000
 #: Pairs of tokens whose compatibility a worker remembers.
 PAIRS = 500_000
+#: Bytes of a piece that is encoded by its longest tokens.
+SHORT = 64
 #: Bytes read between two emissions of a long run.
 STRIDE = 4_096
 
@@ -74,12 +76,10 @@ class Transducer:
         self.born = [-1] * len(self.bytes)
         for r, made in self.rank.values():
             self.born[made] = r
-        self.trie: dict = {}
-        for made in {*self.first, *self.parts}:
-            node = self.trie
-            for b in reversed(self.text[made]):
-                node = node.setdefault(b, {})
-            node[-1] = made
+        self.spelled = {self.text[made]: made for made in {*self.first, *self.parts}}
+        self.reach: dict[bytes, int] = {}  # longest token that begins with three bytes
+        for data in self.spelled:
+            self.reach[data[:3]] = max(len(data), self.reach.get(data[:3], 0))
         self.longest = max(map(len, self.text.values()))
         self.lookahead = self._lookahead()
         self.split = regex.compile(SPLIT)
@@ -88,6 +88,17 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
 
+    @cached_property
+    def trie(self) -> dict:
+        """Tokens by their bytes from the last to the first; only long pieces take it."""
+        top: dict = {}
+        for data, made in self.spelled.items():
+            node = top
+            for b in reversed(data):
+                node = node.setdefault(b, {})
+            node[-1] = made
+        return top
+
     def _lookahead(self) -> int:
         """How many bytes after a token can decide whether it stays.
 
@@ -160,6 +171,35 @@ class Transducer:
             got = self.whole[a] = self.merged([self.first[c] for c in self.bytes[a]]) == [a]
         return got
 
+    def short(self, data: bytes) -> list[int]:
+        """Ids of a short piece, the same as those of ``stream``.
+
+        Takes the longest token that is compatible with the last one. Where
+        none is, no encoding goes through that place, and the last token
+        gives way to a shorter one.
+        """
+        spelled, fits, reach, n = self.spelled, self.fits, self.reach, len(data)
+        out, starts, closed = [], [], set()
+        before, at, end = -1, 0, min(n, reach.get(data[:3], 2))
+        while at < n:
+            while end > at:
+                if (token := spelled.get(data[at:end])) is not None and end not in closed:
+                    if (fit := fits.get((before, token))) is None:
+                        fit = self._compatible(before, token) if before >= 0 else self._alone(token)
+                    if fit:
+                        break
+                end -= 1
+            if end > at:
+                out.append(token)
+                starts.append(at)
+                before, at = token, end
+                end = min(n, at + reach.get(data[at : at + 3], 2))
+            else:
+                closed.add(at)
+                out.pop()
+                before, at, end = out[-1] if out else -1, starts.pop(), at - 1
+        return out
+
     def stream(self, data: bytes) -> Iterator[int]:
         """Ids of one piece of text, each emitted once it is stable.
 
@@ -242,7 +282,8 @@ class _Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, text: str) -> tuple[str, tuple[int, ...]]:
-        ids = tuple(self.bpe.stream(text.encode("utf-8", "surrogatepass")))
+        data = text.encode("utf-8", "surrogatepass")
+        ids = tuple(self.bpe.short(data) if len(data) <= SHORT else self.bpe.stream(data))
         made = (",".join(map(str, ids)), ids)
         if len(text) <= 64:
             if len(self) >= MEMORY:

@@ -86,3 +86,36 @@ def test_with_tokens_keeps_columns(docs_of):
     out = bpe.with_tokens(docs)
     assert out.columns == [*docs.columns, "n_tokens", "token_ids", "round_trip"]
     assert all(r["round_trip"] and len(r["token_ids"]) == r["n_tokens"] for r in out.collect())
+
+
+def test_short_pieces_take_the_same_ids_in_fewer_steps():
+    """Short pieces go by their longest tokens: the ids of the transducer, without its step for each byte and token end."""
+    import random
+    import sys
+
+    made = bpe.Transducer(PATH)
+    rnd, tokens = random.Random(5), [t for t in made.spelled if len(t) < 12]
+    pieces = [bytes(rnd.choice(b"aein rs") for _ in range(rnd.randrange(1, 40))) for _ in range(500)]
+    pieces += [b"".join(rnd.choices(tokens, k=rnd.randrange(1, 5))) for _ in range(500)]
+    pieces += [(rnd.choice(tokens) * 20)[: rnd.randrange(1, 64)] for _ in range(500)]
+    pieces += [bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 20))) for _ in range(300)]
+    assert [made.short(p) for p in pieces] == [list(made.stream(p)) for p in pieces]
+
+    def lines(work):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "line"
+            return count
+
+        before = sys.gettrace()
+        sys.settrace(count)
+        try:
+            work()
+        finally:
+            sys.settrace(before)
+        return n
+
+    words = [f" {w}" for w in ("underestimation", "tionreing", "thermodynamically", "sterreanth", "andofing")]
+    assert 4 * lines(lambda: [made.known[w] for w in words]) < 3 * lines(lambda: [list(made.stream(w.encode())) for w in words])
