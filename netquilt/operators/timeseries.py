@@ -56,9 +56,13 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(F.coalesce(numerator, F.lit(0)).cast("double"), F.coalesce(denominator, F.lit(0)).cast("double"))
 
 
-def metric_ratio(cells: DataFrame, value: str, over: str, under: str) -> DataFrame:
-    """Ratio of two metrics in each pair of zones; one pass, no join."""
-    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col(value)))
+def metric_ratio(cells: DataFrame, value: str, over: str, under: str, window: int | str | None = None) -> DataFrame:
+    """Ratio of two metrics in each pair of zones, or in one window of each; one pass, no join.
+
+    A pair of zones that the window lacks stays, with a null.
+    """
+    here = F.lit(True) if window is None else F.col("window") == window
+    pick = lambda m: F.max(F.when(here & (F.col("metric") == m), F.col(value)))
     return cells.where(F.col("metric").isin(over, under)).groupBy("zone_src", "zone_dst").agg(ratio(pick(over), pick(under)).alias("ratio"))
 
 

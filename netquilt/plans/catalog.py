@@ -926,7 +926,7 @@ def zone_overlapping_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {L_SQL}, p AS (SELECT zone_src, zone_dst, max(value) FILTER (metric = 'n_packets' AND "window" = 1) AS x, max(value) FILTER (metric = 'n_sources' AND "window" = 1) AS y FROM l GROUP BY ALL) SELECT zone_src, zone_dst, {_ratio("x", "y")} AS ratio FROM p""")
 def ratio_one_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.metric_ratio(window_stats(spark, sf_dir).where(F.col("window") == 1), "value", "n_packets", "n_sources")
+    return timeseries.metric_ratio(window_stats(spark, sf_dir), "value", "n_packets", "n_sources", 1)
 
 
 @query(f"""WITH {_ZS}, g AS (SELECT zone_src, zone_dst, round(CAST(z AS DOUBLE), 9) AS z FROM zs WHERE metric = 'n_packets' AND "window" = 1) SELECT zone_src, max(z) FILTER (zone_dst = 1) AS z1, max(z) FILTER (zone_dst = 2) AS z2, max(z) FILTER (zone_dst = 3) AS z3 FROM g GROUP BY 1""")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from netquilt.operators import drill, matrix, scans, stats, zones
+from netquilt.operators import drill, matrix, scans, stats, timeseries, zones
 
 
 def test_nine_quantities(twelve):
@@ -126,3 +126,10 @@ def test_display_rows(spark):
     assert [r[0] for r in display.page(ids, "id", 1, 3).collect()] == [40, 79, 85]
     row = ids.limit(1).select(display.metric_name(F.lit("max_fan_out")), display.zone_name(F.lit(2), ("a", "b")), display.zone_name(F.lit(9), ("a", "b")), *display.cell_zones(F.lit(0), F.lit(2), 5)).first()
     assert tuple(row) == ("Max Fan Out", "b", None, 5, 3)
+
+
+def test_ratio_in_a_window_that_lacks_a_pair_of_zones(spark):
+    rows = [(0, 1, 1, "a", 6), (0, 1, 1, "b", 3), (1, 1, 1, "a", 8), (1, 1, 1, "b", 2), (0, 1, 2, "a", 5), (0, 1, 2, "b", 5), (1, 2, 2, "a", 5), (1, 2, 2, "b", 0)]
+    cells = spark.createDataFrame(rows, "window int, zone_src int, zone_dst int, metric string, value long")
+    got = {tuple(r) for r in timeseries.metric_ratio(cells, "value", "a", "b", 1).collect()}
+    assert got == {(1, 1, 4.0), (1, 2, None), (2, 2, None)}
